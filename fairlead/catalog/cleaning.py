@@ -149,7 +149,7 @@ def _profile_sql() -> str:
     col = {c: ("us" if c == "timestamp" else c) for c in _PROFILED}
     rows = [
         ("table", "rows", "count(*)"),
-        ("table", "columns", str(len(_PROFILED))),
+        ("table", "columns", f"max({len(_PROFILED)})"),
         ("mmsi", "distinct", "count(DISTINCT mmsi)"),
         ("timestamp", "min", "min(us) / 1e6"),
         ("timestamp", "max", "max(us) / 1e6"),

@@ -32,7 +32,8 @@ def turn(x: str) -> str:
 
 def haversine(la: str, oa: str, lb: str, ob: str) -> str:
     hl, ho = f"sin(radians({lb} - {la}) / 2)", f"sin(radians({ob} - {oa}) / 2)"
-    c = f"least(greatest({hl}*{hl} + cos(radians({la}))*cos(radians({lb}))*{ho}*{ho}, {d(0)}), {d(1)})"
+    c = f"({hl}*{hl} + cos(radians({la}))*cos(radians({lb}))*{ho}*{ho})"
+    c = f"CASE WHEN {c} > 1 THEN {d(1)} WHEN {c} < 0 THEN {d(0)} ELSE {c} END"
     return f"({d(6880.13)} * atan2(sqrt({c}), sqrt({d(1)} - {c})))"
 
 

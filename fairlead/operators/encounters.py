@@ -469,3 +469,41 @@ def vessel_encounters(encounters: DataFrame, mmsi: str | None = None) -> DataFra
     )
     both = seen.select(F.inline(sides), "*")
     return both if mmsi is None else both.filter(F.col("mmsi") == mmsi)
+
+
+def store_counters(
+    latest: DataFrame,
+    snapshot: DataFrame,
+    stored: DataFrame,
+    max_distance_nm: float = STORE_RADIUS_NM,
+    max_gap_minutes: float = MAX_GAP_MINUTES,
+    limits: ApproachThresholds = ApproachThresholds(),
+    version: str = VERSION,
+) -> DataFrame:
+    """Eleven counters of one scan against the encounters stored before it: one row.
+
+    They also count pairs too far apart in time, so this scan builds those; the
+    rows to store come from ``encounter_records``, which does not.
+    """
+    scan = collision_scan(snapshot, max_distance_nm, limits, include_low=True)
+    elevated = F.col("risk_level") != "low"
+    eligible = elevated & (aligned() <= int(max_gap_minutes * 60_000_000))
+    known = stored.filter(F.col("assessment_version") == version).select(
+        F.col("message_a").alias("a_id"), F.col("message_b").alias("b_id"), F.lit(True).alias("_known")
+    )
+    pairs = scan.join(known, ["a_id", "b_id"], "left").agg(
+        F.count(F.lit(1)).alias("candidate_count"),
+        F.count(F.lit(1)).alias("assessed_candidate_count"),
+        F.count_if(elevated).alias("elevated_encounter_count"),
+        F.count_if(eligible).alias("eligible_encounter_count"),
+        F.count_if(elevated & ~eligible).alias("skipped_time_gap_count"),
+        F.count_if(eligible & F.col("_known").isNull()).alias("inserted_count"),
+        F.count_if(eligible & F.col("_known").isNotNull()).alias("duplicate_count"),
+    )
+    states = snapshot_counts(latest).select(
+        F.col("latest_positions").alias("latest_position_count"),
+        F.col("usable_vessels").alias("usable_vessel_count"),
+        F.col("skipped_unusable").alias("skipped_unusable_count"),
+        F.expr("usable_vessels * (usable_vessels - 1) div 2").alias("possible_pair_count"),
+    )
+    return states.crossJoin(pairs)

@@ -219,7 +219,8 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     viewed = impute(context_mask(kept), forest.medians)
     scored = viewed.withColumn("_raw", raw_score(*[F.col(c) for c in forest.features]))
     decision = F.col("_raw") - F.lit(forest.offset)
-    reports = [F.col(own.get(c, c)).alias(c) for c in df.columns]
+    results = ("ml_decision_function", "ml_anomaly_score", "ml_is_anomaly")
+    reports = [F.col(own.get(c, c)).alias(c) for c in df.columns if c not in results]
     return scored.select(
         *reports,
         decision.alias("ml_decision_function"),

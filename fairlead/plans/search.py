@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions import coerce
 from fairlead.operators import hybrid, slices
@@ -255,6 +255,17 @@ def vessel_risk(risks: DataFrame, messages: DataFrame, vessels: DataFrame, mmsi:
     return risk_search(risks, messages, mmsi=mmsi, **filters)
 
 
+def vessel_pages(risks: DataFrame, limit: int) -> DataFrame:
+    """The first page of every vessel at once, with the place on it.
+
+    The page size bounds what leaves a map task per vessel.
+    """
+    gravest = Window.partitionBy("mmsi").orderBy(
+        hybrid.level_rank(F.col("risk_level")).desc(), F.desc("ml_anomaly_percentile"), F.desc("timestamp"), F.desc("message_id")
+    )
+    return risks.withColumn("place", F.row_number().over(gravest)).filter(F.col("place") <= limit)
+
+
 def risk_summary(risks: DataFrame) -> DataFrame:
     level = F.col("risk_level")
     return risks.agg(
