@@ -46,9 +46,11 @@ def _seconds_between(later: Column, earlier: Column) -> Column:
 
 def motion_features(df: DataFrame, options: MotionOptions = MotionOptions()) -> DataFrame:
     """Gaps, distances, speeds, turns and acceleration against the previous report."""
-    linked = slices.with_previous(
-        _typed(df), _CARRY, tie=options.tie, seconds=options.slice_seconds
-    )
+    return measure(slices.with_previous(_typed(df), _CARRY, tie=options.tie, seconds=options.slice_seconds), options)
+
+
+def measure(linked: DataFrame, options: MotionOptions = MotionOptions()) -> DataFrame:
+    """The features of reports that carry their predecessor in ``_prev``."""
     prev = F.col("_prev")
     here = F.col
     timed = linked.withColumn("elapsed_seconds", _seconds_between(here("timestamp"), prev["timestamp"]))

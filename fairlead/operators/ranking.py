@@ -82,13 +82,13 @@ def fit_reference(df: DataFrame, column: str = "ml_anomaly_score") -> ScoreRefer
         raise ValueError(f"Reference data must contain {column}.")
     counts = cut_lineage(usable_scores(df, column).groupBy("score").agg(F.count(F.lit(1)).alias("n")))
     edges = counts.approxQuantile("score", [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS)
+    if not edges:
+        raise ValueError("No valid reference scores to calibrate with.")
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     placed = _bucketed(counts, splits)
     # At most 512 ranges, hence at most 512 rows for the driver.
     sizes = {int(r.bucket): r.n for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     total = sum(sizes.values())
-    if total == 0:
-        raise ValueError("No valid reference scores to calibrate with.")
     floors = [0]
     for bucket in range(len(splits) - 2):
         floors.append(floors[-1] + sizes.get(bucket, 0))

@@ -57,22 +57,26 @@ class DatedTable:
         days = [r[0] for r in batch.select(DATE).distinct().collect()]
         return stored.filter(F.col(DATE).isin(days))
 
-    def insert_new(self, source: DataFrame, order: str) -> tuple[int, int]:
-        """Append rows whose key is not stored yet; (offered, inserted) counts.
+    def new_rows(self, source: DataFrame, order: str) -> DataFrame:
+        """Rows of the source whose key is not stored yet, staged for appending.
 
-        Equal keys inside the batch count once, the first by ``order``. Repeating
-        a batch inserts nothing.
+        Equal keys inside the source count once, the first by ``order``. Further
+        columns of the source (its file) stay on the rows.
         """
-        batch = self._dated(source)
-        offered = batch.count()
+        batch = source.withColumn(DATE, F.to_date(self.time))
         first = last_per_key(batch.withColumn("_order", -F.col(order).cast("bigint")), (*self.keys, DATE), "_order")
-        # A NULL in a key never equals a stored one, as in a relational unique key.
-        fresh = first.drop("_order").join(self._stored_on(batch), [*self.keys, DATE], "left_anti")
-        stored = cut_lineage(fresh.select(*batch.columns))
-        inserted = stored.count()
+        return cut_lineage(first.drop("_order").join(self._stored_on(batch), [*self.keys, DATE], "left_anti").drop(DATE))
+
+    def append(self, fresh: DataFrame) -> None:
+        self._dated(fresh).write.mode("append").partitionBy(DATE).parquet(self.path)
+
+    def insert_new(self, source: DataFrame, order: str) -> tuple[int, int]:
+        """Append what is new; (offered, inserted) counts. A repeat inserts nothing."""
+        fresh = self.new_rows(source, order)
+        inserted = fresh.count()
         if inserted:
-            stored.write.mode("append").partitionBy(DATE).parquet(self.path)
-        return offered, inserted
+            self.append(fresh)
+        return source.count(), inserted
 
     def upsert(self, source: DataFrame, order: str) -> int:
         """Insert or replace by key; of equal keys in the batch the last by ``order`` stays.
