@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions import coerce
+from fairlead.functions.fence import evaluate_once
 from fairlead.schema import CORE, NUMERIC, SOURCE_COLUMNS, TEXT, require_columns
 
 INVALID = ("invalid_mmsi", "invalid_timestamp", "invalid_latitude", "invalid_longitude")
@@ -85,7 +86,8 @@ def null_sentinels(df: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame) -> DataFrame:
     """Everything that works row by row: one narrow stage on the scan."""
-    return null_sentinels(validate_core(coerce_types(trim_text(normalize_columns(df)))))
+    checked = validate_core(coerce_types(trim_text(normalize_columns(df))))
+    return null_sentinels(evaluate_once(checked, [*CORE, *INVALID, "is_valid_core_record"]))
 
 
 def flag_duplicates(df: DataFrame, ordinal: str = "ord") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.config import ApproachThresholds
 from fairlead.functions import coerce, geo
+from fairlead.functions.fence import evaluate_once
 from fairlead.operators import ranking
 from fairlead.schema import require_columns
 from fairlead.session import cut_lineage
@@ -284,10 +285,11 @@ def closest_approach(pairs: DataFrame) -> DataFrame:
             "is_closing": coerce.false_if_null((F.col("closing_speed_knots") > 0.0) & (hours > 0.0)),
         }
     )
-    return step.withColumn(
+    measured = step.withColumn(
         "future_cpa_distance_nm",
         F.when(hours > 0.0, F.col("cpa_distance_nm")).otherwise(F.col("current_distance_nm")),
     ).drop("_x", "_y", "_u", "_v", "_speed", "_dot", "_hours")
+    return evaluate_once(measured, [c for c in measured.columns if c not in pairs.columns])
 
 
 def collision_risk(measured: DataFrame, limits: ApproachThresholds = ApproachThresholds()) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import deque
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +28,7 @@ SUBSAMPLE = 256
 MOTION_MINUTES = 10.0
 TURN_KNOTS = 3.0
 _EULER = 0.5772156649015329
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, depth int, rows int"
+_NODES = "tree int, node int, feature int, threshold double, child int, depth int, rows int"
 
 
 def context_mask(df: DataFrame) -> DataFrame:
@@ -69,27 +70,30 @@ def average_path(rows) -> np.ndarray:
 
 
 def _grow(points: np.ndarray, tree: int, seed: int, limit: int) -> pd.DataFrame:
-    """Nodes of one random tree; children are stored after their parents."""
+    """Nodes of one random tree in breadth-first order.
+
+    ``child`` is the left child, the right one follows it. A leaf is its own
+    child and has an infinite threshold, so a walk that reached it stays there.
+    """
     chance = np.random.default_rng([seed, tree])
-    nodes: list[list] = []
-    waiting = [(np.arange(len(points)), 0, None)]
+    nodes: list[tuple] = []
+    waiting = deque([(np.arange(len(points)), 0)])
+    assigned = 1
     while waiting:
-        rows, depth, link = waiting.pop()
+        rows, depth = waiting.popleft()
         number = len(nodes)
-        if link is not None:
-            nodes[link[0]][link[1]] = number
-        feature, threshold = -1, 0.0
+        feature, threshold, child = 0, math.inf, number
         if depth < limit and len(rows) > 1:
             low, high = points[rows].min(axis=0), points[rows].max(axis=0)
             varying = np.flatnonzero(high > low)
             if len(varying):
                 feature = int(chance.choice(varying))
                 threshold = float(chance.uniform(low[feature], high[feature]))
-        nodes.append([tree, number, feature, threshold, number, number, depth, len(rows)])
-        if feature >= 0:
-            goes_left = points[rows, feature] <= threshold
-            waiting.append((rows[~goes_left], depth + 1, (number, 5)))
-            waiting.append((rows[goes_left], depth + 1, (number, 4)))
+                child, assigned = assigned, assigned + 2
+                goes_left = points[rows, feature] <= threshold
+                waiting.append((rows[goes_left], depth + 1))
+                waiting.append((rows[~goes_left], depth + 1))
+        nodes.append((tree, number, feature, threshold, child, depth, len(rows)))
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
@@ -171,7 +175,9 @@ def fit(
         points = group.sort_values("_deal")[names].to_numpy(float)
         return _grow(points, int(group["tree"].iloc[0]), seed, limit)
 
-    nodes = cut_lineage(dealt.groupBy("tree").applyInPandas(grow, _NODES))
+    # A fixed partition count: the rows are few, the work per tree is not.
+    spread = dealt.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
+    nodes = cut_lineage(spread.groupBy("tree").applyInPandas(grow, _NODES))
     forest = Forest(nodes, features, medians, subsample, -0.5)
     if contamination != "auto":
         raw = score(df, forest).select((F.col("ml_decision_function") + forest.offset).alias("raw"))
@@ -189,28 +195,28 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     starts = table.groupby("tree")["node"].transform("size")
     roots = np.flatnonzero(table["node"].to_numpy() == 0)
     base = np.repeat(roots, starts.iloc[roots].to_numpy())
-    feature = table["feature"].to_numpy()
+    feature = table["feature"].to_numpy(np.int32)
     threshold = table["threshold"].to_numpy()
-    left = table["left"].to_numpy() + base
-    right = table["right"].to_numpy() + base
+    child = (table["child"].to_numpy() + base).astype(np.int32)
     ends = table["depth"].to_numpy() + average_path(table["rows"].to_numpy())
     depth = int(table["depth"].max())
     scale = float(average_path(forest.subsample)) or 1.0
-    model = df.sparkSession.sparkContext.broadcast((feature, threshold, left, right, ends, roots))
+    model = df.sparkSession.sparkContext.broadcast((feature, threshold, child, ends, roots.astype(np.int32)))
 
     @F.pandas_udf("double")
     def raw_score(*columns: pd.Series) -> pd.Series:
-        feature, threshold, left, right, ends, roots = model.value
+        feature, threshold, child, ends, roots = model.value
         values = np.column_stack([c.to_numpy(float) for c in columns])
         out = np.empty(len(values))
-        for start in range(0, len(values), 4096):  # keep the index matrix small
-            block = values[start : start + 4096]
-            rows = np.arange(len(block))[:, None]
-            at = np.broadcast_to(roots, (len(block), len(roots))).copy()
+        for start in range(0, len(values), 1024):  # keep the index matrix in cache
+            block = values[start : start + 1024]
+            cells = block.ravel()
+            first = (np.arange(len(block), dtype=np.int32) * block.shape[1])[:, None]
+            at = np.repeat(roots[None, :], len(block), axis=0)
             for _ in range(depth):
-                goes_left = block[rows, np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(goes_left, left[at], right[at])
-            out[start : start + 4096] = -np.power(2.0, -ends[at].mean(axis=1) / scale)
+                beyond = cells.take(first + feature.take(at)) > threshold.take(at)
+                at = child.take(at) + beyond
+            out[start : start + 1024] = -np.power(2.0, -ends.take(at).mean(axis=1) / scale)
         return pd.Series(out)
 
     # The masked, filled values are only the model's view; the reports keep their own.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fairlead.functions import coerce
 from fairlead.operators.ranking import exact_quantiles
+from fairlead.session import cut_lineage
 
 NUMBERS = ("latitude", "longitude", "sog", "cog", "heading", "length_m", "width_m", "draft_m")
 
@@ -28,12 +29,15 @@ def missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame) -> DataFrame:
+def profile_table(df: DataFrame, store: bool = True) -> DataFrame:
     """Long table (subject, metric, value).
 
     Full-row copies are counted from groups of equal rows, which collapse before
-    the shuffle; everything else is one conditional aggregation.
+    the shuffle; everything else is one conditional aggregation. Several passes
+    are needed, so a text source is parsed once into a columnar copy; give
+    ``store=False`` for a table that already is one.
     """
+    df = cut_lineage(df) if store else df
     numbers = [c for c in NUMBERS if c in df.columns]
     typed = df.withColumns({c: coerce.number(df, c) for c in numbers} | {"timestamp": coerce.instant(df, "timestamp")})
     quantiles = exact_quantiles(typed, numbers, [0.25, 0.5, 0.75])

@@ -50,27 +50,27 @@ def _bucketed(df: DataFrame, splits: list[float]) -> DataFrame:
 
 @dataclass(frozen=True)
 class ScoreReference:
-    """Distribution of reference scores: cumulative count per distinct score.
+    """Distribution of reference scores: frequency ``n`` of every distinct score.
 
     ``splits`` cut the score into ranges with about equally many distinct
     values, at most 512; ``floors`` counts the scores before each range.
     """
 
-    ranks: DataFrame
+    counts: DataFrame
     splits: list[float]
     floors: list[int]
     total: int
 
     def save(self, path: str) -> None:
-        self.ranks.write.mode("overwrite").parquet(f"{path}/ranks")
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
         head = json.dumps({"splits": self.splits, "floors": self.floors, "total": self.total})
-        spark = self.ranks.sparkSession
+        spark = self.counts.sparkSession
         spark.createDataFrame([(head,)], "head string").write.mode("overwrite").parquet(f"{path}/head")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ScoreReference":
         head = json.loads(spark.read.parquet(f"{path}/head").first().head)
-        return cls(spark.read.parquet(f"{path}/ranks"), head["splits"], head["floors"], head["total"])
+        return cls(spark.read.parquet(f"{path}/counts"), head["splits"], head["floors"], head["total"])
 
 
 def fit_reference(df: DataFrame, column: str = "ml_anomaly_score") -> ScoreReference:
@@ -92,9 +92,7 @@ def fit_reference(df: DataFrame, column: str = "ml_anomaly_score") -> ScoreRefer
     floors = [0]
     for bucket in range(len(splits) - 2):
         floors.append(floors[-1] + sizes.get(bucket, 0))
-    within = Window.partitionBy("bucket").orderBy("score")
-    ranks = placed.select("bucket", "score", (_floor(floors) + F.sum("n").over(within)).alias("rank"))
-    return ScoreReference(ranks, splits, floors, total)
+    return ScoreReference(placed.select("bucket", "score", "n"), splits, floors, total)
 
 
 def _floor(floors: list[int]) -> Column:
@@ -119,19 +117,16 @@ def with_percentile(
     score = F.when(~F.isnan(score), score)
     probes = df.select(score.alias("score")).filter("score is not null")
     probes = _bucketed(probes.groupBy("score").agg(F.count(F.lit(1)).alias("_rows")), reference.splits)
-    merged = (
-        reference.ranks.select("bucket", "score", "rank", F.lit(0).cast("bigint").alias("_rows"))
-        .unionByName(probes.select("bucket", "score", F.lit(None).cast("bigint").alias("rank"), "_rows"))
-        .groupBy("bucket", "score")
-        .agg(F.max("rank").alias("rank"), F.sum("_rows").alias("_rows"))
-    )
+    # Reference and asked scores side by side; the running count includes equal scores.
     along = Window.partitionBy("bucket").orderBy("score")
     ranked = (
-        merged.withColumn("_seen", F.coalesce(F.last("rank", ignorenulls=True).over(along), _floor(reference.floors)))
+        reference.counts.select("bucket", "score", "n", F.lit(0).cast("bigint").alias("_rows"))
+        .unionByName(probes.select("bucket", "score", F.lit(0).cast("bigint").alias("n"), "_rows"))
+        .withColumn("_rank", _floor(reference.floors) + F.sum("n").over(along))
         .filter("_rows > 0")
         .select(
             F.col("score").alias("_score"),
-            (F.col("_seen") * 100.0 / F.lit(reference.total)).alias(name),
+            (F.col("_rank") * 100.0 / F.lit(reference.total)).alias(name),
             F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_parts"),
         )
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fairlead.config import RuleThresholds
 from fairlead.functions import coerce
+from fairlead.functions.fence import evaluate_once
 from fairlead.schema import RULE_MESSAGES, RULE_NAMES, RULES, require_columns
 
 
@@ -28,14 +29,14 @@ def _conditions(df: DataFrame, limits: RuleThresholds) -> dict[str, Column]:
 
 def rule_flag(df: DataFrame, rule: str, limits: RuleThresholds = RuleThresholds()) -> DataFrame:
     """Add one rule's flag only."""
-    return df.withColumn(f"flag_{rule}", coerce.false_if_null(_conditions(df, limits)[rule]))
+    flag = f"flag_{rule}"
+    return evaluate_once(df.withColumn(flag, coerce.false_if_null(_conditions(df, limits)[rule])), [flag])
 
 
 def flag_rules(df: DataFrame, limits: RuleThresholds = RuleThresholds()) -> DataFrame:
     """Add all seven flags in one projection."""
-    return df.withColumns(
-        {f"flag_{rule}": coerce.false_if_null(test) for rule, test in _conditions(df, limits).items()}
-    )
+    flags = {f"flag_{rule}": coerce.false_if_null(test) for rule, test in _conditions(df, limits).items()}
+    return evaluate_once(df.withColumns(flags), list(flags))
 
 
 def annotate(df: DataFrame, limits: RuleThresholds = RuleThresholds()) -> DataFrame:
