@@ -79,9 +79,10 @@ def risk_validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.withColumn("rule_flag_count", F.col("rule_flag_count").try_cast("int")), bad
 
 
-def message_project(df: DataFrame) -> DataFrame:
-    """Message record of a validated report row."""
+def message_project(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Message record of a validated report row; ``keep`` names further columns."""
     return df.select(
+        *keep,
         "id",
         "mmsi",
         "timestamp",

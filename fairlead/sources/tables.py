@@ -63,20 +63,22 @@ class DatedTable:
         Equal keys inside the source count once, the first by ``order``. Further
         columns of the source (its file) stay on the rows.
         """
-        batch = source.withColumn(DATE, F.to_date(self.time))
-        first = last_per_key(batch.withColumn("_order", -F.col(order).cast("bigint")), (*self.keys, DATE), "_order")
-        return cut_lineage(first.drop("_order").join(self._stored_on(batch), [*self.keys, DATE], "left_anti").drop(DATE))
+        first = last_per_key(source.withColumn("_order", -F.col(order).cast("bigint")), self.keys, "_order")
+        # Stored before its dates are looked up, so the source is computed once.
+        batch = cut_lineage(first.drop("_order").withColumn(DATE, F.to_date(self.time)))
+        return cut_lineage(batch.join(self._stored_on(batch), [*self.keys, DATE], "left_anti").drop(DATE))
 
     def append(self, fresh: DataFrame) -> None:
         self._dated(fresh).write.mode("append").partitionBy(DATE).parquet(self.path)
 
     def insert_new(self, source: DataFrame, order: str) -> tuple[int, int]:
         """Append what is new; (offered, inserted) counts. A repeat inserts nothing."""
-        fresh = self.new_rows(source, order)
+        offered = cut_lineage(source)
+        fresh = self.new_rows(offered, order)
         inserted = fresh.count()
         if inserted:
             self.append(fresh)
-        return source.count(), inserted
+        return offered.count(), inserted
 
     def upsert(self, source: DataFrame, order: str) -> int:
         """Insert or replace by key; of equal keys in the batch the last by ``order`` stays.
@@ -84,7 +86,7 @@ class DatedTable:
         Rewrites the touched dates only. The merged partitions are complete on
         disk before they replace the old ones, and a repeat gives the same table.
         """
-        batch = cut_lineage(last_per_key(self._dated(source), (*self.keys, DATE), order))
+        batch = cut_lineage(last_per_key(self._dated(source), self.keys, order))
         written = batch.count()
         if not written:
             return 0

@@ -75,7 +75,7 @@ def import_jobs(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], DataFrame
         valid, rejected = linking.import_validate(rows)
         metadata = [c for c in ("imo", "vessel_name", "call_sign", "vessel_type", "length_m", "width_m", "draft_m") if c in rows.columns]
         store.vessels.merge_vessels(linking.vessel_dim(valid.select("mmsi", "timestamp", "id", *metadata), "id"))
-        records = linking.message_project(valid).drop("position").join(rows.select("id", "job_id"), "id")
+        records = linking.message_project(valid, keep=("job_id",)).drop("position")
         fresh = store.messages.new_rows(records, order="id")
         store.messages.append(fresh)
         counted = lambda df, name: df.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))

@@ -16,11 +16,20 @@ from fairlead.streaming.store import Store
 RISK_VERSION = linking.RISK_VERSION
 
 
-@dataclass(frozen=True)
+@dataclass
 class BatchContext:
-    """What an imported batch brings: the identities of its valid rows."""
+    """What an imported batch brings: the identities of its valid rows.
+
+    Stages that need the annotated reports of the batch share one stored copy.
+    """
 
     keys: DataFrame
+    _annotated: DataFrame | None = None
+
+    def annotated(self, store: Store) -> DataFrame:
+        if self._annotated is None:
+            self._annotated = cut_lineage(annotated_batch(store, self))
+        return self._annotated
 
 
 @dataclass(frozen=True)
@@ -63,7 +72,7 @@ def annotated_batch(store: Store, batch: BatchContext) -> DataFrame:
 
 
 def rule_stage(store: Store, batch: BatchContext) -> StageResult:
-    incoming = cut_lineage(annotated_batch(store, batch))
+    incoming = batch.annotated(store)
     alerts = rules.explode_alerts(incoming, keep=("id",)).withColumnRenamed("id", "message_id")
     written = store.alerts.upsert(alerts, order="threshold")
     return StageResult("rule_anomalies", incoming.count(), written)
@@ -101,13 +110,13 @@ def stored_baseline(store: Store, trees: int = iforest.TREES) -> Baseline:
 
 
 def risk_stage(store: Store, batch: BatchContext) -> StageResult:
-    incoming = cut_lineage(annotated_batch(store, batch))
+    incoming = batch.annotated(store)
     processed = incoming.count()
     if not processed:
         return StageResult("hybrid_risk")
     baseline = stored_baseline(store)
     scored = cut_lineage(iforest.score(incoming, baseline.forest))
-    assessed = hybrid.assess(scored, baseline.reference)
+    assessed = cut_lineage(hybrid.assess(scored, baseline.reference))
     good, bad = linking.risk_validate(assessed)
     broken = bad.count()
     if broken:
