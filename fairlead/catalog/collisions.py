@@ -17,7 +17,7 @@ from fairlead.schema import RISK_LEVELS
     o.sql(f"SELECT mmsi, id, us AS timestamp, {rs('latitude', 'longitude', 'sog', 'cog')} FROM snap", *o.TO_SNAP),
 )
 def _(w):
-    return encounters.usable_snapshot(w.latest()).select("mmsi", "id", "timestamp", "latitude", "longitude", "sog", "cog")
+    return encounters.usable_snapshot(encounters.latest_reports(w.messages())).select("mmsi", "id", "timestamp", "latitude", "longitude", "sog", "cog")
 
 
 @query(
@@ -141,7 +141,7 @@ _KEY_COLUMNS = ("mmsi_a", "mmsi_b", "message_a", "message_b", "risk_level")
 
 @query("current_encounters", o.sql(f"SELECT {_KEYS} FROM cur", *o.TO_ENC, _CURRENT))
 def _(w):
-    return encounters.current_encounters(w.encounters(), w.messages()).select(*_KEY_COLUMNS)
+    return encounters.current_encounters(w.encounters(), w.latest()).select(*_KEY_COLUMNS)
 
 
 _DETAILS = """
@@ -178,7 +178,7 @@ _URGENT = "CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'mediu
     ),
 )
 def _(w):
-    found = search.collision_search(w.encounters(), w.messages(), minimum_tcpa=0.0, maximum_tcpa=40.0)
+    found = search.collision_search(w.encounters(), w.latest(), minimum_tcpa=0.0, maximum_tcpa=40.0)
     return search.page(search.most_urgent_first(found), 20, 5).select(*_KEY_COLUMNS, "tcpa_minutes")
 
 
@@ -192,4 +192,4 @@ def _(w):
 
 @query("collision_summary_current", o.sql(f"SELECT count(*) AS total, {_LEVELS} FROM cur", *o.TO_ENC, _CURRENT))
 def _(w):
-    return search.collision_summary(encounters.current_encounters(w.encounters(), w.messages()))
+    return search.collision_summary(encounters.current_encounters(w.encounters(), w.latest()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fairlead.plans.warehouse import Warehouse
-from fairlead.session import ensure_utc
+from fairlead.session import ensure_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
     def add(build: Callable[[Warehouse], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_utc(spark)
+            ensure_settings(spark)
             return tidy(build(Warehouse.open(spark, sf_dir)))
 
         QUERIES[name] = run

@@ -439,22 +439,22 @@ def as_records(scan: DataFrame, version: str = VERSION) -> DataFrame:
     )
 
 
-def snapshot_of(reports: DataFrame) -> DataFrame:
+def snapshot_of(latest: DataFrame) -> DataFrame:
     """Usable latest states, stored once because the scan reads them several times."""
-    return cut_lineage(usable_snapshot(latest_reports(reports)).select(*SIDE_COLUMNS))
+    return cut_lineage(usable_snapshot(latest).select(*SIDE_COLUMNS))
 
 
-def current_encounters(encounters: DataFrame, reports: DataFrame, active_minutes: int = 15) -> DataFrame:
+def current_encounters(encounters: DataFrame, latest: DataFrame, active_minutes: int = 15) -> DataFrame:
     """Encounters whose two reports are still their vessels' newest and recent.
 
     "No newer report" equals "is the newest report", so both sides join the
-    latest message ids; recency counts from the newest report of all.
+    latest state's message ids; recency counts from the newest report of all.
+    ``latest`` has one row per vessel, so no history is read.
     """
     if active_minutes < 1:
         raise ValueError("The active window must be at least one minute.")
-    newest = latest_reports(reports).select(F.col("id").alias("_id"), F.col("timestamp").alias("_ts"))
-    cutoff = reports.agg((F.max("timestamp") - F.expr(f"interval {int(active_minutes)} minutes")).alias("_cutoff"))
-    fresh = newest.crossJoin(F.broadcast(cutoff)).filter("_ts >= _cutoff").select("_id")
+    cutoff = latest.agg(F.max("timestamp") - F.expr(f"interval {int(active_minutes)} minutes"))
+    fresh = latest.filter(F.col("timestamp") >= cutoff.scalar()).select(F.col("id").alias("_id"))
     return encounters.join(fresh.withColumnRenamed("_id", "message_a"), "message_a", "left_semi").join(
         fresh.withColumnRenamed("_id", "message_b"), "message_b", "left_semi"
     )

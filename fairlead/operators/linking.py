@@ -129,14 +129,22 @@ def merge_vessels(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def link_alerts(alerts: DataFrame, messages: DataFrame) -> DataFrame:
     """Alerts with the id of the message they stem from, found by exact identity."""
-    ids = messages.groupBy(*MESSAGE_KEY).agg(F.max("id").alias("message_id"))
-    return alerts.join(ids, list(MESSAGE_KEY), "left")
+    return alerts.join(_ids_for(alerts, messages, MESSAGE_KEY), list(MESSAGE_KEY), "left")
 
 
 def link_risk(assessed: DataFrame, messages: DataFrame) -> DataFrame:
     """Assessments with a message id by vessel and time; of equal times the largest id."""
-    ids = messages.groupBy("mmsi", "timestamp").agg(F.max("id").alias("message_id"))
-    return assessed.join(ids, ["mmsi", "timestamp"], "left")
+    return assessed.join(_ids_for(assessed, messages, ("mmsi", "timestamp")), ["mmsi", "timestamp"], "left")
+
+
+def _ids_for(rows: DataFrame, messages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Largest message id per key, for the keys in ``rows`` only.
+
+    The semi join comes first: with few rows to link the messages are filtered
+    where they are scanned and never shuffled as a whole.
+    """
+    asked = messages.join(rows.select(*keys).distinct(), list(keys), "left_semi")
+    return asked.groupBy(*keys).agg(F.max("id").alias("message_id"))
 
 
 def matched(linked: DataFrame) -> DataFrame:
@@ -158,14 +166,9 @@ def incoming_keys(df: DataFrame) -> DataFrame:
 
 def affected_history(messages: DataFrame, keys: DataFrame) -> DataFrame:
     """All reports of the batch's vessels up to the batch's last time."""
-    until = keys.agg(F.max("timestamp").alias("_until"))
+    until = keys.agg(F.max("timestamp")).scalar()
     vessels = keys.select("mmsi").distinct()
-    return (
-        messages.join(vessels, "mmsi", "left_semi")
-        .crossJoin(F.broadcast(until))  # one row
-        .filter(F.col("timestamp") <= F.col("_until"))
-        .drop("_until")
-    )
+    return messages.filter(F.col("timestamp") <= until).join(vessels, "mmsi", "left_semi")
 
 
 def restrict_to_incoming(rows: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fairlead.functions import coerce
+from fairlead.functions.dates import in_range
 from fairlead.operators.encounters import latest_reports
 
 TOLERANCE_MINUTES = 5.0
@@ -32,8 +33,8 @@ def on_reference_day(messages: DataFrame) -> DataFrame:
     best = reference_day(messages).select(F.unix_micros("day").alias("micros")).first()
     if best is None:
         return messages.limit(0)
-    start, end = (F.timestamp_micros(F.lit(best.micros + days * 86_400_000_000)) for days in (0, 1))
-    return messages.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    start, end = (F.timestamp_micros(F.lit(best.micros + offset)) for offset in (0, 86_400_000_000 - 1))
+    return in_range(messages, "timestamp", start, end)
 
 
 def playback_bounds(messages: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def playback_bounds(messages: DataFrame) -> DataFrame:
 def playback_snapshot(messages: DataFrame, at: datetime, tolerance_minutes: float = TOLERANCE_MINUTES) -> DataFrame:
     """Newest report of every vessel in the closed interval [at - tolerance, at]."""
     earliest = at - timedelta(minutes=tolerance_minutes)
-    return latest_reports(messages.filter(F.col("timestamp").between(coerce.utc(earliest), coerce.utc(at))))
+    return latest_reports(in_range(messages, "timestamp", earliest, at))
 
 
 def playback_frames(
@@ -69,8 +70,9 @@ def playback_frames(
     since = F.unix_micros("timestamp") - begin
     first_frame = F.greatest(F.ceil(since / step), F.lit(0))
     final_frame = F.least(F.floor((since + reach) / step), last)
+    usable = in_range(messages, "timestamp", start - timedelta(minutes=tolerance_minutes), end)
     served = (
-        messages.withColumn("_first", first_frame.cast("bigint"))
+        usable.withColumn("_first", first_frame.cast("bigint"))
         .withColumn("_final", final_frame.cast("bigint"))
         .filter("_first <= _final")
         .withColumn("frame", F.explode(F.sequence("_first", "_final")))
@@ -83,4 +85,4 @@ def playback_frames(
 
 def playback_events(events: DataFrame, at: datetime, column: str = "timestamp", minutes: int = EVENT_MINUTES) -> DataFrame:
     """Events of the closed interval [at - minutes, at]."""
-    return events.filter(F.col(column).between(coerce.utc(at - timedelta(minutes=minutes)), coerce.utc(at)))
+    return in_range(events, column, at - timedelta(minutes=minutes), at)

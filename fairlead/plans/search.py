@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions import coerce
+from fairlead.functions.dates import DATE, in_range
 from fairlead.operators import hybrid, slices
 from fairlead.operators.encounters import current_encounters, latest_reports, urgency
 from fairlead.schema import RISK_LEVELS
@@ -33,29 +34,20 @@ def check_bounds(start: datetime | None, end: datetime | None) -> None:
         raise ValueError("start_time must be earlier than or equal to end_time.")
 
 
-def between(column: str, start: datetime | None, end: datetime | None) -> Column:
+def between(df: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
     check_bounds(start, end)
-    inside = F.lit(True)
-    if start is not None:
-        inside = inside & (F.col(column) >= coerce.utc(start))
-    if end is not None:
-        inside = inside & (F.col(column) <= coerce.utc(end))
-    return inside
-
-
-def watermark(messages: DataFrame, minutes: int = ACTIVE_MINUTES) -> DataFrame:
-    """Newest report time of all and the start of the active window: one row."""
-    return messages.agg(F.max("timestamp").alias("_newest")).withColumn(
-        "_cutoff", F.col("_newest") - F.expr(f"interval {int(minutes)} minutes")
-    )
+    return in_range(df, "timestamp", start, end)
 
 
 def within_watermark(df: DataFrame, messages: DataFrame, column: str, minutes: int = ACTIVE_MINUTES) -> DataFrame:
-    return (
-        df.crossJoin(F.broadcast(watermark(messages, minutes)))  # one row
-        .filter(F.col(column).between(F.col("_cutoff"), F.col("_newest")))
-        .drop("_cutoff", "_newest")
-    )
+    """Rows of the active window, measured back from the newest report of all.
+
+    The two bounds are scalar subqueries, so they reach the scan as constants.
+    ``messages`` may be the latest state per vessel: the newest report is the same.
+    """
+    newest = messages.agg(F.max("timestamp"))
+    cutoff = messages.agg(F.max("timestamp") - F.expr(f"interval {int(minutes)} minutes"))
+    return in_range(df, column, cutoff.scalar(), newest.scalar())
 
 
 # --- vessels and positions ---------------------------------------------------
@@ -156,7 +148,7 @@ def trajectory_points(
     mmsi: str | None = None,
 ) -> DataFrame:
     """The first ``limit`` points of every vessel in time order, with their position number."""
-    chosen = messages.filter(between("timestamp", start, end))
+    chosen = between(messages, start, end)
     if mmsi is not None:
         chosen = chosen.filter(F.col("mmsi") == mmsi)
     return slices.with_position(chosen, "point", tie="id").filter(F.col("point") <= limit)
@@ -204,7 +196,7 @@ def anomaly_search(
     active_minutes: int = ACTIVE_MINUTES,
 ) -> DataFrame:
     """Alerts that pass all given filters. Alerts carry vessel, place and message id."""
-    found = alerts.filter(between("timestamp", start, end))
+    found = between(alerts, start, end)
     for column, wanted in (("mmsi", mmsi), ("severity", severity), ("anomaly_type", anomaly_type)):
         if wanted is not None:
             found = found.filter(F.col(column) == wanted)
@@ -232,7 +224,7 @@ def risk_search(
     current_only: bool = False,
     active_minutes: int = ACTIVE_MINUTES,
 ) -> DataFrame:
-    found = risks.filter(between("timestamp", start, end))
+    found = between(risks, start, end)
     for column, wanted in (("mmsi", mmsi), ("risk_level", level), ("detector_agreement", agreement)):
         if wanted is not None:
             found = found.filter(F.col(column) == wanted)
@@ -286,17 +278,20 @@ def encounter_details(encounters: DataFrame, messages: DataFrame, vessels: DataF
         names = vessels.select(
             F.col("mmsi").alias(f"mmsi_{side}"), F.col("vessel_name").alias(f"name_{side}")
         )
-        state = messages.select(
-            F.col("id").alias(f"message_{side}"),
-            *[F.col(c).alias(f"{c}_{side}") for c in ("latitude", "longitude", "sog", "cog")],
-        )
-        detailed = detailed.join(names, f"mmsi_{side}").join(state, f"message_{side}")
+        columns = ["latitude", "longitude", "sog", "cog"]
+        keys = [f"message_{side}"]
+        if DATE in messages.columns:  # lets the encounters' dates select the partitions read
+            columns.append(DATE)
+            keys.append(f"{DATE}_{side}")
+            detailed = detailed.withColumn(keys[1], F.to_date(f"observed_at_{side}"))
+        state = messages.select(F.col("id").alias(keys[0]), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        detailed = detailed.join(names, f"mmsi_{side}").join(state, keys).drop(f"{DATE}_{side}")
     return detailed
 
 
 def collision_search(
     encounters: DataFrame,
-    messages: DataFrame,
+    latest: DataFrame,
     level: str | None = None,
     minimum_tcpa: float | None = None,
     maximum_tcpa: float | None = None,
@@ -309,7 +304,7 @@ def collision_search(
         found = found.filter(F.col("tcpa_minutes") >= minimum_tcpa)
     if maximum_tcpa is not None:
         found = found.filter(F.col("tcpa_minutes") <= maximum_tcpa)
-    return current_encounters(found, messages) if current_only else found
+    return current_encounters(found, latest) if current_only else found
 
 
 def most_urgent_first(found: DataFrame) -> DataFrame:

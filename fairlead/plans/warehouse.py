@@ -76,11 +76,12 @@ class Warehouse:
         )
 
     def latest(self) -> DataFrame:
-        return encounters.latest_reports(self.messages())
+        """One row per vessel; a deployment keeps it up to date with every batch."""
+        return self._stored("latest", lambda: encounters.latest_reports(self.messages()))
 
     def snapshot(self) -> DataFrame:
         if "snapshot" not in self._tables:
-            self._tables["snapshot"] = encounters.snapshot_of(self.messages())
+            self._tables["snapshot"] = encounters.snapshot_of(self.latest())
         return self._tables["snapshot"]
 
     def encounters(self) -> DataFrame:

@@ -25,13 +25,22 @@ def local_session(app: str = "fairlead", cores: str = "*", partitions: int = 8)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    return ensure_settings(session)
 
 
-def ensure_utc(spark: SparkSession) -> SparkSession:
-    """All report times are UTC; parsing and day arithmetic depend on it."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+_SETTINGS = {
+    # All report times are UTC; parsing and day arithmetic depend on it.
+    "spark.sql.session.timeZone": "UTC",
+    # The default INT96 has no statistics, so time filters could not skip row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+}
+
+
+def ensure_settings(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on."""
+    for key, value in _SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.session import ensure_utc
+from fairlead.session import ensure_settings
 
 _EPOCH_MICROS = 1704067200000000  # 2024-01-01 UTC
 
@@ -20,7 +20,7 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     One scan: every event becomes one to three rows (``_k`` 0 = spoiled base row,
     1 = exact copy, 2 = same time at another position).
     """
-    ensure_utc(spark)
+    ensure_settings(spark)
     e, u, k = F.col("event_id"), F.col("user_id"), F.col("_k")
     base = k == 0
     copies = F.array_compact(

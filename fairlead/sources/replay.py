@@ -21,22 +21,21 @@ def time_bucket(df: DataFrame, seconds: float = BUCKET_SECONDS) -> DataFrame:
     if seconds <= 0:
         raise ValueError("The bucket width must be positive.")
     width = int(seconds * 1_000_000)
-    origin = df.agg(F.unix_micros(F.min("timestamp")).alias("_origin"))
-    placed = df.crossJoin(F.broadcast(origin)).withColumn(  # one row
-        "bucket", F.floor((F.unix_micros("timestamp") - F.col("_origin")) / F.lit(width)).cast("bigint")
-    )
+    origin = df.agg(F.unix_micros(F.min("timestamp"))).scalar()
+    placed = df.withColumn("bucket", F.floor((F.unix_micros("timestamp") - origin) / F.lit(width)).cast("bigint"))
     # Count of non-empty buckets is bounded by recording length / width.
     numbers = placed.select("bucket").distinct().withColumn(
         "sequence", F.row_number().over(Window.orderBy("bucket")).cast("bigint")
     )
-    return placed.join(numbers, "bucket").withColumn("offset_seconds", F.col("bucket") * float(seconds)).drop("_origin")
+    return placed.join(numbers, "bucket").withColumn("offset_seconds", F.col("bucket") * float(seconds))
 
 
 def shift_timeline(df: DataFrame, start: datetime) -> DataFrame:
     """Move the recording so that its first report happens at ``start``."""
-    origin = df.agg(F.unix_micros(F.min("timestamp")).alias("_origin"))
-    moved = F.timestamp_micros(F.lit(coerce.utc_micros(start)) + F.unix_micros("timestamp") - F.col("_origin"))
-    return df.crossJoin(F.broadcast(origin)).withColumn("timestamp", moved).drop("_origin")
+    origin = df.agg(F.unix_micros(F.min("timestamp"))).scalar()
+    return df.withColumn(
+        "timestamp", F.timestamp_micros(F.lit(coerce.utc_micros(start)) + F.unix_micros("timestamp") - origin)
+    )
 
 
 def mmsi_mapping(df: DataFrame, first: int = FIRST_NUMBER) -> DataFrame:
@@ -74,9 +73,10 @@ def replay(df: DataFrame, start: datetime, seconds: float = BUCKET_SECONDS, pseu
 def write_time_batches(bucketed: DataFrame, path: str) -> None:
     """CSV batches, one folder per bucket; a bucket with many rows may span several files.
 
-    Rows are spread by bucket and a hash, so no single task writes a crowded bucket.
+    The rebalance hint groups small buckets and splits a crowded one over several
+    writing tasks, by the sizes seen at run time.
     """
-    spread = bucketed.repartition("sequence", F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(4)))
+    spread = bucketed.hint("rebalance", "sequence")
     stamped = spread.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ssXXX"))
     (
         stamped.sortWithinPartitions("sequence", "timestamp")

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fairlead.functions.dates import DATE
 from fairlead.operators.linking import last_per_key, merge_vessels
 from fairlead.session import cut_lineage
 
-DATE = "message_date"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,6 +28,11 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(location)] if system.exists(location) else []
 
 
+def days_of(dated: DataFrame) -> list:
+    """Calendar days in a batch: one value per day, not per report."""
+    return [r[0] for r in dated.select(DATE).distinct().collect()]
+
+
 @dataclass(frozen=True)
 class DatedTable:
     """Keyed table partitioned by the UTC date of ``time``."""
@@ -39,10 +44,10 @@ class DatedTable:
     time: str = "timestamp"
 
     def read(self) -> DataFrame:
+        """All rows, with the partition column so that filters can use it."""
         if not any(name.startswith(f"{DATE}=") for name in _children(self.spark, self.path)):
-            return self.spark.createDataFrame([], self.schema)
-        stored = self.spark.read.schema(f"{self.schema}, {DATE} date").parquet(self.path)
-        return stored.drop(DATE)
+            return self.spark.createDataFrame([], f"{self.schema}, {DATE} date")
+        return self.spark.read.schema(f"{self.schema}, {DATE} date").parquet(self.path)
 
     def _dated(self, df: DataFrame) -> DataFrame:
         names = [part.split()[0] for part in self.schema.split(", ")]
@@ -50,12 +55,7 @@ class DatedTable:
 
     def _stored_on(self, batch: DataFrame) -> DataFrame:
         """Stored rows of the dates in the batch; other partitions are not read."""
-        if not any(name.startswith(f"{DATE}=") for name in _children(self.spark, self.path)):
-            return self.spark.createDataFrame([], f"{self.schema}, {DATE} date")
-        stored = self.spark.read.schema(f"{self.schema}, {DATE} date").parquet(self.path)
-        # One row per calendar day of the batch, not per report.
-        days = [r[0] for r in batch.select(DATE).distinct().collect()]
-        return stored.filter(F.col(DATE).isin(days))
+        return self.read().filter(F.col(DATE).isin(days_of(batch)))
 
     def new_rows(self, source: DataFrame, order: str) -> DataFrame:
         """Rows of the source whose key is not stored yet, staged for appending.

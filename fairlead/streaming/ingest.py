@@ -6,13 +6,16 @@ from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fairlead.functions.dates import DATE
 from fairlead.operators import linking
+from fairlead.operators.encounters import latest_reports
 from fairlead.schema import CORE
-from fairlead.session import cut_lineage, ensure_utc
+from fairlead.session import cut_lineage, ensure_settings
 from fairlead.sources.files import file_digests, with_digest
+from fairlead.sources.tables import days_of
 from fairlead.streaming.registry import Job, error_text
 from fairlead.streaming.stages import LIVE_STAGES, BatchContext, Stage, run_stages
 from fairlead.streaming.store import Store
@@ -77,6 +80,9 @@ def import_jobs(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], DataFrame
         store.vessels.merge_vessels(linking.vessel_dim(valid.select("mmsi", "timestamp", "id", *metadata), "id"))
         records = linking.message_project(valid, keep=("job_id",)).drop("position")
         fresh = store.messages.new_rows(records, order="id")
+        # State first: after a crash in between, the retry finds the rows new again and
+        # merges the same reports; the other order would leave the state behind.
+        _keep_state(store, fresh)
         store.messages.append(fresh)
         counted = lambda df, name: df.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))
         counts = (
@@ -101,13 +107,24 @@ def import_jobs(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], DataFrame
     return finished, linking.incoming_keys(valid)
 
 
+def _keep_state(store: Store, fresh: DataFrame) -> None:
+    """Bring the newest report per vessel, overall and per day, up to date."""
+    known = store.latest.read()
+    store.latest.replace(latest_reports(known.unionByName(fresh.select(known.columns))))
+    dated = fresh.withColumn("day", F.to_date("timestamp")).withColumn(DATE, F.col("day"))
+    stored = store.day_ends.read().filter(F.col(DATE).isin(days_of(dated)))
+    both = stored.unionByName(dated.select(stored.columns))
+    newest = Window.partitionBy("mmsi", "day").orderBy(F.desc("timestamp"), F.desc("id"))
+    store.day_ends.upsert(both.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1"), order="timestamp")
+
+
 def ingest_batch(store: Store, files: DataFrame, stages: Sequence[Stage] | None = LIVE_STAGES) -> list[Job]:
     """Claim, import, then analyse what was imported.
 
     Analytics run only if something new came in. Their failure does not undo the
     import; it is recorded with the job, so ``retry_analytics`` can repeat them.
     """
-    ensure_utc(store.spark)
+    ensure_settings(store.spark)
     jobs = store.registry.claim(files)
     if not jobs:
         return []
@@ -149,7 +166,7 @@ def start_ingestion(
     **trigger,
 ) -> StreamingQuery:
     """Continuous ingestion. A repeated micro-batch is harmless: all writes are keyed."""
-    ensure_utc(store.spark)
+    ensure_settings(store.spark)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # The batch holds digests, a handful of columns per file.

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from fairlead.operators import encounters, hybrid, iforest, linking, motion, ranking, rules
 from fairlead.plans.playback import on_reference_day
 from fairlead.session import cut_lineage
-from fairlead.sources.tables import _exists
+from fairlead.functions.dates import DATE
+from fairlead.sources.tables import _exists, days_of
 from fairlead.streaming.store import Store
 
 RISK_VERSION = linking.RISK_VERSION
@@ -67,10 +68,29 @@ def annotated_batch(store: Store, batch: BatchContext) -> DataFrame:
     Late reports keep this meaning: only their own rows are (re)computed, stored
     successors keep what they had.
     """
-    history = linking.affected_history(store.messages.read(), batch.keys)
+    history = context_of(store, batch)
     return linking.restrict_to_incoming(rules.annotate(motion.live_features(history)), batch.keys)
 
 
+def context_of(store: Store, batch: BatchContext) -> DataFrame:
+    """All reports that can be a predecessor of a batch row, without the full history.
+
+    A predecessor lies on the same day, or is the last report of an earlier one.
+    So the batch's own days are read in full, and of other days only their last
+    reports; before the first day, only the newest of those.
+    """
+    days = days_of(batch.keys.withColumn(DATE, F.to_date("timestamp")))
+    messages, ends = store.messages.read(), store.day_ends.read()
+    columns = [c for c in messages.columns if c != DATE]
+    if not days:
+        return messages.select(columns).limit(0)
+    same_days = messages.filter(F.col(DATE).isin(days))
+    between_days = ends.filter((F.col(DATE) > min(days)) & (F.col(DATE) < max(days)) & ~F.col(DATE).isin(days))
+    before = encounters.latest_reports(ends.filter(F.col(DATE) < min(days)))
+    possible = same_days.select(columns).unionByName(between_days.select(columns)).unionByName(before.select(columns))
+    return linking.affected_history(possible, batch.keys)
+
+
 def rule_stage(store: Store, batch: BatchContext) -> StageResult:
     incoming = batch.annotated(store)
     alerts = rules.explode_alerts(incoming, keep=("id",)).withColumnRenamed("id", "message_id")
@@ -127,7 +147,7 @@ def risk_stage(store: Store, batch: BatchContext) -> StageResult:
 
 def collision_stage(store: Store, batch: BatchContext) -> StageResult:
     """Scan the latest state of all vessels again and store new encounters."""
-    snapshot = encounters.snapshot_of(store.messages.read())
+    snapshot = encounters.snapshot_of(store.latest.read())
     offered, inserted = store.encounters.insert_new(encounters.encounter_records(snapshot), order="message_a")
     return StageResult("collision_snapshot", offered, inserted)
 

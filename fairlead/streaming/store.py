@@ -44,6 +44,16 @@ class Store:
     def messages(self) -> DatedTable:
         return DatedTable(self.spark, f"{self.root}/messages", MESSAGES, ("mmsi", "timestamp", "latitude", "longitude"))
 
+    @property
+    def latest(self) -> VersionedTable:
+        """Newest report per vessel."""
+        return VersionedTable(self.spark, f"{self.root}/latest", MESSAGES)
+
+    @property
+    def day_ends(self) -> DatedTable:
+        """Last report per vessel and day: what later days need of earlier ones."""
+        return DatedTable(self.spark, f"{self.root}/day_ends", f"{MESSAGES}, day date", ("mmsi", "day"))
+
     @property
     def vessels(self) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/vessels", VESSELS)
