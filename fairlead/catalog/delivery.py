@@ -163,6 +163,30 @@ def _(w):
     return _store(w).registry.jobs().groupBy("status", "analytics_status").agg(*[F.sum(c).alias(c) for c in counters])
 
 
+@query("file_registry_claim", o.sql("SELECT count(*) > 0 AS known_files, 0 AS claimed_again FROM clean", *o.TO_CLEAN))
+def _(w):
+    """Every delivered file offered once more: all completed, none is claimed."""
+    registry = _store(w).registry
+    offered = registry.jobs().select(
+        F.col("source_file").alias("path"), F.element_at(F.split("source_file", "/"), -1).alias("name"),
+        "size_bytes", "content_sha256",
+    )
+    again = registry.claim(offered)
+    return offered.agg((F.count(F.lit(1)) > 0).alias("known_files"), F.lit(len(again)).cast("bigint").alias("claimed_again"))
+
+
+@query("incremental_file_source")
+def _(w):
+    """The delivered raw files as a stream reads them: each once, with its digest."""
+    out, checkpoint = (scratch_path(w.spark, f"files-{n}") for n in ("out", "checkpoint"))
+    stream = (
+        ingest.file_stream(w.spark, _raw_csv(w), 4).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    return w.spark.read.parquet(out).select("name", "size_bytes", "content_sha256")
+
+
 @query("stored_vessels", o.sql("SELECT mmsi, vessel_type, first_seen, last_seen FROM vessels", *o.TO_CLEAN, o.VESSELS))
 def _(w):
     return _store(w).vessels.read().select("mmsi", "vessel_type", "first_seen", "last_seen")
@@ -203,7 +227,7 @@ def _(w):
 
 
 @query(
-    "stage_pipeline",
+    "analytics_stages",
     o.sql("SELECT 'rule_anomalies' AS stage, (SELECT count(*) FROM clean) AS processed, (SELECT count(*) FROM alerts) AS created "
           "UNION ALL SELECT 'hybrid_risk', (SELECT count(*) FROM clean), (SELECT count(*) FROM clean) "
           "UNION ALL SELECT 'collision_snapshot', (SELECT count(*) FROM enc), 0", *o.TO_ALERTS, o.LATEST, o.SCAN20, o.ENC),
@@ -224,9 +248,14 @@ _STATEFUL = ("elapsed_seconds", "distance_nm", "calculated_speed_knots", "course
 @query("stateful_motion", o.sql(f"SELECT id, mmsi, us AS timestamp, {rs(*_STATEFUL)} FROM feat", *o.TO_FEAT))
 def _(w):
     """A stream over the stored reports, run until everything available is processed."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = w.spark.conf.get(provider)
-    w.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # One state store per shuffle partition: as many as cores are enough here.
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(w.spark.sparkContext.defaultParallelism),
+    }
+    before = {key: w.spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        w.spark.conf.set(key, value)
     source, out, checkpoint = (scratch_path(w.spark, f"motion-{n}") for n in ("in", "out", "checkpoint"))
     try:
         w.messages().write.parquet(source)
@@ -235,5 +264,6 @@ def _(w):
         stream = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         stream.awaitTermination()
     finally:
-        w.spark.conf.set(provider, before)
+        for key, value in before.items():
+            w.spark.conf.set(key, value)
     return w.spark.read.parquet(out).select("id", "mmsi", "timestamp", *_STATEFUL)

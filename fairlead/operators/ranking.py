@@ -15,7 +15,7 @@ ROWS_PER_TASK = 1_000_000
 
 
 def cumulative_counts(counts: DataFrame, keys: list[str], value: str, bucket: str) -> DataFrame:
-    """Add ``rank``: the sum of ``n`` over all values up to this one, within ``keys``.
+    """Add ``rank``, the sum of ``n`` over all values up to this one within ``keys``, and ``size``, over all.
 
     ``counts`` has one row per (keys, value) with its frequency ``n``; ``bucket``
     is any non-decreasing function of the value. Each (keys, bucket) is summed
@@ -27,7 +27,12 @@ def cumulative_counts(counts: DataFrame, keys: list[str], value: str, bucket: st
     totals = (
         counts.groupBy(*keys, bucket)
         .agg(F.sum("n").alias("_n"))
-        .select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(
+            *keys,
+            bucket,
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("size"),
+        )
     )
     return (
         counts.withColumn("_inside", F.sum("n").over(inside))
@@ -236,12 +241,7 @@ def grouped_medians(df: DataFrame, key: str, column: str, width: float) -> DataF
         .withColumn("_bucket", F.floor(F.col(column) / width))
     )
     ranked = cumulative_counts(counts, [key], column, "_bucket")
-    sizes = counts.groupBy(key).agg(F.sum("n").alias("_size"))
-    first = F.floor((F.col("_size") - 1) / 2) + 1
-    second = F.floor(F.col("_size") / 2) + 1
+    first = F.floor((F.col("size") - 1) / 2) + 1
+    second = F.floor(F.col("size") / 2) + 1
     pick = lambda k: F.min(F.when(F.col("rank") >= k, F.col(column)))
-    return (
-        ranked.join(sizes, key)
-        .groupBy(key)
-        .agg(((pick(first) + pick(second)) / 2).alias(f"median_{column}"))
-    )
+    return ranked.groupBy(key).agg(((pick(first) + pick(second)) / 2).alias(f"median_{column}"))
