@@ -15,7 +15,7 @@ from fairlead.operators import cleaning
 from fairlead.session import scratch_path
 from fairlead.sources import files, replay
 from fairlead.streaming import ingest, stages
-from fairlead.streaming.stateful import stateful_motion
+from fairlead.streaming.stateful import report_stream, stateful_motion
 from fairlead.streaming.store import Store
 
 _SOURCE_NAMES = {
@@ -259,7 +259,7 @@ def _(w):
     source, out, checkpoint = (scratch_path(w.spark, f"motion-{n}") for n in ("in", "out", "checkpoint"))
     try:
         w.messages().write.parquet(source)
-        reports = w.spark.readStream.schema(w.messages().schema).parquet(source)
+        reports = report_stream(w.spark, source, w.messages().schema)
         writer = stateful_motion(reports).writeStream.format("parquet").option("path", out)
         stream = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         stream.awaitTermination()

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_folders: dict[str, str] = {}
+_local = threading.local()
 
 
 def local_session(app: str = "fairlead", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -72,5 +76,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
+    if scopes := getattr(_local, "scopes", None):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table of our own, wherever the shared folder lives."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the stored intermediate results made inside when leaving.
+
+    For long-running ingestion, whose batches would fill the folder otherwise.
+    Results must not be read afterwards.
+    """
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    paths: list[str] = []
+    _local.scopes.append(paths)
+    try:
+        yield
+    finally:
+        _local.scopes.remove(paths)
+        for path in paths:
+            delete_path(spark, path)

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.functions.dates import DATE
 from fairlead.operators.linking import last_per_key, merge_vessels
-from fairlead.session import cut_lineage
+from fairlead.session import cut_lineage, delete_path
+
+KEPT_VERSIONS = 5
 
 
 
@@ -123,6 +125,9 @@ class VersionedTable:
         names = [part.split()[0] for part in self.schema.split(", ")]
         started = [int(n[2:]) for n in _children(self.spark, self.path) if n.startswith("v=")]
         df.select(*names).write.parquet(f"{self.path}/v={max(started, default=0) + 1}")
+        # A few versions stay for queries that already read them.
+        for old in self._versions()[:-KEPT_VERSIONS]:
+            delete_path(self.spark, f"{self.path}/v={old}")
 
     def merge_vessels(self, incoming: DataFrame) -> None:
         """Take over new metadata and widen the seen interval."""

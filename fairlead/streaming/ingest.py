@@ -13,7 +13,7 @@ from fairlead.functions.dates import DATE
 from fairlead.operators import linking
 from fairlead.operators.encounters import latest_reports
 from fairlead.schema import CORE
-from fairlead.session import cut_lineage, ensure_settings
+from fairlead.session import cut_lineage, ensure_settings, temporary_stages
 from fairlead.sources.files import file_digests, with_digest
 from fairlead.sources.tables import days_of
 from fairlead.streaming.registry import Job, error_text
@@ -125,11 +125,12 @@ def ingest_batch(store: Store, files: DataFrame, stages: Sequence[Stage] | None
     import; it is recorded with the job, so ``retry_analytics`` can repeat them.
     """
     ensure_settings(store.spark)
-    jobs = store.registry.claim(files)
-    if not jobs:
-        return []
-    finished, keys = import_jobs(store, jobs)
-    return _analyse(store, finished, keys, stages)
+    with temporary_stages(store.spark):
+        jobs = store.registry.claim(cut_lineage(files))
+        if not jobs:
+            return []
+        finished, keys = import_jobs(store, jobs)
+        return _analyse(store, finished, keys, stages)
 
 
 def _analyse(store: Store, finished: list[Job], keys: DataFrame | None, stages: Sequence[Stage] | None) -> list[Job]:
@@ -170,7 +171,7 @@ def start_ingestion(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # The batch holds digests, a handful of columns per file.
-        ingest_batch(store, cut_lineage(batch), stages)
+        ingest_batch(store, batch, stages)
 
     return (
         file_stream(store.spark, directory, files_per_trigger)
@@ -198,7 +199,8 @@ def retry_analytics(store: Store, stages: Sequence[Stage] = LIVE_STAGES) -> bool
     if not jobs:
         return False
     keys = store.messages.read().filter(F.col("job_id").isin([j.job_id for j in jobs])).select("mmsi", "timestamp").distinct()
-    run_stages(store, BatchContext(cut_lineage(keys)), stages)
+    with temporary_stages(store.spark):
+        run_stages(store, BatchContext(cut_lineage(keys)), stages)
     store.registry.record(replace(j, analytics_status="completed", analytics_error=None) for j in jobs)
     return True
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.operators import motion
@@ -24,7 +24,11 @@ _FIELDS = [part.split()[0] for part in _STATE.split(", ")]
 
 
 class PreviousReport(StatefulProcessor):
-    """Attach to each report the one before it; state is a single report per vessel."""
+    """Attach to each report the one before it; state is a single report per vessel.
+
+    A vessel's reports of one trigger are sorted in memory; ``report_stream``
+    bounds a trigger by bytes, so that this stays small however skewed the feed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", _STATE)
@@ -41,6 +45,11 @@ class PreviousReport(StatefulProcessor):
         pass
 
 
+def report_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: str = "512m") -> DataFrame:
+    """Stored reports as a stream whose triggers take at most about this much."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
+
+
 def stateful_motion(reports: DataFrame) -> DataFrame:
     """Streaming features; the arithmetic is the batch operator's, in built-in expressions."""
     chosen = reports.select("id", "mmsi", *_FIELDS)

@@ -111,6 +111,9 @@ def test_vessel_merge(spark, tmp_path):
     assert got["1"].vessel_name == "new" and got["1"].call_sign == "CS"
     assert (got["1"].first_seen, got["1"].last_seen) == (datetime(2024, 1, 1), datetime(2024, 1, 3))
     assert got["2"].vessel_name is None
+    for _ in range(6):
+        table.replace(table.read())
+    assert len(list((tmp_path / "v").glob("v=*"))) == 5
     # An unfinished version is not seen.
     (tmp_path / "v" / "v=99").mkdir()
     assert table.read().count() == 2

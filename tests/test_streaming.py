@@ -1,8 +1,10 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from fairlead.session import shared_dir
 from fairlead.streaming import ingest, stages
 from fairlead.streaming.stages import StageResult
 from fairlead.streaming.store import Store
@@ -100,6 +102,7 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
 
     monkeypatch.setattr(stages.Baseline, "fit", classmethod(counted))
     checkpoint = str(tmp_path / "checkpoint")
+    stages_before = len(list(Path(shared_dir(spark)).glob("stage-*")))
 
     def run():
         query = ingest.start_ingestion(store, str(inbox), checkpoint)
@@ -121,6 +124,7 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
     assert fitted == [1]
     run()
     assert store.messages.read().count() == 61
+    assert len(list(Path(shared_dir(spark)).glob("stage-*"))) == stages_before
 
 
 def test_stateful_motion(spark, inbox, tmp_path):
