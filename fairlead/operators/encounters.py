@@ -35,19 +35,15 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     return reports.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
-def _usable() -> Column:
+def _usable(timed: bool = True) -> Column:
     finite = lambda c: coerce.false_if_null(F.abs(F.col(c)) < float("inf")) & ~F.isnan(c)
     ok = F.trim("mmsi") != ""
     for c in ("latitude", "longitude", "sog", "cog"):
         ok = ok & finite(c)
-    ok = (
-        ok
-        & F.col("timestamp").isNotNull()
-        & F.col("latitude").between(-90.0, 90.0)
-        & F.col("longitude").between(-180.0, 180.0)
-        & (F.col("sog") >= 0.0)
-    )
-    return coerce.false_if_null(ok)
+    if timed:
+        ok = ok & F.col("timestamp").isNotNull()
+    placed = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
+    return coerce.false_if_null(ok & placed & (F.col("sog") >= 0.0))
 
 
 def usable_snapshot(latest: DataFrame) -> DataFrame:
@@ -71,7 +67,7 @@ def require_motion(vessels: DataFrame) -> DataFrame:
     """Fail while running if any state lacks usable motion."""
     return vessels.withColumn(
         "mmsi",
-        F.when(_usable(), F.col("mmsi")).otherwise(
+        F.when(_usable("timestamp" in vessels.columns), F.col("mmsi")).otherwise(
             F.raise_error(F.concat(F.lit("unusable vessel motion: "), F.coalesce("mmsi", F.lit("no mmsi"))))
         ),
     )
@@ -142,6 +138,7 @@ def encounter_candidates(
     max_distance_nm: float = SCAN_RADIUS_NM,
     max_gap_minutes: float | None = None,
     cell_rows: int = CELL_ROWS,
+    check: bool = True,
 ) -> DataFrame:
     """All pairs within the great-circle radius, each once with ``a_mmsi < b_mmsi``.
 
@@ -151,13 +148,17 @@ def encounter_candidates(
     in time are never built.
 
     ``vessels`` holds one state per vessel and is read by several branches: give
-    it as a stored snapshot.
+    it as a stored snapshot. Two states of a vessel or unusable motion are an
+    error; ``check=False`` is for snapshots that were filtered already.
     """
     if not (math.isfinite(max_distance_nm) and max_distance_nm > 0.0):
         raise ValueError("The search radius must be a positive finite number.")
     if max_gap_minutes is not None and not (math.isfinite(max_gap_minutes) and max_gap_minutes >= 0.0):
         raise ValueError("The pair time gap must be a non-negative finite number.")
     require_columns(vessels, ("mmsi", "latitude", "longitude", "sog", "cog"), "encounter")
+    if check:
+        require_one_state_per_vessel(vessels)
+        vessels = require_motion(vessels)
     grid = Grid(max_distance_nm)
     placed = (
         vessels.withColumn("_band", grid.band(F.col("latitude")))
@@ -235,7 +236,7 @@ def candidate_metrics(vessels: DataFrame, max_distance_nm: float = SCAN_RADIUS_N
             + F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
         ).alias("checked"),
     )
-    found = encounter_candidates(vessels, max_distance_nm).agg(F.count(F.lit(1)).alias("candidate_count"))
+    found = encounter_candidates(vessels, max_distance_nm, check=False).agg(F.count(F.lit(1)).alias("candidate_count"))
     n = F.coalesce(F.col("vessels"), F.lit(0))
     return pairs.crossJoin(found).select(
         n.alias("vessel_count"),
@@ -373,9 +374,10 @@ def collision_scan(
     limits: ApproachThresholds = ApproachThresholds(),
     include_low: bool = False,
     max_gap_minutes: float | None = None,
+    check: bool = True,
 ) -> DataFrame:
-    """Candidates with approach and risk. ``cpa_distance_nm`` is the future one."""
-    pairs = encounter_candidates(vessels, max_distance_nm, max_gap_minutes)
+    """Candidates with approach and risk."""
+    pairs = encounter_candidates(vessels, max_distance_nm, max_gap_minutes, check=check)
     assessed = collision_risk(closest_approach(pairs), limits)
     if not include_low:
         assessed = assessed.filter(F.col("risk_level") != "low")
@@ -414,7 +416,7 @@ def encounter_records(
     """Rows to store: elevated, time-aligned encounters of the latest states."""
     if not version.strip():
         raise ValueError("The assessment version cannot be empty.")
-    scan = collision_scan(snapshot, max_distance_nm, limits, max_gap_minutes=max_gap_minutes)
+    scan = collision_scan(snapshot, max_distance_nm, limits, max_gap_minutes=max_gap_minutes, check=False)
     return as_records(pair_time_alignment(scan, max_gap_minutes), version)
 
 
@@ -487,7 +489,7 @@ def store_counters(
     They also count pairs too far apart in time, so this scan builds those; the
     rows to store come from ``encounter_records``, which does not.
     """
-    scan = collision_scan(snapshot, max_distance_nm, limits, include_low=True)
+    scan = collision_scan(snapshot, max_distance_nm, limits, include_low=True, check=False)
     elevated = F.col("risk_level") != "low"
     eligible = elevated & (aligned() <= int(max_gap_minutes * 60_000_000))
     known = stored.filter(F.col("assessment_version") == version).select(

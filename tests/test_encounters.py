@@ -122,13 +122,14 @@ def test_time_gap_in_the_join(spark):
 def test_bad_input(spark):
     df = vessels(spark, [("111111111", 0.0, 0.0, 5.0, 0.0), ("111111111", 0.0, 0.0, 5.0, 0.0)])
     with pytest.raises(ValueError, match="one state"):
-        encounters.require_one_state_per_vessel(df)
+        encounters.encounter_candidates(df)
     for radius in (0.0, -1.0, float("nan"), float("inf")):
         with pytest.raises(ValueError):
             encounters.encounter_candidates(df, radius)
-    bad = vessels(spark, [("111111111", 91.0, 0.0, 5.0, 0.0)]).withColumn("timestamp", F.current_timestamp())
-    with pytest.raises(Exception, match="unusable vessel motion"):
-        encounters.require_motion(bad).collect()
+    for state in ((91.0, 0.0, 5.0, 0.0), (0.0, 181.0, 5.0, 0.0), (0.0, 0.0, -1.0, 0.0), (0.0, 0.0, 5.0, None)):
+        bad = vessels(spark, [("111111111", *state)])
+        with pytest.raises(Exception, match="unusable vessel motion"):
+            encounters.encounter_candidates(bad).collect()
 
 
 def test_scan_order_and_low(spark):
