@@ -45,7 +45,7 @@ class PreviousReport(StatefulProcessor):
         pass
 
 
-def report_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: str = "512m") -> DataFrame:
+def report_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 512 * 1024 * 1024) -> DataFrame:
     """Stored reports as a stream whose triggers take at most about this much."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
 

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from fairlead.session import local_session
 
-    session = local_session("fairlead-tests", cores="4", partitions=4)
+    session = local_session("fairlead-tests", cores="8", partitions=4)
     yield session
     session.stop()
 

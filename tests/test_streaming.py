@@ -128,7 +128,7 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
 
 
 def test_stateful_motion(spark, inbox, tmp_path):
-    from fairlead.streaming.stateful import stateful_motion
+    from fairlead.streaming.stateful import report_stream, stateful_motion
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "id bigint, mmsi string, timestamp timestamp, latitude double, longitude double, sog double, cog double, heading double"
@@ -138,7 +138,7 @@ def test_stateful_motion(spark, inbox, tmp_path):
     write((1, "1", at(0), 0.0, 0.0, 10.0, 359.0, 1.0), (2, "1", at(1), 0.0, 0.01, 12.0, 1.0, 1.0), (3, "2", at(0), 9.0, 9.0, 1.0, 1.0, 1.0))
 
     def run():
-        features = stateful_motion(spark.readStream.schema(schema).parquet(str(source)))
+        features = stateful_motion(report_stream(spark, str(source), schema))
         query = (
             features.writeStream.format("parquet").option("path", str(tmp_path / "out"))
             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
