@@ -67,13 +67,18 @@ def dropped_lines(base: DataFrame, min_chars: int, min_documents: int) -> DataFr
         F.max("newest").alias("newest"),
         F.count_if(F.col("before").isNull() | (F.col("before") != F.col("doc"))).alias("documents"),
     )
-    of_key = (
-        of_slice.groupBy("h1", "h2")
-        .agg(F.sum("documents").alias("documents"), F.max("newest").alias("newest"))
+    # A key has one row per slice here, so these windows stay small for any key.
+    key = Window.partitionBy("h1", "h2")
+    common = (
+        of_slice.select(
+            "range", "h1", "h2", "slice",
+            F.sum("documents").over(key).alias("documents"), F.max("newest").over(key).alias("newest"),
+        )
         .filter(F.col("documents") >= min_documents)
-        .select("h1", "h2", "newest")
-    )
-    return slots.join(of_key, ["h1", "h2"]).filter("doc < newest").select("doc", "version", "pos")
+        .drop("documents")
+    )
+    found = slots.join(common, ["range", "h1", "h2", "slice"])
+    return found.filter("doc < newest").select("doc", "version", "pos")
 
 
 def drop_bitmaps(
