@@ -26,6 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_KIND = np.zeros(256, np.uint64)
+_KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 8
+for _n, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
+    _KIND[_c] = 1 << (4 + _n)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
@@ -68,7 +72,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE):
         at = end
 
 
-def _piece_words(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_words(raw: np.ndarray, borders: np.ndarray, with_shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and shape (the kinds of bytes that occur, as bits) of each word."""
     inside = ~_IS_SPACE[raw]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -81,20 +86,29 @@ def _piece_words(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.n
     sums[0] = 0
     np.cumsum(_BYTE[_LOWER[raw]] * _power(_BASE, len(raw)), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), starts
+    # White space has no kind, so a word's bits end with it.
+    shapes = np.bitwise_or.reduceat(_KIND[raw], starts) if with_shapes and len(starts) else np.zeros(0, np.uint64)
+    return mix(hashes + (ends - starts).astype(np.uint64)), starts, shapes
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin (one more than texts)."""
+def words_of(column: pa.Array, with_shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and shapes of all words in order, and where each text's words begin (one more than texts)."""
     data, offsets = buffers(column)
-    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, starts, shapes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at, end in pieces(data, offsets):
         lo, hi = np.searchsorted(offsets, [at, end])
         borders = offsets[lo:hi] - at
-        h, s = _piece_words(data[at:end], borders)
+        h, s, shape = _piece_words(data[at:end], borders, with_shapes)
         hashes.append(h)
         starts.append(s + at)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+        shapes.append(shape)
+    return np.concatenate(hashes), np.concatenate(shapes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin."""
+    hashes, _, begins = words_of(column, with_shapes=False)
+    return hashes, begins
 
 
 def shingle_sets(column: pa.Array, k: int):
