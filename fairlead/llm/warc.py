@@ -257,8 +257,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK
     of the chunks up to this one; the last chunk of a response must agree.
     """
     schema = _CHUNK_COLUMNS + ", chunk binary" * payloads
-    # One row per archive; dealt out so that each task reads about one file.
-    files = manifest.select("archive").repartition("archive")
+    # One row per archive. A stated number keeps Spark from joining these few small rows into one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.select("archive").repartition(tasks, "archive")
     return files.mapInArrow(_reader(chunk, payloads, 16 if payloads else 4096), schema)
 
 
