@@ -13,9 +13,13 @@ Within a bucket of equal blocks no pairs are written out at first: every member
 is offered with the bucket's smallest id (a star), each member takes the
 smallest offer whose sketch is near enough, and the exact sets decide. Only
 members of buckets that these links leave in several components are compared
-with each other, by Hamming distance and in cells of bounded size; what passes
-is verified on the exact sets. So no link is lost, and a large group of near
-copies costs a row per copy rather than per pair.
+with each other: few members as pairs, many in cells of bounded size by the
+Hamming distance of sketches folded to ``FOLDED`` words. What passes is held
+against the whole sketches and then against the exact sets. So no link is lost,
+and a large group of near copies costs a row per copy rather than per pair.
+
+The exact sets are made only for documents that a bit filter of fixed size lets
+pass, so texts are never shuffled.
 
 Defined results: a null or empty text has no shingles and no link. Rows without
 an id are not linked. Rows of one id are one document. Other columns are not
@@ -32,11 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import components, query, stored, table
-from fairlead.llm.tokens import list_array, shingle_sets
+from fairlead.llm.tokens import list_array, mix, shingle_sets
 
 BAND_RATIO = 1.2
 #: Members of a bucket that are compared in one cell with as many others.
 CELL = 512
+#: Members up to which a bucket is written out as pairs; larger ones are compared in cells.
+FEW = 16
+#: 64-bit words of a folded sketch, and bits of the filter of candidate documents.
+FOLDED = 16
+FILTER_BITS = 1 << 23
 _U32 = np.uint64(32)
 _SETS = "doc bigint, n bigint, k1 bigint, k2 bigint, sketches array<struct<band:int,bits:array<bigint>>>"
 
@@ -107,9 +116,32 @@ def _sketcher(words: int, percent: int):
     return run
 
 
-def _set_reader(words: int):
+def _filter_bits(docs: np.ndarray) -> np.ndarray:
+    return mix(docs.view(np.uint64)) & np.uint64(FILTER_BITS - 1)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[_filter_bits(batch.column(0).to_numpy())] = True
+    words = np.packbits(bits).view(np.int64)
+    used = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "bits"])
+
+
+def candidate_filter(ids: DataFrame) -> np.ndarray:
+    """Flags by hash of the ids; of fixed size, and only ever lets too many pass."""
+    words = ids.mapInArrow(_filter_words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = words.toArrow()
+    full = np.zeros(FILTER_BITS // 64, np.int64)
+    full[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return np.unpackbits(full.view(np.uint8)).astype(bool)
+
+
+def _set_reader(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[_filter_bits(batch.column(0).to_numpy())]))
             sets = [h.view(np.int64) for h in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets, pa.int64())], ["doc", "shingles"])
 
@@ -132,9 +164,9 @@ def _verifier(percent: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact shingle sets are similar enough, as a stored table."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = docs.join(ends, "doc", "left_semi")
-    sets = stored(texts.select("doc", "text").mapInArrow(_set_reader(words), "doc bigint, shingles array<bigint>"))
+    wanted = candidate_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")))
+    reader = _set_reader(words, docs.sparkSession.sparkContext.broadcast(wanted))
+    sets = stored(docs.select("doc", "text").mapInArrow(reader, "doc bigint, shingles array<bigint>"))
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
     return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a bigint, b bigint").distinct())
@@ -207,7 +239,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     classes = stored(classes.agg(F.min(F.struct("doc", "sketches")).alias("first")).select("n", "first.*"))
     entries = classes.select("doc", "n", F.explode("sketches").alias("s")).select("doc", "n", "s.band", "s.bits")
     blocks = entries.select("doc", "band", F.posexplode("bits").alias("block", "value")).select(
-        "doc", F.xxhash64("band", "block", "value").alias("key")
+        "doc", "band", F.xxhash64("band", "block", "value").alias("key")
     )
     buckets = blocks.groupBy("key").agg(
         F.min("doc").alias("center"), F.max("doc").alias("other"), F.count("*").alias("members")
@@ -226,7 +258,11 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     )
     left = entries.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), "band", F.col("bits").alias("bits_a"))
     right = entries.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), "band", F.col("bits").alias("bits_b"))
-    offers = star.join(left, "a").join(right, ["b", "band"]).filter(_near(percent))
+
+    def with_sketches(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, ["b", "band"])
+
+    offers = with_sketches(star).filter(_near(percent))
     first = stored(offers.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = verified(docs, first, words, percent)
 
@@ -239,19 +275,31 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")
     )
     open_buckets = stored(open_buckets.filter("lo < hi").select("key", "members"))
-    entered = entries.select("doc", "n", "band", "bits", F.posexplode("bits").alias("block", "value"))
-    entered = entered.select("doc", "n", "bits", F.xxhash64("band", "block", "value").alias("key"))
+    members = blocks.join(open_buckets, "key").join(placed, "doc")
+    few = members.filter(F.col("members") <= FEW).groupBy("key").agg(
+        F.collect_set(F.struct("doc", "component")).alias("all")
+    )
+    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    few = few.filter("x.doc < y.doc AND x.component <> y.component")
+    few = few.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
     chunks = F.ceil(F.col("members") / CELL).cast("int")
-    members = entered.join(open_buckets, "key").join(placed, "doc").withColumn("chunks", chunks)
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = members.select(
+    folded = F.expr(
+        f"transform(sequence(0, {FOLDED - 1}), i -> aggregate("
+        f"filter(bits, (x, j) -> j % {FOLDED} = i), 0L, (s, x) -> s ^ x))"
+    )
+    folds = entries.select("doc", "n", "band", folded.alias("bits"))
+    many = members.filter(F.col("members") > FEW).withColumn("chunks", chunks).join(folds, ["doc", "band"])
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = many.select(
         "key", F.least("chunk", "with").alias("ci"), F.greatest("chunk", "with").alias("cj"),
         "chunk", "doc", "component", "n", "bits",
     )
     cells = cells.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
-    rest = stored(cells.mapInArrow(_cell_pairs(percent), "a bigint, b bigint").distinct())
-    return stored(found.unionByName(verified(docs, rest, words, percent)))
+    many = cells.mapInArrow(_cell_pairs(percent), "a bigint, b bigint")
+    rest = with_sketches(few.unionByName(many).distinct()).filter(_near(percent)).select("a", "b").distinct()
+    return stored(found.unionByName(verified(docs, stored(rest), words, percent)))
 
 
 def near_duplicates(
@@ -282,7 +330,37 @@ def distinct_documents(
     return docs.join(gone, docs[id_col] == gone["doc"], "left_anti").select(*docs.columns)
 
 
-@query("op9_ngram_jaccard_join")
+@query(
+    "op9_ngram_jaccard_join",
+    r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1),
+             lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+    FROM w
+), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+         AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+    SELECT a AS node, b AS other FROM links
+    UNION
+    SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+       least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON s.doc_id = r.node
+GROUP BY s.doc_id, s.shingles
+""",
+)
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -128,7 +128,7 @@ def document_vectors(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     marks = np.zeros(texts * DIMS)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    for who, what in ((owner, mix(shapes + np.uint64(1))), (owner[same], np.full(int(same.sum()), mix(_REPEAT)))):
+    for who, what in ((owner, mix(shapes + np.uint64(1))), (owner[same], mix(np.full(int(same.sum()), _REPEAT)))):
         for place, sign in _index_places(what):
             marks += np.bincount(who * DIMS + place, sign, texts * DIMS)
     size = np.maximum(counts, 1)[:, None]
