@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline over text tables; each registers its query."""
 
-from fairlead.llm import jaccard, line_dedup, pieces, quality, warc  # noqa: F401
+from fairlead.llm import fingerprint, jaccard, line_dedup, pieces, quality, quotes, warc  # noqa: F401
 from fairlead.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -57,7 +57,7 @@ def dropped_lines(base: DataFrame, min_chars: int, min_documents: int) -> DataFr
     slots = line_hashes(base, min_chars).select(
         "*",
         F.shiftrightunsigned("h1", 64 - _RANGE_BITS).alias("range"),
-        F.floor(F.col("doc") / SLICE).alias("slice"),
+        F.expr(f"doc div {SLICE}").alias("slice"),
     )
     run = Window.partitionBy("range", "h1", "h2", "slice").orderBy(F.desc("doc"), "pos")
     streamed = slots.repartition("range", "slice").select(
