@@ -31,12 +31,12 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 8
 for _n, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _KIND[_c] = 1 << (4 + _n)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1), modulo 2**64."""
-    if len(_powers[base]) < n:
+    if len(_powers.get(base, ())) < n:
         full = np.full(max(n, PIECE), base, np.uint64)
         full[0] = 1
         _powers[base] = np.multiply.accumulate(full)
@@ -132,6 +132,17 @@ def shingle_sets(column: pa.Array, k: int):
             yield np.zeros(0, np.uint64)
 
 
+def window_hashes(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
+    """Hash of the ``width`` bytes from every position that has as many."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * _power(base, n), out=sums[1:])
+    return mix((sums[width:] - sums[: n - width + 1]) * _power(pow(base, -1, 1 << 64), n)[: n - width + 1])
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One list per part."""
     offsets = np.zeros(len(parts) + 1, np.int32)
