@@ -109,7 +109,7 @@ def _writer(folder: str):
                     if out is None:
                         store, path = fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.warc.gz")
                         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                        out = store.open_output_stream(path)
+                        out = store.open_output_stream(path, compression=None)
                     if no == 0:
                         digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                         member = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -238,7 +238,7 @@ def _reader(chunk: int, payloads: bool, rows_per_batch: int):
             for uri in batch.column("archive").to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
                 rows: list[tuple] = []
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     for row in _records(source, chunk, payloads):
                         rows.append(row)
                         if len(rows) >= rows_per_batch:
