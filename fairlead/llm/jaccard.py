@@ -312,14 +312,15 @@ def near_duplicates(
     joined = links(known, sets, words, percent)
     # Members of a class hang on its smallest id.
     firsts = sets.filter("n > 0 AND doc IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc").alias("first"))
-    of_class = components(joined).withColumnRenamed("node", "first")
-    classes = firsts.join(of_class, "first", "left").select(
-        "n", "k1", "k2", F.coalesce("component", "first").alias("component")
-    )
-    keys = sets.select("doc", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
+    keys = stored(sets.select("doc", "n", "k1", "k2").join(firsts, ["n", "k1", "k2"], "left"))
     # Rows of one id are one document, whatever texts they carry.
-    own = keys.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
-    return own
+    repeated = keys.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a < b")
+    several = keys.join(repeated.select("doc"), "doc", "left_semi")
+    several = several.filter("first IS NOT NULL AND first <> doc").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    of_class = components(joined.unionByName(several)).withColumnRenamed("node", "first")
+    found = keys.join(of_class, "first", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "first", "doc"))
+    return found.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))
 
 
 def distinct_documents(
