@@ -1,13 +1,23 @@
 r"""Near-duplicate documents: exact Jaccard links on word shingles by parity sketches.
 
+A shingle that no other document has is part of the symmetric difference of any
+pair, and a Jaccard similarity of at least s bounds that difference by
+n (1 - s) / s for a set of n. So documents with more shingles of their own than
+that have no link and go first. The shingles that occur more than once are kept
+as flags in a bit filter of fixed size; when it fills up, fewer documents go.
+Only a fixed share of the hash range is counted, twice the share a linked
+document may have of its own.
+
 Documents with equal shingle sets form classes; one of each class goes on. The
 set of a class is turned into a bit sketch: every shingle flips one bit, so the
-Hamming distance of two sketches is a lower bound of the symmetric difference.
-A Jaccard similarity of at least s bounds that difference for sets of at most
-``hi`` shingles by t = floor(2 hi (1 - s) / (1 + s)). Sizes are cut into bands;
-the sketches of a band have t + 1 blocks of 64 bits, so linked sets agree in a
-whole block (pigeonhole). A set near the upper end of its band is entered in the
-next one too. Blocks are joined by their hash.
+Hamming distance of two sketches is a lower bound of the symmetric difference,
+which is at most t = floor(2 hi (1 - s) / (1 + s)) for linked sets of at most
+``hi`` shingles. Sizes are cut into bands; the sketches of a band have t + 1 + w
+blocks of 64 bits, so linked sets agree in more than w whole blocks (pigeonhole).
+Blocks with less than two bits tell little: a set with at most w of them leaves
+them out, and still meets each linked set in another block. A set near the upper
+end of its band is entered in the next one too. Blocks are joined by a key, the
+exclusive or of the hashes in the block.
 
 Within a bucket of equal blocks no pairs are written out at first: every member
 is offered with the bucket's smallest id (a star), each member takes the
@@ -28,6 +38,7 @@ looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import components, query, stored, table
-from fairlead.llm.tokens import list_array, mix, shingle_sets
+from fairlead.llm.tokens import list_array, mix, shingle_sets, small_batches
 
 BAND_RATIO = 1.2
 #: Members of a bucket that are compared in one cell with as many others.
@@ -46,8 +57,10 @@ FEW = 16
 #: 64-bit words of a folded sketch, and bits of the filter of candidate documents.
 FOLDED = 16
 FILTER_BITS = 1 << 23
+#: Bits of the filter of shingles that occur more than once.
+SHARED_BITS = 1 << 27
 _U32 = np.uint64(32)
-_SETS = "doc bigint, n bigint, k1 bigint, k2 bigint, sketches array<struct<band:int,bits:array<bigint>>>"
+_SETS = "doc bigint, n bigint, k1 bigint, k2 bigint, sketches array<struct<band:int,keys:array<bigint>,bits:array<bigint>>>"
 
 
 @lru_cache(maxsize=None)
@@ -66,43 +79,131 @@ def allowed_difference(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
-def bands_for(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, blocks) a set of n shingles is entered in."""
+@lru_cache(maxsize=None)
+def blocks_of(hi: int, percent: int) -> tuple[int, int]:
+    """(blocks, spare) of the band that ends at ``hi``: blocks = t + 1 + spare."""
+    needed = allowed_difference(2 * hi, percent) + 1
+    smallest = max(1, int(hi / BAND_RATIO * percent / 100))
+    spare = 0
+    for _ in range(50):
+        fill = smallest / (needed + spare)
+        weak = (needed + spare) * math.exp(-fill) * (1 + fill)
+        more = math.ceil(weak + 3 * math.sqrt(weak))
+        if more > needed:
+            return needed, 0
+        if more <= spare:
+            return needed + spare, spare
+        spare = more
+    return needed, 0
+
+
+@lru_cache(maxsize=None)
+def bands_for(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, blocks, spare blocks) a set of n shingles is entered in."""
     found, size = [], n
     while size * percent <= n * 100:
         number, hi = band_of(size)
-        blocks = allowed_difference(2 * hi, percent) + 1
-        # With one block only equal sets can be linked, and those form a class already.
-        if blocks > 1:
-            found.append((number, blocks))
+        # Where no difference is allowed only equal sets can be linked, and those form a class already.
+        if allowed_difference(2 * hi, percent):
+            found.append((number, *blocks_of(hi, percent)))
         size = hi + 1
     return found
 
 
-def parity_sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """Every hash flips one of 64 bits of one block."""
+def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every hash flips one of 64 bits of one block; also the exclusive or of the hashes of each block."""
     block = ((hashes >> _U32) * np.uint64(blocks)) >> _U32
     bit = (block << np.uint64(6)) | (hashes & np.uint64(63))
     parity = (np.bincount(bit.astype(np.int64), minlength=blocks * 64) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64)
+    # Blocks follow the leading bits, so sorted hashes stand together by block.
+    sums = np.zeros(blocks, np.uint64)
+    if len(hashes):
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        sums[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(hashes, starts)
+    return np.packbits(parity).view(np.int64), sums
+
+
+def block_keys(bits: np.ndarray, sums: np.ndarray, band: int, spare: int) -> np.ndarray:
+    """Join keys of the blocks that count; all of them where too many are weak."""
+    places = np.arange(len(sums), dtype=np.uint64) | np.uint64((band + 1) << 32)
+    keys = mix(sums ^ mix(places)).view(np.int64)
+    weak = np.bitwise_count(bits.view(np.uint64)) < 2
+    return keys if np.count_nonzero(weak) > spare else keys[~weak]
 
 
-def _sketcher(words: int, percent: int):
+def counted_share(percent: int) -> np.uint64:
+    """Hashes below this are counted: twice the share of own shingles a linked set may have."""
+    share = min(1.0, 2 * (100 - percent) / percent)
+    return np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+
+def _token_counts(words: int, percent: int):
+    limit = counted_share(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, k1, k2, counts, bands, bits = [], [], [], [], [], []
+        for batch in small_batches(batches):
+            sets = [h[h < limit] for h in shingle_sets(batch.column(0), words)]
+            if sets:
+                found, times = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["token", "times"]
+                )
+
+    return run
+
+
+def _shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flags = np.zeros(SHARED_BITS, bool)
+    for batch in batches:
+        flags[batch.column(0).to_numpy().view(np.uint64) & np.uint64(SHARED_BITS - 1)] = True
+    words = np.packbits(flags).view(np.int64)
+    used = np.flatnonzero(words)
+    for at in range(0, len(used), 1 << 16):
+        part = used[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
+
+
+def shared_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Packed flags, by the low bits of the hash, of counted shingles that occur more than once."""
+    counts = docs.select("text").mapInArrow(_token_counts(words, percent), "token bigint, times int")
+    shared = counts.groupBy("token").agg(F.sum("times").alias("times")).filter("times > 1").select("token")
+    flags = shared.mapInArrow(_shared_words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    packed = np.zeros(SHARED_BITS // 64, np.int64)
+    for part in stored(flags).toArrow().to_batches():
+        packed[part.column("word").to_numpy()] = part.column("bits").to_numpy()
+    return packed
+
+
+def _sketcher(words: int, percent: int, shared):
+    limit = counted_share(percent)
+
+    def own(hashes: np.ndarray, flags: np.ndarray) -> int:
+        """Shingles that certainly no other document has."""
+        place = hashes[hashes < limit] & np.uint64(SHARED_BITS - 1)
+        bit = (flags[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
+        return len(bit) - int(bit.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = shared.value.view(np.uint8)
+        for batch in small_batches(batches):
+            n, k1, k2, counts, bands, keys, bits = [], [], [], [], [], [], []
             for hashes in shingle_sets(batch.column(1), words):
-                n.append(len(hashes))
+                size = len(hashes)
+                n.append(size)
                 k1.append(int(np.sum(hashes).view(np.int64)))
                 k2.append(int(np.sum(hashes * (hashes >> _U32 | np.uint64(1))).view(np.int64)))
-                entered = bands_for(len(hashes), percent) if len(hashes) else []
+                linkable = size and own(hashes, flags) * percent <= size * (100 - percent)
+                entered = bands_for(size, percent) if linkable else []
                 counts.append(len(entered))
-                for band, blocks in entered:
+                for band, blocks, spare in entered:
+                    sketch, sums = parity_sketch(hashes, blocks)
                     bands.append(band)
-                    bits.append(parity_sketch(hashes, blocks))
+                    bits.append(sketch)
+                    keys.append(block_keys(sketch, sums, band, spare))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             sketches = pa.StructArray.from_arrays(
-                [pa.array(bands, pa.int32()), list_array(bits, pa.int64())], ["band", "bits"]
+                [pa.array(bands, pa.int32()), list_array(keys, pa.int64()), list_array(bits, pa.int64())],
+                ["band", "keys", "bits"],
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,7 +241,7 @@ def candidate_filter(ids: DataFrame) -> np.ndarray:
 
 def _set_reader(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             batch = batch.filter(pa.array(wanted.value[_filter_bits(batch.column(0).to_numpy())]))
             sets = [h.view(np.int64) for h in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets, pa.int64())], ["doc", "shingles"])
@@ -229,18 +330,17 @@ def _cell_pairs(percent: int):
 
 
 def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Stored rows doc, n, k1, k2 (identity of the shingle set), sketches."""
-    return stored(docs.select("doc", "text").mapInArrow(_sketcher(words, percent), _SETS))
+    """Stored rows doc, n, k1, k2 (identity of the shingle set), sketches (none without a possible link)."""
+    shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, words, percent))
+    return stored(docs.select("doc", "text").mapInArrow(_sketcher(words, percent, shared), _SETS))
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) between classes; their components are those of all links."""
     classes = sets.filter("n > 0 AND doc IS NOT NULL").groupBy("n", "k1", "k2")
     classes = stored(classes.agg(F.min(F.struct("doc", "sketches")).alias("first")).select("n", "first.*"))
-    entries = classes.select("doc", "n", F.explode("sketches").alias("s")).select("doc", "n", "s.band", "s.bits")
-    blocks = entries.select("doc", "band", F.posexplode("bits").alias("block", "value")).select(
-        "doc", "band", F.xxhash64("band", "block", "value").alias("key")
-    )
+    entries = classes.select("doc", "n", F.explode("sketches").alias("s")).select("doc", "n", "s.band", "s.keys", "s.bits")
+    blocks = entries.select("doc", "band", F.explode("keys").alias("key"))
     buckets = blocks.groupBy("key").agg(
         F.min("doc").alias("center"), F.max("doc").alias("other"), F.count("*").alias("members")
     )

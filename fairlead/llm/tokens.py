@@ -55,6 +55,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(batches, rows: int = 1024):
+    """The batches in parts, so that what is made of each stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE):
     """(start, end) of pieces that end after white space or with a text."""
     at, n = 0, len(data)

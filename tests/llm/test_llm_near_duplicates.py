@@ -107,20 +107,23 @@ def test_sketch_distance_is_a_lower_bound():
     for _ in range(50):
         a = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
         b = np.concatenate([a[rng.integers(0, 40) :], rng.integers(0, 1 << 63, 25, dtype=np.uint64)])
-        x, y = (jaccard.parity_sketch(np.unique(s), 22).view(np.uint64) for s in (a, b))
+        x, y = (jaccard.parity_sketch(np.unique(s), 22)[0].view(np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        sums = jaccard.parity_sketch(np.unique(a), 22)[1]
+        whole = jaccard.block_keys(x.view(np.int64), sums, 3, 0)
+        assert len(jaccard.block_keys(x.view(np.int64), sums, 3, 22)) == np.count_nonzero(np.bitwise_count(x) > 1) <= len(whole) == 22
 
 
 def test_every_linked_pair_meets_in_a_band():
     for percent in (80, 90):
         for n in range(1, 400):
             for m in range(n, n * 100 // percent + 1):
-                shared = {b for b, _ in jaccard.bands_for(n, percent)} & {b for b, _ in jaccard.bands_for(m, percent)}
+                shared = {b for b, *_ in jaccard.bands_for(n, percent)} & {b for b, *_ in jaccard.bands_for(m, percent)}
                 # Only equal sets are linked where no band is shared.
                 assert shared or (n == m and jaccard.allowed_difference(2 * n, percent) < 1)
-                for band, blocks in jaccard.bands_for(n, percent):
+                for band, blocks, spare in jaccard.bands_for(n, percent):
                     if band in shared:
-                        assert blocks > jaccard.allowed_difference(n + m, percent)
+                        assert blocks - spare > jaccard.allowed_difference(n + m, percent)
 
 
 def test_words_do_not_depend_on_pieces(monkeypatch):
