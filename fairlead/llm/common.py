@@ -13,7 +13,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Shuffle files of a finished write are of no further use: its result is the written table.
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WHILE_STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -43,12 +46,14 @@ def stored(df: DataFrame) -> DataFrame:
     it are given back at once instead of at some later garbage collection.
     """
     spark = df.sparkSession
-    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in _WHILE_STORING}
     try:
+        for key, value in _WHILE_STORING.items():
+            spark.conf.set(key, value)
         return cut_lineage(df)
     finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, table
-from fairlead.llm.tokens import mix
+from fairlead.llm.tokens import mix, small_batches
 
 GRAM = 12
 RATE = 0.06
@@ -232,7 +232,7 @@ def contaminations(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
-                for batch in batches:
+                for batch in small_batches(batches):
                     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                     found = [(ids[d], shared.value.ids[i], a, b, e) for d, i, a, b, e in matches(texts, shared.value)]
                     if found:
@@ -253,7 +253,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
-                for batch in batches:
+                for batch in small_batches(batches):
                     clean = np.ones(batch.num_rows, bool)
                     clean[[m[0] for m in matches(batch.column(place).to_pylist(), shared.value)]] = False
                     yield batch.filter(pa.array(clean))

@@ -27,17 +27,20 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, table
-from fairlead.llm.tokens import list_array
+from fairlead.llm.tokens import list_array, small_batches
 
 MARK = "▁"
-#: Words a Python worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 300_000
+#: Words (and neighbouring pieces) a Python worker remembers before it starts anew, and those it
+#: keeps for its next task; they bound memory, not results.
+REMEMBERED = 200_000
+KEPT = 50_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NO_RANK = -1.0
 _END = ""
@@ -155,7 +158,7 @@ class Vocabulary:
                 limit, at_left, a = self.rank[a], True, self.halves[a][1]
             else:
                 limit, at_left, b = self.rank[b], False, self.halves[b][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > REMEMBERED:
             self.fits.clear()
         self.fits[key] = result
         return result
@@ -167,8 +170,6 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Ids of new distinct words, in one depth-first walk."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         root, previous = self.trie, ""
         # By depth: matches that run on, and (begin, piece, score) of the best end; piece -1 is a bare character.
         running: list[list] = [[]]
@@ -219,6 +220,11 @@ class Vocabulary:
                 at = begin
             self.known[word] = array("i", [i for part in reversed(back) for i in part]).tobytes()
 
+    def rest(self) -> None:
+        """Forget all but the first words, which are the common ones, as the worker may turn to other work."""
+        self.known = dict(islice(self.known.items(), KEPT))
+        self.fits = dict(islice(self.fits.items(), KEPT))
+
     def words(self, text: str) -> list[str]:
         """The marked words of a text; one blank between words is the common case."""
         if MARK not in text and "  " not in text and self.dummy_prefix and text[0] != " " and text[-1] != " ":
@@ -228,15 +234,14 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; None and empty texts have none."""
         out = []
-        known = self.known
         for at in range(0, len(texts), 256):
             cut = [self.words(t) if t else [] for t in texts[at : at + 256]]
-            new = set().union(*cut).difference(known)
-            if new:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set().union(*cut)
-                self.learn(new)
+            new = set().union(*cut).difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.rest()
+                new = set().union(*cut).difference(self.known)
+            self.learn(new)
+            known = self.known
             out += [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
         return out
 
@@ -291,18 +296,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.prepare()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                texts = batch.column(1)
-                given = texts.to_pylist()
-                ids = words.encode(given)
-                columns, names = [batch.column(0), _tokens_array(texts, ids)], ["id", "tokens"]
-                if check:
-                    same = [None if t is None else words.decode(i) == t for t, i in zip(given, ids)]
-                    columns.append(pa.array(same, pa.bool_()))
-                    names.append("round_trip")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in small_batches(batches):
+            texts = batch.column(1)
+            given = texts.to_pylist()
+            ids = words.encode(given)
+            columns, names = [batch.column(0), _tokens_array(texts, ids)], ["id", "tokens"]
+            if check:
+                same = [None if t is None else words.decode(i) == t for t, i in zip(given, ids)]
+                columns.append(pa.array(same, pa.bool_()))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays(columns, names)
+        words.rest()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id bigint, tokens array<int>" + ", round_trip boolean" * check)

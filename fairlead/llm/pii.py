@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, stored, table
+from fairlead.llm.tokens import small_batches
 
 DEFAULT_KEY = b"replace this key in production"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -219,7 +220,7 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None =
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         rows = [
             (d, v, kind, canon)
             for d, v, t in zip(*(c.to_pylist() for c in batch.columns))
@@ -289,7 +290,7 @@ def pseudonymize(
     joined = rows.join(late, same, "left").select("row", "text", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, counts = [], []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("late").to_pylist()):
                 attempts = {(x["kind"], x["canon"]): x["attempt"] for x in own} if own else None

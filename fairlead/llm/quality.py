@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, table
-from fairlead.llm.tokens import mix, words_of
+from fairlead.llm.tokens import mix, small_batches, words_of
 
 BUCKETS = 1 << 13
 DIMS = 64
@@ -60,7 +60,7 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per bucket with the summed index vectors of the neighbours of its words."""
     sums = np.zeros(BUCKETS * DIMS)
-    for batch in batches:
+    for batch in small_batches(batches):
         hashes, _, begins = words_of(batch.column(0), with_shapes=False)
         first = np.zeros(len(hashes) + 1, bool)
         first[begins] = True
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
     table_of_vectors = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = document_vectors(batch.column("text"), table_of_vectors.value)
             columns = [batch.column(c) for c in ("id", "y", "fold")]
             columns.append(pa.array(found.tolist(), pa.list_(pa.float64())))
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -254,7 +254,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(shared.value.scores(batch.column(place)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, stored, table
-from fairlead.llm.tokens import buffers, list_array, mix, window_hashes
+from fairlead.llm.tokens import buffers, list_array, mix, small_batches, window_hashes
 
 LENGTH = 100
 GRAM = 32
 _POSITION_BITS = 21
-SHARD = (1 << _POSITION_BITS) - 2
+#: At most 2**_POSITION_BITS - 2; half of that keeps a worker below 300 MB.
+SHARD = 1 << 20
 FILTER_BITS = 1 << 26
 #: Pieces of one key that one task merges; more are shared out.
 MOST_PIECES = 1 << 16
@@ -347,7 +348,7 @@ def repeated_spans(docs: DataFrame, shard: int = SHARD, most_pieces: int = MOST_
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         data, offsets = buffers(batch.column("text"))
         spans = batch.column("spans").to_pylist()
         sizes, removed, runs, kept, where = [], [], [], [], []
