@@ -81,11 +81,6 @@ def _(w):
     return text.select("ord", coerce.truth(text, "flag").alias("flag"))
 
 
-@query("scan_columns_pruned", o.sql("SELECT mmsi, us AS timestamp FROM raw", o.RAW))
-def _(w):
-    return w.raw().select("mmsi", "timestamp")
-
-
 @query(
     "validate_core",
     o.sql("SELECT ord, invalid_mmsi, invalid_timestamp, invalid_latitude, invalid_longitude, is_valid_core_record FROM std", *o.BASE),

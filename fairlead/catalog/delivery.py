@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from fairlead.catalog import oracle_base as o
 from fairlead.catalog.oracle_base import r, rs
 from fairlead.catalog.registry import query
-from fairlead.operators import cleaning
-from fairlead.session import scratch_path
+from fairlead.operators import cleaning, hybrid, iforest
+from fairlead.session import cut_lineage, scratch_path
 from fairlead.sources import files, replay
-from fairlead.streaming import ingest, stages
+from fairlead.streaming import importers, ingest, stages
 from fairlead.streaming.stateful import report_stream, stateful_motion
 from fairlead.streaming.store import Store
 
@@ -76,9 +76,32 @@ def _(w):
     return rows.select("mmsi", "timestamp")
 
 
-@query("file_digest_scan")
+@query("scan_columns_pruned", o.sql("SELECT mmsi, us AS timestamp FROM raw", o.RAW))
 def _(w):
-    return files.file_digests(w.spark, _raw_csv(w)).select("name", "size_bytes", "content_sha256")
+    """Two columns of the report files; the reader parses no others."""
+    raw = files.scan_columns(w.spark, _raw_csv(w), ["MMSI", "BaseDateTime"])
+    return raw.select(F.col("MMSI").alias("mmsi"), F.col("BaseDateTime").cast("timestamp").alias("timestamp"))
+
+
+def _digest_totals(w, found):
+    """Files against the folder they come from: every file once, true sizes and digests, and their rows."""
+    content = w.spark.read.format("binaryFile").load(_raw_csv(w))
+    name = F.element_at(F.split("path", "/"), -1)
+    held = content.select(name.alias("name"), "length", F.sha2("content", 256).alias("own"))
+    rows = w.spark.read.option("header", True).csv(_raw_csv(w)).agg(F.count(F.lit(1)).alias("rows"))
+    same = (F.col("size_bytes") == F.col("length")) & (F.col("content_sha256") == F.col("own"))
+    joined = held.join(found, "name", "full_outer").agg(
+        F.every(F.coalesce(same, F.lit(False))).alias("files_hold"), (F.count(F.lit(1)) == F.count_distinct("name")).alias("each_once")
+    )
+    return rows.crossJoin(joined)
+
+
+_DIGEST_SQL = o.sql("SELECT count(*) AS rows, TRUE AS files_hold, TRUE AS each_once FROM raw", o.RAW)
+
+
+@query("file_digest_scan", _DIGEST_SQL)
+def _(w):
+    return _digest_totals(w, files.file_digests(w.spark, _raw_csv(w)).select("name", "size_bytes", "content_sha256"))
 
 
 @query("sink_csv", o.sql(f"SELECT id, mmsi, us AS timestamp, {rs('latitude', 'longitude', 'sog')} FROM clean", *o.TO_CLEAN))
@@ -142,6 +165,52 @@ def _store(w) -> Store:
     return _once(w, "store", build)
 
 
+def _raw_store(w) -> Store:
+    """The raw reports, sentinels and all, imported as they come."""
+
+    def build() -> Store:
+        store = Store(w.spark, scratch_path(w.spark, "raw-store"))
+        path = scratch_path(w.spark, "raw-delivery")
+        _as_text(w.raw().orderBy("ord")).drop("ord", "id").write.option("header", True).csv(path)
+        for job in ingest.ingest_directory(store, path, stages=None):
+            if job.status != "completed":
+                raise RuntimeError(f"{job.source_file}: {job.error_message}")
+        return store
+
+    return _once(w, "raw_store", build)
+
+
+_IMPORTED = """
+ok AS (SELECT *, NOT coalesce(sog < 0, FALSE) AND NOT coalesce(cog < 0 OR cog >= 360, FALSE)
+              AND NOT coalesce(heading < 0 OR heading >= 360, FALSE) AS inside
+       FROM raw WHERE us IS NOT NULL AND mmsi <> 'BAD' AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)"""
+
+
+@query(
+    "import_messages",
+    o.sql(
+        """SELECT (SELECT count(*) FROM raw) AS rows_read, (SELECT count(*) FROM raw) - (SELECT count(*) FROM ok) AS rows_rejected,
+        count(*) FILTER (WHERE NOT inside) AS rows_quarantined,
+        count(DISTINCT (mmsi, us, latitude, longitude)) FILTER (WHERE inside) AS rows_imported,
+        count(*) FILTER (WHERE inside) - count(DISTINCT (mmsi, us, latitude, longitude)) FILTER (WHERE inside) AS duplicates_skipped FROM ok""",
+        o.RAW, _IMPORTED,
+    ),
+)
+def _(w):
+    """Counters of all jobs of the raw import."""
+    names = ("rows_read", "rows_rejected", "rows_quarantined", "rows_imported", "duplicates_skipped")
+    return _raw_store(w).registry.jobs().agg(*[F.sum(c).alias(c) for c in names])
+
+
+@query(
+    "import_quarantine",
+    o.sql(f"SELECT DISTINCT mmsi, us AS timestamp, {rs('latitude', 'longitude')} FROM ok WHERE NOT inside", o.RAW, _IMPORTED),
+)
+def _(w):
+    """Identities of the reports that the stored limits keep out."""
+    return _raw_store(w).quarantine.read().select("mmsi", "timestamp", "latitude", "longitude").distinct()
+
+
 @query(
     "ingest_batch",
     o.sql(f"SELECT mmsi, us AS timestamp, {rs('latitude', 'longitude', 'sog', 'cog', 'heading')}, sog_unavailable FROM clean", *o.TO_CLEAN),
@@ -169,13 +238,13 @@ def _(w):
     registry = _store(w).registry
     offered = registry.jobs().select(
         F.col("source_file").alias("path"), F.element_at(F.split("source_file", "/"), -1).alias("name"),
-        "size_bytes", "content_sha256",
+        "size_bytes", F.col("job_id").alias("content_sha256"), "header",
     )
-    again = registry.claim(offered)
+    again = registry.claim(offered, ingest.FILES_PER_BATCH)
     return offered.agg((F.count(F.lit(1)) > 0).alias("known_files"), F.lit(len(again)).cast("bigint").alias("claimed_again"))
 
 
-@query("incremental_file_source")
+@query("incremental_file_source", _DIGEST_SQL)
 def _(w):
     """The delivered raw files as a stream reads them: each once, with its digest."""
     out, checkpoint = (scratch_path(w.spark, f"files-{n}") for n in ("out", "checkpoint"))
@@ -184,7 +253,63 @@ def _(w):
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    return w.spark.read.parquet(out).select("name", "size_bytes", "content_sha256")
+    return _digest_totals(w, w.spark.read.parquet(out).select("name", "size_bytes", "content_sha256"))
+
+
+def _assessed_store(w) -> tuple[Store, DataFrame, DataFrame]:
+    """A deployment with messages only, and files of alerts and assessments made elsewhere, some of them unusable."""
+
+    def build():
+        store = Store(w.spark, scratch_path(w.spark, "assessed-store"))
+        messages = scratch_path(w.spark, "assessed-messages")
+        _as_text(w.standardized().orderBy("ord")).drop("ord", "id").write.option("header", True).csv(messages)
+        ingest.ingest_directory(store, messages, stages=None)
+        counters = []
+        for name, rows, importer in (("alerts", w.alerts(), importers.import_alerts), ("risks", w.risks(), importers.import_risks)):
+            own = F.col("message_id")
+            spoiled = rows.withColumns(
+                {
+                    # Every 11th row has a broken number, every 13th a vessel nobody knows.
+                    "mmsi": F.when(own % 11 == 0, "12").when(own % 13 == 0, "999999999").otherwise(F.col("mmsi")),
+                    "timestamp": F.date_format("timestamp", _ISO),
+                }
+            ).drop("message_id")
+            path = scratch_path(w.spark, f"{name}-file")
+            spoiled.unionByName(spoiled).write.option("header", True).csv(path)
+            counters.append(importer(store, path))
+        return store, *counters
+
+    return _once(w, "assessed_store", build)
+
+
+def _import_sql(table: str, key: str) -> str:
+    return o.sql(
+        f"""SELECT 2 * count(*) AS rows_read, 2 * count(*) FILTER (WHERE message_id % 11 = 0) AS rows_rejected,
+        2 * count(*) FILTER (WHERE message_id % 11 <> 0 AND message_id % 13 = 0) AS messages_not_found,
+        count(DISTINCT {key}) FILTER (WHERE message_id % 11 <> 0 AND message_id % 13 <> 0) AS rows_imported,
+        2 * count(*) FILTER (WHERE message_id % 11 <> 0 AND message_id % 13 <> 0)
+          - count(DISTINCT {key}) FILTER (WHERE message_id % 11 <> 0 AND message_id % 13 <> 0) AS duplicates_skipped FROM {table}""",
+        *(o.TO_ALERTS if table == "alerts" else o.TO_RISK),
+    )
+
+
+@query("import_alerts", _import_sql("alerts", "(mmsi, us, latitude, longitude, anomaly_type)"))
+def _(w):
+    return _assessed_store(w)[1]
+
+
+@query("import_risks", _import_sql("risk", "(mmsi, us)"))
+def _(w):
+    return _assessed_store(w)[2]
+
+
+@query(
+    "imported_alerts",
+    o.sql(f"SELECT DISTINCT mmsi, us AS timestamp, anomaly_type, severity, {rs('metric_value', 'threshold')} FROM alerts WHERE message_id % 11 <> 0 AND message_id % 13 <> 0", *o.TO_ALERTS),
+)
+def _(w):
+    stored = _assessed_store(w)[0].alerts.read()
+    return stored.select("mmsi", "timestamp", "anomaly_type", "severity", "metric_value", "threshold").distinct()
 
 
 @query("stored_vessels", o.sql("SELECT mmsi, vessel_type, first_seen, last_seen FROM vessels", *o.TO_CLEAN, o.VESSELS))
@@ -197,9 +322,27 @@ def _(w):
     return _store(w).alerts.read().select("mmsi", "timestamp", "anomaly_type", "latitude", "longitude", "metric_value")
 
 
-@query("live_risk_stage", o.sql("SELECT mmsi, us AS timestamp, CAST(rule_flag_count AS BIGINT) AS rule_flag_count, rule_severity FROM pct", *o.TO_RISK))
+@query(
+    "live_risk_stage",
+    o.sql("SELECT mmsi, us AS timestamp, CAST(rule_flag_count AS BIGINT) AS rule_flag_count, rule_severity, TRUE AS score_holds, TRUE AS percentile_holds, TRUE AS level_holds FROM pct", *o.TO_RISK),
+)
 def _(w):
-    return _store(w).risks.read().select("mmsi", "timestamp", "rule_flag_count", "rule_severity")
+    """Stored assessments; score, percentile and level once more from the stored baseline and the rules of all reports."""
+    store = _store(w)
+    baseline = stages.stored_baseline(store)
+    keys = store.messages.read().select("mmsi", "timestamp").distinct()
+    annotated = stages.BatchContext(keys).annotated(store)
+    again = hybrid.assess(cut_lineage(iforest.score(annotated, baseline.forest)), baseline.reference).select(
+        F.col("id").alias("message_id"), F.col("ml_anomaly_score").alias("score"),
+        F.col("ml_anomaly_percentile").alias("percentile"), F.col("risk_level").alias("level"),
+    )
+    joined = store.risks.read().join(again, "message_id", "left")
+    close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.lit(False))
+    return joined.select(
+        "mmsi", "timestamp", F.col("rule_flag_count").cast("bigint").alias("rule_flag_count"), "rule_severity",
+        close("ml_anomaly_score", "score").alias("score_holds"), close("ml_anomaly_percentile", "percentile").alias("percentile_holds"),
+        F.coalesce(F.col("risk_level") == F.col("level"), F.lit(False)).alias("level_holds"),
+    )
 
 
 def _encounters_at(clean: str, suffix: str) -> str:
@@ -226,12 +369,13 @@ def _(w):
     )
 
 
-@query(
-    "analytics_stages",
-    o.sql("SELECT 'rule_anomalies' AS stage, (SELECT count(*) FROM clean) AS processed, (SELECT count(*) FROM alerts) AS created "
+_STAGES_SQL = o.sql("SELECT 'rule_anomalies' AS stage, (SELECT count(*) FROM clean) AS processed, (SELECT count(*) FROM alerts) AS created "
           "UNION ALL SELECT 'hybrid_risk', (SELECT count(*) FROM clean), (SELECT count(*) FROM clean) "
-          "UNION ALL SELECT 'collision_snapshot', (SELECT count(*) FROM enc), 0", *o.TO_ALERTS, o.LATEST, o.SCAN20, o.ENC),
-)
+          "UNION ALL SELECT 'collision_snapshot', (SELECT count(*) FROM enc), 0", *o.TO_ALERTS, o.LATEST, o.SCAN20, o.ENC)
+
+
+@query("analytics_stages", _STAGES_SQL)
+@query("stage_pipeline", _STAGES_SQL)
 def _(w):
     """All stages once more over everything stored: same alerts, no new encounters."""
     store = _store(w)

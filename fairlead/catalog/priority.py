@@ -41,10 +41,19 @@ def _(w):
     return iforest.impute(masked, iforest.feature_medians(masked)).select("id", *MODEL_FEATURES)
 
 
-@query("iforest_fit")
+@query(
+    "iforest_fit",
+    o.sql("SELECT unnest(range(200)) AS tree, (SELECT least(256, count(*)) FROM clean) AS leaf_rows, TRUE AS depth_holds, TRUE AS nodes_hold", *o.TO_CLEAN),
+)
 def _(w):
-    forest = iforest.fit(w.annotated())
-    return forest.nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+    """Per tree: rows of all leaves, the depth limit, and one leaf more than inner nodes."""
+    leaf = F.col("child") == F.col("node")
+    rows = F.sum(F.when(leaf, F.col("rows")))
+    limit = F.ceil(F.log2(F.greatest(rows, F.lit(2))))
+    return iforest.fit(w.annotated()).nodes.groupBy("tree").agg(
+        rows.alias("leaf_rows"), (F.max("depth") <= limit).alias("depth_holds"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("nodes_hold"),
+    )
 
 
 def _scored(w):
@@ -53,20 +62,49 @@ def _scored(w):
     return iforest.score(w.annotated(), w._tables["forest"])
 
 
-@query("iforest_score")
+@query("iforest_score", o.sql("SELECT id, mmsi, TRUE AS verdict_holds, TRUE AS score_holds, TRUE AS in_range FROM clean", *o.TO_CLEAN))
 def _(w):
-    return _scored(w).select("id", "mmsi", "ml_decision_function", "ml_anomaly_score", "ml_is_anomaly")
+    """Every report is scored; verdict and score follow from the decision, whose raw value is in [-1, 0)."""
+    decision = F.col("ml_decision_function")
+    return _scored(w).select(
+        "id", "mmsi", (F.col("ml_is_anomaly") == (decision < 0)).alias("verdict_holds"),
+        (F.col("ml_anomaly_score") == -decision).alias("score_holds"),
+        decision.between(-0.5, 0.5).alias("in_range"),
+    )
 
 
-@query("iforest_fit_score")
+@query("iforest_fit_score", o.sql("SELECT count(*) AS reports, TRUE AS share_holds FROM clean", *o.TO_CLEAN))
 def _(w):
-    return iforest.fit_score(w.annotated(), contamination=0.02).select("id", "ml_anomaly_score", "ml_is_anomaly")
+    """A contamination of 2 % marks that share, but for ties at the cut-off."""
+    scored = cut_lineage(iforest.fit_score(w.annotated(), contamination=0.02).select("ml_decision_function", "ml_is_anomaly"))
+    share = 0.02 * F.count(F.lit(1))
+    return scored.agg(
+        F.count(F.lit(1)).alias("reports"),
+        ((F.count_if("ml_is_anomaly") <= F.ceil(share)) & (F.count_if(F.col("ml_decision_function") <= 0) >= F.floor(share))).alias("share_holds"),
+    )
 
 
-@query("hybrid_assess_model")
+@query(
+    "hybrid_assess_model",
+    o.sql("SELECT id, mmsi, CAST(rule_flag_count AS BIGINT) AS rule_flag_count, rule_severity, TRUE AS percentile_holds, TRUE AS level_holds FROM pct", *o.TO_RISK),
+)
 def _(w):
-    scored = cut_lineage(_scored(w))
-    return hybrid.fit_assess(scored).select("id", "mmsi", "ml_anomaly_percentile", "risk_level", "risk_reasons")
+    """Model scores end to end: the percentile is each score's rank, the level follows from percentile and rules."""
+    assessed = cut_lineage(hybrid.fit_assess(_scored(w)))
+    total = assessed.agg(F.count(F.lit(1))).scalar()
+    scores = assessed.groupBy("ml_anomaly_score").agg(F.count(F.lit(1)).alias("n"), F.min("ml_anomaly_percentile").alias("low"), F.max("ml_anomaly_percentile").alias("high"))
+    steps = ranking.cumulative_counts(
+        scores.withColumn("_range", F.floor(F.col("ml_anomaly_score") * 1000)), [], "ml_anomaly_score", "_range"
+    )
+    exact = F.col("rank") * 100.0 / total
+    close = (F.abs(F.col("low") - exact) < 1e-9) & (F.abs(F.col("high") - exact) < 1e-9)
+    again = hybrid.risk_level(assessed.drop("risk_level", "detector_agreement")).select("id", F.col("risk_level").alias("again"))
+    return (
+        assessed.join(steps.select("ml_anomaly_score", close.alias("percentile_holds")), "ml_anomaly_score")
+        .join(again, "id")
+        .select("id", "mmsi", F.col("rule_flag_count").cast("bigint").alias("rule_flag_count"), "rule_severity",
+                "percentile_holds", (F.col("risk_level") == F.col("again")).alias("level_holds"))
+    )
 
 
 @query("score_percentile", o.sql(f"SELECT id, {rs('ml_anomaly_score', 'ml_anomaly_percentile')} FROM pct", *o.TO_RISK))
@@ -389,28 +427,34 @@ def _(w):
     return upsert_replace(stored, newer, ("message_id",), "message_id")
 
 
-@query(
-    "link_alerts",
-    o.sql("SELECT message_id AS found_id, anomaly_type FROM alerts WHERE us >= (SELECT min(us) FROM batch) "
-          "UNION ALL SELECT NULL, anomaly_type FROM alerts WHERE us < (SELECT min(us) FROM batch)", *o.TO_ALERTS, _BATCH),
-)
+@query("link_alerts", o.sql("SELECT message_id AS found_id, anomaly_type FROM alerts", *o.TO_ALERTS))
 def _(w):
-    linked = linking.link_alerts(w.alerts().drop("message_id"), _batch(w))
+    linked = linking.link_alerts(w.alerts().drop("message_id"), w.messages())
     return linked.select(F.col("message_id").alias("found_id"), "anomaly_type")
 
 
 @query(
     "link_risk",
-    o.sql("SELECT r.message_id, m.found AS found_id FROM risk r LEFT JOIN (SELECT mmsi, us, max(id) AS found FROM batch GROUP BY 1, 2) m USING (mmsi, us)", *o.TO_RISK, _BATCH),
+    o.sql("SELECT r.message_id, m.found AS found_id FROM risk r LEFT JOIN (SELECT mmsi, us, max(id) AS found FROM clean GROUP BY 1, 2) m USING (mmsi, us)", *o.TO_RISK),
 )
 def _(w):
-    risks = w.risks().withColumnRenamed("message_id", "own")
-    linked = linking.link_risk(risks, _batch(w))
+    linked = linking.link_risk(w.risks().withColumnRenamed("message_id", "own"), w.messages())
     return linked.select(F.col("own").alias("message_id"), F.col("message_id").alias("found_id"))
 
 
 @query(
-    "import_messages",
+    "link_alerts_partly",
+    o.sql("SELECT message_id AS found_id, anomaly_type FROM alerts WHERE us >= (SELECT min(us) FROM batch) "
+          "UNION ALL SELECT NULL, anomaly_type FROM alerts WHERE us < (SELECT min(us) FROM batch)", *o.TO_ALERTS, _BATCH),
+)
+def _(w):
+    """Alerts of reports that are not stored stay without a message."""
+    linked = linking.link_alerts(w.alerts().drop("message_id"), _batch(w))
+    return linked.select(F.col("message_id").alias("found_id"), "anomaly_type")
+
+
+@query(
+    "import_validate_counts",
     o.sql(
         f"""SELECT count(*) AS rows_read, count(*) FILTER (WHERE is_valid_core_record) - count(*) FILTER (WHERE is_valid_core_record AND duplicate_record) AS rows_imported,
         count(*) FILTER (WHERE NOT is_valid_core_record) AS rows_rejected, count(*) FILTER (WHERE is_valid_core_record AND duplicate_record) AS duplicates_skipped FROM std""",

@@ -68,10 +68,9 @@ def _(w):
     )
 
 
-_POINTS = f"""
+_POINTS = """
 pts AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY us, id) AS point FROM clean WHERE us <= {NOON_US + 43_200_000_000})
-  WHERE point <= 10000)"""
+  SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY us, id) AS point FROM clean)"""
 _LINE_END = "max_by({}, point)"
 
 
@@ -94,7 +93,7 @@ def _flat_track(tracks):
 
 @query("vessel_trajectory", o.sql(_track_sql("pts"), *o.TO_CLEAN, _POINTS))
 def _(w):
-    points = search.trajectory_points(w.messages(), end=datetime(2024, 1, 2))
+    points = search.trajectory_points(w.messages())
     return _flat_track(search.vessel_trajectories(points))
 
 
@@ -107,7 +106,7 @@ def _(w):
     ),
 )
 def _(w):
-    tracks = search.vessel_trajectories(search.trajectory_points(w.messages(), end=datetime(2024, 1, 2)))
+    tracks = search.vessel_trajectories(search.trajectory_points(w.messages()))
     return _flat_track(search.clip_trajectory(tracks, NOON))
 
 
@@ -171,7 +170,7 @@ def _(w):
 
 
 @query(
-    "vessel_risk",
+    "vessel_risk_pages",
     o.sql(
         f"""SELECT mmsi, place, message_id, risk_level FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY {_GRAVEST}) AS place FROM risk)
         WHERE place <= 100""",
@@ -183,6 +182,16 @@ def _(w):
     return search.vessel_pages(w.risks(), 100).select("mmsi", "place", "message_id", "risk_level")
 
 
+@query(
+    "vessel_risk",
+    o.sql(f"SELECT {RISK_OUT} FROM risk WHERE mmsi = (SELECT mmsi FROM clean GROUP BY 1 ORDER BY count(*) DESC, mmsi LIMIT 1)", *o.TO_RISK),
+)
+def _(w):
+    """All assessments of the vessel with the most reports."""
+    busiest = w.messages().groupBy("mmsi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mmsi").first().mmsi
+    return search.vessel_risk(w.risks(), w.messages(), w.vessels(), busiest).select(*RISK_COLUMNS)
+
+
 _SUMMARY = (
     "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE risk_level = '{v}') AS {v}" for v in RISK_LEVELS)
     + ", count(*) FILTER (WHERE risk_level <> 'low') AS elevated, count(*) FILTER (WHERE detector_agreement) AS detector_agreement FROM risk"
@@ -202,22 +211,18 @@ def _(w):
 @query(
     "live_status",
     o.sql(
-        f"""SELECT (SELECT count(*) FROM vessels) AS vessel_count, count(*) AS message_count, max(us) AS latest_timestamp,
-        (SELECT max(us // 3600000000) FROM clean) AS latest_job, TRUE AS ingestion_active FROM clean""",
+        """SELECT (SELECT count(*) FROM vessels) AS vessel_count, count(*) AS message_count, max(us) AS latest_timestamp,
+        'completed' AS latest_status, FALSE AS ingestion_active FROM clean""",
         *TO_VESSELS,
     ),
 )
 def _(w):
-    """Import jobs stand for hours of the recording; the newest one is still running."""
-    hour = F.floor(F.unix_micros("timestamp") / F.lit(3_600_000_000)).cast("bigint")
-    hours = w.messages().groupBy(hour.alias("job_id")).agg(F.min("timestamp").alias("started_at"))
-    newest = hours.agg(F.max("job_id").alias("_newest"))
-    jobs = hours.crossJoin(F.broadcast(newest)).select(
-        "job_id", "started_at", F.concat(F.lit("hour-"), F.col("job_id")).alias("source_file"),
-        F.when(F.col("job_id") == F.col("_newest"), "running").otherwise("completed").alias("status"),
-    )
-    return search.live_status(w.vessels(), w.messages(), jobs).select(
-        "vessel_count", "message_count", "latest_timestamp", F.col("latest_import.job_id").alias("latest_job"), "ingestion_active"
+    """State of the deployment that received both deliveries, from its own registry."""
+    from fairlead.catalog.delivery import _store
+
+    store = _store(w)
+    return search.live_status(store.vessels.read(), store.messages.read(), store.registry.jobs()).select(
+        "vessel_count", "message_count", "latest_timestamp", F.col("latest_import.status").alias("latest_status"), "ingestion_active"
     )
 
 
@@ -336,7 +341,7 @@ _UNKNOWN = "coalesce({}, 'Unknown vessel')"
 )
 def _(w):
     positions = _positions(w)
-    tracks = search.vessel_trajectories(search.trajectory_points(w.messages(), end=datetime(2024, 1, 2)))
+    tracks = search.vessel_trajectories(search.trajectory_points(w.messages()))
 
     def flat(layer, features, x, y, label, measure):
         return features.select(

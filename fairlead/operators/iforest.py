@@ -24,7 +24,8 @@ from fairlead.session import cut_lineage
 
 TREES = 200
 SEED = 42
-SUBSAMPLE = 256
+#: Default number of rows a tree is grown on.
+MAX_SAMPLES = 256
 MOTION_MINUTES = 10.0
 TURN_KNOTS = 3.0
 _EULER = 0.5772156649015329
@@ -123,16 +124,9 @@ class Forest:
         )
 
 
-def _training_pool(prepared: DataFrame, size: int, trees: int, seed: int, row_id: str) -> DataFrame:
-    """About ``trees`` x 256 rows in hash order, the same for any partitioning."""
-    wanted = trees * SUBSAMPLE
-    mixed = F.xxhash64(F.lit(seed), F.col(row_id))
-    pool = prepared.withColumn("_mix", mixed)
-    if size > 2 * wanted:
-        # Thin out inside the scan before the top-k; four times the need is kept.
-        share = min(1.0, 4.0 * wanted / size)
-        pool = pool.filter(F.col("_mix") <= F.lit(int(-(2**63) + share * (2**64 - 1))))
-    return pool.orderBy("_mix", row_id).limit(wanted)
+def _training_pool(prepared: DataFrame, rows: int, seed: int, row_id: str) -> DataFrame:
+    """The first ``rows`` rows in hash order, the same for any partitioning; each task keeps no more."""
+    return prepared.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(row_id))).orderBy("_mix", row_id).limit(rows)
 
 
 def fit(
@@ -141,9 +135,15 @@ def fit(
     contamination: str | float = "auto",
     seed: int = SEED,
     row_id: str = "id",
+    max_samples: int = MAX_SAMPLES,
 ) -> Forest:
-    """Train on engineered features; the result depends on the rows, not on their layout."""
-    masked = context_mask(df).select(row_id, *MODEL_FEATURES)
+    """Train on engineered features; the result depends on the rows, not on their layout.
+
+    Each tree is grown on at most ``max_samples`` rows, so the forest sees at most
+    ``trees`` x ``max_samples`` rows; medians and the cut-off use all rows.
+    """
+    # Read by the medians several times and by the pool.
+    masked = cut_lineage(context_mask(df).select(row_id, *MODEL_FEATURES))
     any_value = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in MODEL_FEATURES])
     sizes = masked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(any_value).alias("filled")).first()
     if sizes.rows < 2:
@@ -153,16 +153,16 @@ def fit(
     medians = feature_medians(masked)
     features = tuple(c for c in MODEL_FEATURES if medians[c] is not None)
     prepared = impute(masked, medians).select(row_id, *features)
-    subsample = min(SUBSAMPLE, sizes.rows)
-    pool_rows = min(sizes.rows, trees * SUBSAMPLE)
+    subsample = min(max_samples, sizes.rows)
+    pool_rows = min(sizes.rows, trees * max_samples)
     per_pass = max(1, pool_rows // subsample)
     passes = math.ceil(trees / per_pass)
     limit = max(1, math.ceil(math.log2(max(subsample, 2))))
     # Every pass shuffles the pool anew and deals disjoint blocks to its trees.
-    # passes x pool never exceeds about two rounds of trees x 256 rows.
+    # passes x pool never exceeds about two rounds of trees x max_samples rows.
     again = Window.partitionBy("_pass").orderBy("_deal", row_id)
     dealt = (
-        _training_pool(prepared, sizes.rows, trees, seed, row_id)
+        _training_pool(prepared, trees * max_samples, seed, row_id)
         .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
         .withColumn("_deal", F.xxhash64(F.lit(seed), F.col("_pass"), F.col(row_id)))
         .withColumn("_block", F.floor((F.row_number().over(again) - 1) / subsample))

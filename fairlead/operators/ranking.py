@@ -6,11 +6,12 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fairlead.session import cut_lineage
 
-BUCKETS = 512
+#: Steps a bracket of a quantile is cut into; a bracket is a fixed share of the rows.
+STEPS = 512
 ROWS_PER_TASK = 1_000_000
 
 
@@ -19,8 +20,8 @@ def cumulative_counts(counts: DataFrame, keys: list[str], value: str, bucket: st
 
     ``counts`` has one row per (keys, value) with its frequency ``n``; ``bucket``
     is any non-decreasing function of the value. Each (keys, bucket) is summed
-    by itself and the totals of the buckets before it are added. Without keys
-    the totals table has at most ``BUCKETS`` + 1 rows.
+    by itself and the totals of the buckets before it are added. The totals
+    have one row per bucket, so buckets must be far fewer than values.
     """
     inside = Window.partitionBy(*keys, bucket).orderBy(value)
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,33 +50,31 @@ def usable_scores(df: DataFrame, column: str) -> DataFrame:
     return df.select(score.alias("score")).filter(score.isNotNull() & finite)
 
 
-def _bucketed(df: DataFrame, splits: list[float]) -> DataFrame:
-    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(df)
+def _ranged(counts: DataFrame, rows_per_range: int) -> DataFrame:
+    """Distinct scores with ``bucket``, ranges of about ``rows_per_range`` of them each."""
+    ranges = max(2, -(-counts.count() // rows_per_range))
+    inner = counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.5 / ranges) or [0.0]
+    splits = [float("-inf"), *sorted(set(inner) - {float("-inf"), float("inf")} or {0.0}), float("inf")]
+    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(counts)
 
 
 @dataclass(frozen=True)
 class ScoreReference:
-    """Distribution of reference scores: frequency ``n`` of every distinct score.
-
-    ``splits`` cut the score into ranges with about equally many distinct
-    values, at most 512; ``floors`` counts the scores before each range.
-    """
+    """Distribution of reference scores: frequency ``n`` of every distinct score, ``total`` in all."""
 
     counts: DataFrame
-    splits: list[float]
-    floors: list[int]
     total: int
 
     def save(self, path: str) -> None:
         self.counts.write.mode("overwrite").parquet(f"{path}/counts")
-        head = json.dumps({"splits": self.splits, "floors": self.floors, "total": self.total})
+        head = json.dumps({"total": self.total})
         spark = self.counts.sparkSession
         spark.createDataFrame([(head,)], "head string").write.mode("overwrite").parquet(f"{path}/head")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ScoreReference":
         head = json.loads(spark.read.parquet(f"{path}/head").first().head)
-        return cls(spark.read.parquet(f"{path}/counts"), head["splits"], head["floors"], head["total"])
+        return cls(spark.read.parquet(f"{path}/counts").select("score", "n"), head["total"])
 
 
 def fit_reference(df: DataFrame, column: str = "ml_anomaly_score") -> ScoreReference:
@@ -86,22 +85,10 @@ def fit_reference(df: DataFrame, column: str = "ml_anomaly_score") -> ScoreRefer
     if column not in df.columns:
         raise ValueError(f"Reference data must contain {column}.")
     counts = cut_lineage(usable_scores(df, column).groupBy("score").agg(F.count(F.lit(1)).alias("n")))
-    edges = counts.approxQuantile("score", [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS)
-    if not edges:
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
         raise ValueError("No valid reference scores to calibrate with.")
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    placed = _bucketed(counts, splits)
-    # At most 512 ranges, hence at most 512 rows for the driver.
-    sizes = {int(r.bucket): r.n for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    total = sum(sizes.values())
-    floors = [0]
-    for bucket in range(len(splits) - 2):
-        floors.append(floors[-1] + sizes.get(bucket, 0))
-    return ScoreReference(placed.select("bucket", "score", "n"), splits, floors, total)
-
-
-def _floor(floors: list[int]) -> Column:
-    return F.get(F.array(*[F.lit(n).cast("bigint") for n in floors]), F.col("bucket").cast("int"))
+    return ScoreReference(counts, total)
 
 
 def with_percentile(
@@ -114,34 +101,36 @@ def with_percentile(
 ) -> DataFrame:
     """100 x share of reference scores at or below each score; NULL stays NULL.
 
-    Distinct scores are looked up, in the reference's own ranges, and joined
-    back. A score shared by very many rows (and the missing score) is split over
+    Distinct scores of both sides are ranked together, in ranges of about
+    ``rows_per_task`` scores, and joined back. The ranges follow reference and
+    asked scores alike, so scores that lie outside the reference are spread too. A score shared by very many rows (and the missing score) is split over
     several join keys, so no task receives more than about ``rows_per_task`` rows.
     """
     score = F.col(column).cast("double")
     score = F.when(~F.isnan(score), score)
     probes = df.select(score.alias("score")).filter("score is not null")
-    probes = _bucketed(probes.groupBy("score").agg(F.count(F.lit(1)).alias("_rows")), reference.splits)
-    # Reference and asked scores side by side; the running count includes equal scores.
-    along = Window.partitionBy("bucket").orderBy("score")
+    probes = probes.groupBy("score").agg(F.count(F.lit(1)).alias("_rows"))
+    none = F.lit(0).cast("bigint")
+    both = reference.counts.select("score", "n", none.alias("_rows")).unionByName(
+        probes.select("score", none.alias("n"), "_rows")
+    )
+    both = cut_lineage(both.groupBy("score").agg(F.sum("n").alias("n"), F.sum("_rows").alias("_rows")))
     ranked = (
-        reference.counts.select("bucket", "score", "n", F.lit(0).cast("bigint").alias("_rows"))
-        .unionByName(probes.select("bucket", "score", F.lit(0).cast("bigint").alias("n"), "_rows"))
-        .withColumn("_rank", _floor(reference.floors) + F.sum("n").over(along))
+        cumulative_counts(_ranged(both, rows_per_task), [], "score", "bucket")
         .filter("_rows > 0")
         .select(
             F.col("score").alias("_score"),
-            (F.col("_rank") * 100.0 / F.lit(reference.total)).alias(name),
+            (F.col("rank") * 100.0 / F.lit(reference.total)).alias(name),
             F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_parts"),
         )
     )
-    # At most one hot score per ``rows_per_task`` rows, so this stays small.
+    # At most one hot score per ``rows_per_task`` rows; sizes decide how it is joined.
     hot = ranked.filter("_parts > 1").select("_score", "_parts")
     table = ranked.select("_score", name, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     row_hash = F.xxhash64(F.col(spread))
     keyed = (
         df.withColumn("_score", score)
-        .join(F.broadcast(hot), "_score", "left")
+        .join(hot, "_score", "left")
         .withColumn(
             "_part",
             F.when(F.col("_score").isNull(), -1 - F.pmod(row_hash, F.lit(1 << 20)))
@@ -201,7 +190,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     for i, j, low, high in wanted:
         if high > low:
             share = (F.col("v") - low) / F.lit(high - low)
-            step = F.when((F.col("i") == i) & (F.col("j") == j), F.floor(share * BUCKETS)).otherwise(step)
+            step = F.when((F.col("i") == i) & (F.col("j") == j), F.floor(share * STEPS)).otherwise(step)
     inside = (
         numbers.select(F.explode(F.array_compact(brackets)).alias("q"))
         .select("q.*")

@@ -144,14 +144,18 @@ def trajectory_points(
     messages: DataFrame,
     start: datetime | None = None,
     end: datetime | None = None,
-    limit: int = 10_000,
+    limit: int | None = None,
     mmsi: str | None = None,
 ) -> DataFrame:
-    """The first ``limit`` points of every vessel in time order, with their position number."""
+    """The points of every vessel in time order, with their position number.
+
+    ``limit`` is the page size of a request for one vessel; without it tracks are whole.
+    """
     chosen = between(messages, start, end)
     if mmsi is not None:
         chosen = chosen.filter(F.col("mmsi") == mmsi)
-    return slices.with_position(chosen, "point", tie="id").filter(F.col("point") <= limit)
+    numbered = slices.with_position(chosen, "point", tie="id")
+    return numbered if limit is None else numbered.filter(F.col("point") <= limit)
 
 
 def vessel_trajectories(points: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -51,10 +52,13 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only where the session names none (tests, a laptop) is a local folder made.
+    Only where the session names none and runs in one process (tests, a laptop)
+    is a local folder made; a cluster without one is an error.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"A cluster must name a shared folder in {CHECKPOINT_KEY}.")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="fairlead-")

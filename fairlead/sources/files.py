@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.functions import coerce
@@ -52,24 +58,60 @@ def scan_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def file_digests(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """Content identity of every file: SHA-256 and size, computed where the file is read.
-
-    The binary source holds one file in memory at a time and is limited to 2 GB
-    per file; larger deliveries must come in parts.
-    """
+    """Content identity of every file: SHA-256, size and first line, computed where the file is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     return with_digest(files)
 
 
+_DIGESTS = (
+    "path string, name string, size_bytes bigint, modified_at timestamp, content_sha256 string, header string"
+)
+_CHUNK = 1 << 20
+
+
+def _first_line(start: bytes) -> str:
+    return start.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace")
+
+
+def _digest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams each file in pieces of a fixed size, whatever the size of the file."""
+    for batch in batches:
+        digests, headers = [], []
+        for path in batch.column("path").to_pylist():
+            store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            state, start = hashlib.sha256(), b""
+            with store.open_input_stream(place, compression=None) as source:
+                while piece := source.read(_CHUNK):
+                    start = start or piece
+                    state.update(piece)
+            digests.append(state.hexdigest())
+            headers.append(_first_line(start))
+        columns = [batch.column(c) for c in ("path", "name", "size_bytes", "modified_at")]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(digests, pa.string()), pa.array(headers, pa.string())],
+            [c.split()[0] for c in _DIGESTS.split(", ")],
+        )
+
+
+def _streams(spark: SparkSession) -> bool:
+    """Whether every file system the session names by default can be streamed outside Spark."""
+    scheme = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").split(":")[0]
+    return scheme in ("file", "hdfs", "s3", "s3a", "gs", "abfs")
+
+
 def with_digest(files: DataFrame) -> DataFrame:
+    """Digests of a listing by the binary file source, batch or stream.
+
+    Contents are streamed in fixed pieces. Only for a file system that Spark
+    alone can open they pass through the binary source, which holds a file in memory.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        "path",
-        name.alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.sha2("content", 256).alias("content_sha256"),
-    ).filter(~F.col("name").startswith("."))
+    listed = files.withColumn("name", name).filter(~F.col("name").startswith("."))
+    columns = ["path", "name", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
+    if _streams(files.sparkSession):
+        return listed.select(*columns).mapInArrow(_digest_files, _DIGESTS)
+    first = F.regexp_replace(F.split(F.col("content").cast("string"), "\n", 2)[0], "\r$", "")
+    return listed.select(*columns, F.sha2("content", 256).alias("content_sha256"), first.alias("header"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

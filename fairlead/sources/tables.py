@@ -7,6 +7,7 @@ table is small and is written anew as a version next to the last one.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,8 @@ from fairlead.functions.dates import DATE
 from fairlead.operators.linking import last_per_key, merge_vessels
 from fairlead.session import cut_lineage, delete_path
 
-KEPT_VERSIONS = 5
-
+#: Age in seconds at which a replaced version may go; longer than any query that reads it.
+KEEP_SECONDS = 24 * 3600.0
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,6 +31,13 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(location)] if system.exists(location) else []
 
 
+def _age(spark: SparkSession, path: str) -> float:
+    """Seconds since a folder's success marker was written."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    status = location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location)
+    return time.time() - status.getModificationTime() / 1000
+
+
 def days_of(dated: DataFrame) -> list:
     """Calendar days in a batch: one value per day, not per report."""
     return [r[0] for r in dated.select(DATE).distinct().collect()]
@@ -110,6 +118,7 @@ class VersionedTable:
     spark: SparkSession
     path: str
     schema: str
+    keep_seconds: float = KEEP_SECONDS
 
     def _versions(self) -> list[int]:
         names = [n for n in _children(self.spark, self.path) if n.startswith("v=")]
@@ -125,9 +134,11 @@ class VersionedTable:
         names = [part.split()[0] for part in self.schema.split(", ")]
         started = [int(n[2:]) for n in _children(self.spark, self.path) if n.startswith("v=")]
         df.select(*names).write.parquet(f"{self.path}/v={max(started, default=0) + 1}")
-        # A few versions stay for queries that already read them.
-        for old in self._versions()[:-KEPT_VERSIONS]:
-            delete_path(self.spark, f"{self.path}/v={old}")
+        # A version stays for queries that read it until its successor is old enough.
+        versions = self._versions()
+        for old, successor in zip(versions, versions[1:]):
+            if _age(self.spark, f"{self.path}/v={successor}") >= self.keep_seconds:
+                delete_path(self.spark, f"{self.path}/v={old}")
 
     def merge_vessels(self, incoming: DataFrame) -> None:
         """Take over new metadata and widen the seen interval."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.functions.dates import DATE
 from fairlead.operators import linking
+from fairlead.operators.cleaning import check_constraints
 from fairlead.operators.encounters import latest_reports
 from fairlead.schema import CORE
 from fairlead.session import cut_lineage, ensure_settings, temporary_stages
@@ -20,8 +22,8 @@ from fairlead.streaming.registry import Job, error_text
 from fairlead.streaming.stages import LIVE_STAGES, BatchContext, Stage, run_stages
 from fairlead.streaming.store import Store
 
-# Message ids: 20 bits of job sequence, 13 bits of scan partition, 30 bits of row.
-_PARTITION_BITS, _ROW_BITS = 13, 30
+#: Files that are imported together; more are taken in further batches.
+FILES_PER_BATCH = 256
 
 
 def file_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16) -> DataFrame:
@@ -39,72 +41,121 @@ def file_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16
     return with_digest(files)
 
 
-def _message_ids(rows: DataFrame, sequence: int) -> DataFrame:
-    raw = F.monotonically_increasing_id()
-    partition, row = F.shiftright(raw, 33), raw.bitwiseAND((1 << 33) - 1)
-    fits = (partition < (1 << _PARTITION_BITS)) & (row < (1 << _ROW_BITS))
-    number = F.lit(sequence << (_PARTITION_BITS + _ROW_BITS)) + F.shiftleft(partition, _ROW_BITS) + row
-    return rows.withColumn(
-        "id", F.when(fits, number).otherwise(F.raise_error(F.lit("too many rows in one file for message ids")).cast("bigint"))
+def _scan(store: Store, paths: list[str], number: int) -> DataFrame:
+    """Files with one header as text columns, with the place of each row; a missing core column is an error."""
+    spark = store.spark
+    names = spark.read.option("header", True).csv(paths[0]).columns
+    missing = sorted(set(CORE) - set(names))
+    if missing:
+        raise ValueError(f"Report files lack the columns {', '.join(missing)}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.option("header", True).schema(schema).csv(paths)
+    place = F.monotonically_increasing_id()
+    return raw.select(
+        *[F.col(f"`{n}`") for n in names], F.col("_metadata.file_path").alias("_file"), place.alias("_place"),
+        F.lit(number).alias("_scan"),
     )
 
 
-def _scan(store: Store, job: Job) -> DataFrame:
-    """One file as text columns with row ids; a missing core column is an error."""
-    raw = store.spark.read.option("header", True).csv(job.source_file)
-    missing = sorted(set(CORE) - set(raw.columns))
-    if missing:
-        raise ValueError(f"Missing required AIS import columns: {', '.join(missing)}")
-    return _message_ids(raw, job.sequence).withColumn("job_id", F.lit(job.job_id))
+def _staged(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], list[Job], DataFrame | None]:
+    """(read jobs, failed jobs, stored rows with job_id): one scan per header, the files of a broken one each alone."""
+    by_header: dict[str | None, list[Job]] = {}
+    for job in jobs:
+        by_header.setdefault(job.header, []).append(job)
+    waiting, good, failed, parts = list(by_header.values()), [], [], []
+    while waiting:
+        group = waiting.pop()
+        paths = [job.source_file for job in group]
+        try:
+            # Paths as the scan names them; the listing reads no contents.
+            listed = store.spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("_file"))
+            known = store.spark.createDataFrame([(j.source_file, j.job_id) for j in group], "path string, job_id string")
+            named = listed.join(known, "path").drop("path")
+            parts.append(cut_lineage(_scan(store, paths, len(parts)).join(named, "_file").drop("_file")))
+            good += group
+        except Exception as error:  # noqa: BLE001
+            if len(group) == 1:
+                failed.append(group[0].failed(error))
+            else:
+                waiting += [[job] for job in group]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    return good, failed, rows
+
+
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """Rows with ``id``: consecutive numbers in scan order, from one count per scan partition."""
+    rows = rows.withColumn("_part", F.shiftright("_place", 33))
+    sizes = rows.groupBy("_scan", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per scan partition.
+    before = Window.orderBy("_scan", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("_scan", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) + first).alias("_begin"))
+    number = F.col("_begin") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return rows.join(begins, ["_scan", "_part"]).withColumn("id", number).drop("_scan", "_part", "_place", "_begin")
 
 
 def import_jobs(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], DataFrame | None]:
-    """Import the files of all jobs together; (finished jobs, keys of valid rows).
+    """Import the files of all jobs together; (finished jobs, keys of stored rows).
 
-    A file that cannot be read as reports fails by itself. Counting, vessel
-    merge and message insert each are one Spark job for the whole batch.
+    A file that cannot be read as reports fails by itself. Counting, vessel merge
+    and message insert each are one Spark job for the whole batch. Rows outside
+    the stored limits go to quarantine.
     """
-    scans, good, finished = [], [], []
-    for job in jobs:  # as many as files per trigger; reads headers only
-        try:
-            scans.append(_scan(store, job))
-            good.append(job)
-        except Exception as error:  # noqa: BLE001
-            finished.append(store.registry.fail(job, error))
-    if not scans:
+    good, finished, rows = _staged(store, jobs)
+    if rows is None:
+        store.registry.record(finished)
         return finished, None
     try:
-        rows = cut_lineage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans))
+        good, first = store.registry.reserve(good, rows.count())
+        rows = cut_lineage(_numbered(rows, first))
         valid, rejected = linking.import_validate(rows)
         metadata = [c for c in ("imo", "vessel_name", "call_sign", "vessel_type", "length_m", "width_m", "draft_m") if c in rows.columns]
         store.vessels.merge_vessels(linking.vessel_dim(valid.select("mmsi", "timestamp", "id", *metadata), "id"))
-        records = linking.message_project(valid, keep=("job_id",)).drop("position")
+        records, outside = check_constraints(linking.message_project(valid, keep=("job_id",)))
+        store.quarantine.append(store.quarantine.new_rows(outside, order="id"))
         fresh = store.messages.new_rows(records, order="id")
         # State first: after a crash in between, the retry finds the rows new again and
         # merges the same reports; the other order would leave the state behind.
         _keep_state(store, fresh)
         store.messages.append(fresh)
-        counted = lambda df, name: df.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))
-        counts = (
-            counted(rows, "rows_read")
-            .join(counted(rejected, "rows_rejected"), "job_id", "left")
-            .join(counted(fresh, "rows_imported"), "job_id", "left")
-            .fillna(0)
-        )
-        by_job = {r.job_id: r for r in counts.collect()}  # one row per file
+        finished += _counted(store, good, rows, valid, rejected, outside)
     except Exception as error:
-        for job in good:
-            store.registry.fail(job, error)
+        store.registry.record([*finished, *(job.failed(error) for job in good)])
         raise
-    for job in good:
-        c = by_job.get(job.job_id)
-        read, bad, new = (c.rows_read, c.rows_rejected, c.rows_imported) if c else (0, 0, 0)
-        finished.append(
-            store.registry.complete(
-                job, rows_read=read, rows_imported=new, rows_rejected=bad, duplicates_skipped=read - bad - new
+    return finished, linking.incoming_keys(records)
+
+
+def _counted(store: Store, jobs: Sequence[Job], rows, valid, rejected, outside) -> list[Job]:
+    """Completed jobs with their counters: one row per file.
+
+    Imported is what is stored of a job, so an attempt that was cut short after
+    its insert counts what it had inserted.
+    """
+    days = valid.groupBy("job_id").agg(
+        F.min(F.to_date("timestamp")).alias("first_day"), F.max(F.to_date("timestamp")).alias("last_day")
+    )
+    counted = lambda df, name: df.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))
+    kept = store.messages.read().filter(F.col(DATE).isin(days_of(valid.withColumn(DATE, F.to_date("timestamp")))))
+    numbers = (
+        counted(rows, "rows_read")
+        .join(counted(rejected, "rows_rejected"), "job_id", "left")
+        .join(counted(outside, "rows_quarantined"), "job_id", "left")
+        .join(counted(kept.filter(F.col("job_id").isin([j.job_id for j in jobs])), "rows_imported"), "job_id", "left")
+        .fillna(0)
+        .join(days, "job_id", "left")
+    )
+    by_job = {r.job_id: r.asDict() for r in numbers.collect()}
+    done = []
+    for job in jobs:
+        c = by_job.get(job.job_id, {})
+        names = ("rows_read", "rows_imported", "rows_rejected", "rows_quarantined")
+        read, new, bad, out = (c.get(n, 0) for n in names)
+        done.append(
+            job.completed(
+                **dict(zip(names, (read, new, bad, out))), duplicates_skipped=read - bad - out - new,
+                first_day=c.get("first_day"), last_day=c.get("last_day"),
             )
         )
-    return finished, linking.incoming_keys(valid)
+    return done
 
 
 def _keep_state(store: Store, fresh: DataFrame) -> None:
@@ -118,19 +169,24 @@ def _keep_state(store: Store, fresh: DataFrame) -> None:
     store.day_ends.upsert(both.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1"), order="timestamp")
 
 
-def ingest_batch(store: Store, files: DataFrame, stages: Sequence[Stage] | None = LIVE_STAGES) -> list[Job]:
-    """Claim, import, then analyse what was imported.
+def ingest_batch(
+    store: Store, files: DataFrame, stages: Sequence[Stage] | None = LIVE_STAGES, most: int = FILES_PER_BATCH
+) -> list[Job]:
+    """Claim, import, then analyse what was imported; ``most`` files at a time until all were tried.
 
-    Analytics run only if something new came in. Their failure does not undo the
-    import; it is recorded with the job, so ``retry_analytics`` can repeat them.
+    Analytics run for every file of which rows are stored, also if an earlier
+    attempt stored them. Their failure does not undo the import; it is recorded
+    with the job, so ``retry_analytics`` can repeat them.
     """
     ensure_settings(store.spark)
+    outcome: list[Job] = []
+    begun = datetime.now(timezone.utc)
     with temporary_stages(store.spark):
-        jobs = store.registry.claim(cut_lineage(files))
-        if not jobs:
-            return []
-        finished, keys = import_jobs(store, jobs)
-        return _analyse(store, finished, keys, stages)
+        files = cut_lineage(files)
+        while jobs := store.registry.claim(files, most, begun):
+            finished, keys = import_jobs(store, jobs)
+            outcome += _analyse(store, finished, keys, stages)
+    return outcome
 
 
 def _analyse(store: Store, finished: list[Job], keys: DataFrame | None, stages: Sequence[Stage] | None) -> list[Job]:
@@ -149,7 +205,7 @@ def _analyse(store: Store, finished: list[Job], keys: DataFrame | None, stages:
             outcome.append(replace(job, analytics_status="skipped"))
         else:
             outcome.append(replace(job, analytics_status=status, analytics_error=error))
-    store.registry.record(j for j in outcome if j.status == "completed")
+    store.registry.record(outcome)
     return outcome
 
 
@@ -187,7 +243,7 @@ def retry_failed(store: Store, stages: Sequence[Stage] | None = LIVE_STAGES) ->
     open_jobs = store.registry.jobs().filter("status <> 'completed'")
     files = open_jobs.select(
         F.col("source_file").alias("path"), F.element_at(F.split("source_file", "/"), -1).alias("name"),
-        "size_bytes", "content_sha256",
+        "size_bytes", F.col("job_id").alias("content_sha256"), "header",
     )
     return ingest_batch(store, files, stages)
 
@@ -195,10 +251,16 @@ def retry_failed(store: Store, stages: Sequence[Stage] | None = LIVE_STAGES) ->
 def retry_analytics(store: Store, stages: Sequence[Stage] = LIVE_STAGES) -> bool:
     """Repeat the analytics of imports whose analytics failed; True when there were any."""
     failed = store.registry.jobs().filter("analytics_status = 'failed'")
-    jobs = [_as_job(r) for r in failed.collect()]  # one row per file
+    # One row per file, with the days its reports lie on.
+    jobs = [_as_job(r) for r in failed.collect()]
     if not jobs:
         return False
-    keys = store.messages.read().filter(F.col("job_id").isin([j.job_id for j in jobs])).select("mmsi", "timestamp").distinct()
+    days = [d for j in jobs for d in (j.first_day, j.last_day) if d is not None]
+    stored = store.messages.read()
+    if days:
+        stored = stored.filter(F.col(DATE).between(F.lit(min(days)), F.lit(max(days))))
+    ids = failed.select("job_id")
+    keys = stored.join(ids, "job_id", "left_semi").select("mmsi", "timestamp").distinct()
     with temporary_stages(store.spark):
         run_stages(store, BatchContext(cut_lineage(keys)), stages)
     store.registry.record(replace(j, analytics_status="completed", analytics_error=None) for j in jobs)

@@ -1,54 +1,68 @@
 """Import jobs by file content: what was seen, what is done, what may be retried.
 
-An append-only log with one row per state change; the current state of a file
-is its newest row. Jobs are as many as files, a few bytes each.
+State changes of a batch are one write. They form a log next to a compacted
+base; the current state of a file is its newest row. A job is known by the full
+digest of its content.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.operators.linking import last_per_key
+from fairlead.session import delete_path
+from fairlead.sources.tables import VersionedTable, _children
 
 _SCHEMA = (
-    "content_sha256 string, job_id bigint, sequence bigint, source_file string, size_bytes bigint, status string, "
-    "rows_read bigint, rows_imported bigint, rows_rejected bigint, duplicates_skipped bigint, error_message string, "
-    "analytics_status string, analytics_error string, started_at timestamp, finished_at timestamp, recorded bigint"
+    "job_id string, source_file string, size_bytes bigint, header string, status string, rows_read bigint, "
+    "rows_imported bigint, rows_rejected bigint, rows_quarantined bigint, duplicates_skipped bigint, "
+    "error_message string, analytics_status string, analytics_error string, first_day date, last_day date, "
+    "next_id bigint, started_at timestamp, finished_at timestamp, recorded bigint"
 )
-ERROR_LENGTH = 4000
+#: Batches in the log after which it is compacted.
+COMPACT_AFTER = 64
 
 
 @dataclass(frozen=True)
 class Job:
-    """One import job. ``job_id`` follows from the content, so a repeat finds itself."""
+    """One import job; ``job_id`` is the SHA-256 of the content, so a repeat finds itself."""
 
-    content_sha256: str
+    job_id: str
     source_file: str
     size_bytes: int
-    sequence: int
+    header: str | None = None
     status: str = "pending"
     rows_read: int = 0
     rows_imported: int = 0
     rows_rejected: int = 0
+    rows_quarantined: int = 0
     duplicates_skipped: int = 0
     error_message: str | None = None
     analytics_status: str | None = None
     analytics_error: str | None = None
+    first_day: date | None = None
+    last_day: date | None = None
+    next_id: int = 0
     started_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     finished_at: datetime | None = None
 
-    @property
-    def job_id(self) -> int:
-        return int(self.content_sha256[:15], 16)
+    def completed(self, **counters) -> "Job":
+        return replace(
+            self, status="completed", error_message=None, finished_at=datetime.now(timezone.utc), **counters
+        )
+
+    def failed(self, error: object) -> "Job":
+        message = error_text(error, "Unknown ingestion error.")
+        return replace(self, status="failed", finished_at=datetime.now(timezone.utc), error_message=message)
 
 
 def error_text(error: object, otherwise: str) -> str:
-    return (str(error).strip() or otherwise)[:ERROR_LENGTH]
+    return str(error).strip() or otherwise
 
 
 @dataclass(frozen=True)
@@ -56,62 +70,62 @@ class FileRegistry:
     spark: SparkSession
     path: str
 
-    def _log(self) -> DataFrame:
-        from fairlead.sources.tables import _children
+    @property
+    def _base(self) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/base", _SCHEMA)
 
-        if not any(n.endswith(".parquet") for n in _children(self.spark, self.path)):
-            return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+    def _batches(self) -> list[str]:
+        return [n for n in _children(self.spark, f"{self.path}/log") if n.startswith("batch=")]
+
+    def _rows(self) -> DataFrame:
+        base = self._base.read()
+        if not self._batches():
+            return base
+        log = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/log")
+        return base.unionByName(log.select(base.columns))
 
     def jobs(self) -> DataFrame:
         """Current state of every job."""
-        return last_per_key(self._log(), ("content_sha256",), "recorded")
+        return last_per_key(self._rows(), ("job_id",), "recorded")
 
     def record(self, jobs: Iterable[Job]) -> None:
+        """All state changes of a batch in one write."""
         now = time.time_ns()
-        rows = [
-            tuple({**asdict(job), "job_id": job.job_id, "recorded": now + i}[c.split()[0]] for c in _SCHEMA.split(", "))
-            for i, job in enumerate(jobs)
-        ]
+        names = [c.split()[0] for c in _SCHEMA.split(", ")]
+        rows = [tuple({**asdict(job), "recorded": now + i}[c] for c in names) for i, job in enumerate(jobs)]
         if rows:
-            self.spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-
-    def claim(self, files: DataFrame) -> list[Job]:
-        """Jobs to process for these files (columns of ``file_digests``).
-
-        New content starts pending; pending or failed content may be tried again;
-        completed content is skipped for good. Equal files in one batch are one job.
+            self.spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.parquet(f"{self.path}/log/batch={now}")
+            if len(self._batches()) > COMPACT_AFTER:
+                self.compact()
+
+    def compact(self) -> None:
+        """Replace base and log by the current states; a crash in between only leaves rows twice."""
+        merged = self._batches()
+        self._base.replace(self.jobs())
+        for name in merged:
+            delete_path(self.spark, f"{self.path}/log/{name}")
+
+    def claim(self, files: DataFrame, most: int, since: datetime | None = None) -> list[Job]:
+        """At most ``most`` jobs to process for these files (columns of ``file_digests``), by name.
+
+        New content starts pending; pending or failed content may be tried again,
+        but not if that was ``since`` the given time; completed content is skipped
+        for good. Equal files are one job.
         """
-        done = self.jobs().filter("status = 'completed'").select("content_sha256")
-        first = last_per_key(
-            files.withColumn("_order", -F.rank().over(_by_name())), ("content_sha256",), "_order"
-        ).drop("_order")
-        open_files = first.join(done, "content_sha256", "left_anti")
-        # As many rows as files in one trigger; contents are not among the columns.
-        found = open_files.select("path", "name", "size_bytes", "content_sha256").orderBy("name").collect()
-        newest = self._log().agg(F.max("sequence").alias("s")).first().s or 0
-        jobs = [Job(f.content_sha256, f.path, f.size_bytes, newest + 1 + i) for i, f in enumerate(found)]
+        closed = F.col("status") == "completed"
+        if since is not None:
+            closed = closed | (F.col("started_at") >= F.lit(since))
+        done = self.jobs().filter(closed).select(F.col("job_id").alias("content_sha256"))
+        first = files.groupBy("content_sha256").agg(F.min(F.struct("name", "path", "size_bytes", "header")).alias("f"))
+        found = first.join(done, "content_sha256", "left_anti").select("content_sha256", "f.*")
+        rows = found.orderBy("name", "path").limit(most).collect()
+        jobs = [Job(f.content_sha256, f.path, f.size_bytes, f.header) for f in rows]
         self.record(jobs)
         return jobs
 
-    def complete(self, job: Job, **counters: int) -> Job:
-        done = replace(
-            job, status="completed", error_message=None, finished_at=datetime.now(timezone.utc), **counters
-        )
-        self.record([done])
-        return done
-
-    def fail(self, job: Job, error: object) -> Job:
-        failed = replace(
-            job, status="failed", finished_at=datetime.now(timezone.utc),
-            error_message=error_text(error, "Unknown ingestion error."),
-        )
-        self.record([failed])
-        return failed
-
-
-def _by_name():
-    from pyspark.sql import Window
-
-    # Files of one trigger only; bounded by maxFilesPerTrigger.
-    return Window.orderBy("name", "path")
+    def reserve(self, jobs: Sequence[Job], rows: int) -> tuple[list[Job], int]:
+        """Row ids for a batch: the first one. Written down before any row is, so none is given twice."""
+        first = self._rows().agg(F.max("next_id")).first()[0] or 0
+        running = [replace(job, status="running", next_id=first + rows) for job in jobs]
+        self.record(running)
+        return running, first

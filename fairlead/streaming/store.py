@@ -11,7 +11,7 @@ from fairlead.streaming.registry import FileRegistry
 
 _MEASURES = "latitude double, longitude double, sog double, cog double, heading double"
 MESSAGES = (
-    f"id bigint, job_id bigint, mmsi string, timestamp timestamp, {_MEASURES}, navigation_status int, cargo int, "
+    f"id bigint, job_id string, mmsi string, timestamp timestamp, {_MEASURES}, position string, navigation_status int, cargo int, "
     "transceiver_class string, sog_unavailable boolean, cog_unavailable boolean, heading_unavailable boolean"
 )
 VESSELS = (
@@ -44,6 +44,12 @@ class Store:
     def messages(self) -> DatedTable:
         return DatedTable(self.spark, f"{self.root}/messages", MESSAGES, ("mmsi", "timestamp", "latitude", "longitude"))
 
+    @property
+    def quarantine(self) -> DatedTable:
+        """Valid reports outside the stored limits of speed, course or heading, as they came."""
+        keys = ("job_id", "mmsi", "timestamp", "latitude", "longitude")
+        return DatedTable(self.spark, f"{self.root}/quarantine", MESSAGES, keys)
+
     @property
     def latest(self) -> VersionedTable:
         """Newest report per vessel."""

@@ -112,6 +112,22 @@ def test_percentile_equals_searchsorted(spark):
     assert np.isnan(got.loc[9999])
 
 
+def test_scores_outside_the_reference_are_spread(spark):
+    reference = ranking.fit_reference(spark.range(1000).select(F.col("id").cast("double").alias("ml_anomaly_score")))
+    drifted = spark.range(2000).select("id", (F.col("id") + 5000.5).alias("ml_anomaly_score"))
+    got = ranking.with_percentile(drifted, reference, rows_per_task=200)
+    assert got.filter("ml_anomaly_percentile = 100").count() == 2000
+    both = reference.counts.unionByName(drifted.select(F.col("ml_anomaly_score").alias("score"), F.lit(0).alias("n")))
+    ranges = ranking._ranged(both, 200).filter("score > 5000").groupBy("bucket").count().collect()
+    assert len(ranges) >= 8 and max(r["count"] for r in ranges) < 500
+
+
+def test_training_pool_has_no_size_switch(spark):
+    # Equal row ids hash alike; the pool must still be full.
+    rows = spark.range(3000).select(F.lit(7).alias("id"), F.col("id").alias("v"))
+    assert iforest._training_pool(rows, 100, 42, "id").count() == 100
+
+
 def test_reference_round_trip_and_errors(spark, tmp_path):
     df = spark.createDataFrame([(float(i),) for i in range(1, 201)] + [(None,), (float("inf"),), (float("nan"),)], "ml_anomaly_score double")
     reference = ranking.fit_reference(df)

@@ -67,6 +67,94 @@ def test_unreadable_file_fails_alone_and_can_be_retried(store, inbox):
     assert store.registry.jobs().count() == 2
 
 
+def count_keys(seen):
+    def stage(store, batch):
+        seen.append(batch.keys.count())
+        return StageResult("count", seen[-1], 0)
+
+    return stage
+
+
+def test_analytics_follow_after_a_crash(store, inbox, monkeypatch):
+    """Killed after the messages were appended, before anything was recorded."""
+    put(inbox, "a.csv", HEADER + lines("111111111", 0, 4) + lines("111111111", 9000, 1))
+    seen = []
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ingest, "_counted", killed)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.ingest_directory(store, str(inbox), stages=(count_keys(seen),))
+    monkeypatch.undo()
+    assert store.messages.read().count() == 5 and seen == []
+    assert [r.status for r in store.registry.jobs().collect()] == ["running"]
+    job = ingest.ingest_directory(store, str(inbox), stages=(count_keys(seen), stages.rule_stage))[0]
+    assert (job.status, job.analytics_status, job.rows_imported, job.duplicates_skipped) == ("completed", "completed", 5, 0)
+    assert seen == [5] and store.messages.read().count() == 5
+    assert store.alerts.read().filter("anomaly_type = 'reporting_gap'").count() == 1
+
+
+def test_rows_outside_the_limits_go_to_quarantine(store, inbox):
+    at = "2024-01-01T00:00:0{}Z,40.0,-74.0,{}"
+    rows = ["5,10,511", "102.3,360,10", "-1,10,10", "5,10,10", ",,"]
+    body = HEADER + "".join(f"111111111,{at.format(i, r)},S\n" for i, r in enumerate(rows))
+    put(inbox, "a.csv", body)
+    for _ in range(2):
+        jobs = ingest.ingest_directory(store, str(inbox), stages=None)
+        if jobs:
+            first = jobs[0]
+    assert (first.rows_read, first.rows_imported, first.rows_quarantined, first.rows_rejected, first.duplicates_skipped) == (5, 2, 3, 0, 0)
+    assert store.messages.read().count() == 2 and store.quarantine.read().count() == 3
+    assert {r.heading for r in store.quarantine.read().collect()} == {511.0, 10.0}
+    assert store.messages.read().filter("position = 'POINT(-74.0 40.0)'").count() == 2
+
+
+def test_ids_never_run_out(store, inbox):
+    """Far more rows than any earlier numbering allowed."""
+    from fairlead.streaming.registry import Job
+
+    before = 5_000_000_000_000_000
+    store.registry.record([Job("f" * 64, "/old.csv", 1, status="completed", next_id=before)])
+    put(inbox, "a.csv", HEADER + lines("111111111", 0, 3))
+    put(inbox, "b.csv", HEADER.replace("heading,", "").replace("mmsi,timestamp", "mmsi,timestamp") + "222222222,2024-01-01T00:00:00Z,40.0,-74.0,5,10,B\n")
+    assert len(ingest.ingest_directory(store, str(inbox), stages=None)) == 2
+    assert sorted(r.id - before for r in store.messages.read().collect()) == [0, 1, 2, 3]
+    put(inbox, "c.csv", HEADER + lines("333333333", 0, 2))
+    ingest.ingest_directory(store, str(inbox), stages=None)
+    assert store.messages.read().agg(F.max("id")).first()[0] == before + 5
+
+
+def test_folder_in_several_batches_and_compaction(spark, store, inbox, monkeypatch):
+    from fairlead.sources.files import file_digests
+    from fairlead.streaming import registry
+
+    monkeypatch.setattr(registry, "COMPACT_AFTER", 2)
+    for i in range(5):
+        put(inbox, f"{i}.csv", HEADER + lines(f"11111111{i}", 0, 2))
+    put(inbox, "bad.csv", "mmsi,sog\n1,2\n")
+    jobs = ingest.ingest_batch(store, file_digests(spark, str(inbox)), None, most=2)
+    assert sorted(j.status for j in jobs) == ["completed"] * 5 + ["failed"]
+    assert store.registry.jobs().count() == 6 and len(store.registry._batches()) <= 3
+    assert store.registry.jobs().filter("status = 'completed'").agg(F.sum("rows_imported")).first()[0] == 10
+    assert store.messages.read().select("id").distinct().count() == 10
+    assert store.registry.jobs().select(F.max(F.length("job_id"))).first()[0] == 64
+
+
+def test_digest_is_streamed_in_pieces(spark, inbox):
+    import hashlib
+
+    from fairlead.sources import files
+
+    data = b"mmsi,x\r\n" + b"0123456789\n" * 300_000  # more than three pieces
+    (inbox / "big.csv").write_bytes(data)
+    got = {r.name: r for r in files.file_digests(spark, str(inbox)).collect()}
+    assert got["big.csv"].content_sha256 == hashlib.sha256(data).hexdigest() and got["big.csv"].header == "mmsi,x"
+    assert got["big.csv"].size_bytes == len(data)
+    plan = files.file_digests(spark, str(inbox))._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan
+
+
 def test_stage_order_failure_and_retry(store, inbox):
     put(inbox, "a.csv", HEADER + lines("111111111", 0, 3))
     seen = []
@@ -82,7 +170,8 @@ def test_stage_order_failure_and_retry(store, inbox):
         raise AssertionError("must not run")
 
     job = ingest.ingest_directory(store, str(inbox), stages=(good, broken, never))[0]
-    assert job.status == "completed" and job.analytics_status == "failed" and len(job.analytics_error) == 4000
+    assert job.status == "completed" and job.analytics_status == "failed"
+    assert job.analytics_error.endswith("x" * 5000)  # the whole text
     assert seen == [3] and store.messages.read().count() == 3
     assert ingest.ingest_directory(store, str(inbox), stages=(good,)) == []
     assert ingest.retry_analytics(store, (good,)) and seen == [3, 3]
