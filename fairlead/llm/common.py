@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fairlead.session import cut_lineage
+from fairlead.session import delete_path, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,21 +40,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``stored`` wrote inside, but for results stored with ``outer``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def stored(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     The written table outlives lost executors, and the shuffle files that made
     it are given back at once instead of at some later garbage collection.
+    ``outer`` keeps it beyond the present scope.
     """
     spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    owners = _scopes[: len(_scopes) - outer]
+    if owners:
+        owners[-1].append(path)
     before = {key: spark.conf.get(key) for key in _WHILE_STORING}
     try:
         for key, value in _WHILE_STORING.items():
             spark.conf.set(key, value)
-        return cut_lineage(df)
+        df.write.parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -70,21 +91,22 @@ def components(links: DataFrame) -> DataFrame:
     meets in one task and the rounds grow with the logarithm of its size. Every
     round is a stored table; minima are combined before they are shuffled.
     """
-    edges = stored(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    )
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    with scope(links.sparkSession):
+        edges = stored(edges)
+        state = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = stored(large.filter("u <> v").distinct())
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
+        roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+        members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return stored(members.unionByName(roots), outer=True)

@@ -23,10 +23,10 @@ Within a bucket of equal blocks no pairs are written out at first: every member
 is offered with the bucket's smallest id (a star), each member takes the
 smallest offer whose sketch is near enough, and the exact sets decide. Only
 members of buckets that these links leave in several components are compared
-with each other: few members as pairs, many in cells of bounded size by the
-Hamming distance of sketches folded to ``FOLDED`` words. What passes is held
-against the whole sketches and then against the exact sets. So no link is lost,
-and a large group of near copies costs a row per copy rather than per pair.
+with each other: few members as pairs, many in cells of bounded size. Pairs whose
+sketches (folded to ``FOLDED`` words) are near enough are held against the exact
+sets. So no link is lost, and a large group of near copies costs a row per copy
+rather than per pair.
 
 The exact sets are made only for documents that a bit filter of fixed size lets
 pass, so texts are never shuffled.
@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm.common import components, query, stored, table
+from fairlead.llm.common import components, query, scope, stored, table
 from fairlead.llm.tokens import list_array, mix, shingle_sets, small_batches
 
 BAND_RATIO = 1.2
@@ -54,8 +54,9 @@ BAND_RATIO = 1.2
 CELL = 512
 #: Members up to which a bucket is written out as pairs; larger ones are compared in cells.
 FEW = 16
-#: 64-bit words of a folded sketch, and bits of the filter of candidate documents.
-FOLDED = 16
+#: Most 64-bit words of a sketch that is kept; more are folded by exclusive or, which only lowers distances.
+FOLDED = 32
+#: Bits of the filter of candidate documents.
 FILTER_BITS = 1 << 23
 #: Bits of the filter of shingles that occur more than once.
 SHARED_BITS = 1 << 27
@@ -123,6 +124,15 @@ def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarr
     return np.packbits(parity).view(np.int64), sums
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A sketch of at most FOLDED words with no larger distance to another one folded alike."""
+    if len(bits) <= FOLDED:
+        return bits
+    full = np.zeros(-(-len(bits) // FOLDED) * FOLDED, np.int64)
+    full[: len(bits)] = bits
+    return np.bitwise_xor.reduce(full.reshape(-1, FOLDED), axis=0)
+
+
 def block_keys(bits: np.ndarray, sums: np.ndarray, band: int, spare: int) -> np.ndarray:
     """Join keys of the blocks that count; all of them where too many are weak."""
     places = np.arange(len(sums), dtype=np.uint64) | np.uint64((band + 1) << 32)
@@ -198,7 +208,7 @@ def _sketcher(words: int, percent: int, shared):
                 for band, blocks, spare in entered:
                     sketch, sums = parity_sketch(hashes, blocks)
                     bands.append(band)
-                    bits.append(sketch)
+                    bits.append(folded(sketch))
                     keys.append(block_keys(sketch, sums, band, spare))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             sketches = pa.StructArray.from_arrays(
@@ -267,10 +277,12 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     """The pairs (a, b) whose exact shingle sets are similar enough, as a stored table."""
     wanted = candidate_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     reader = _set_reader(words, docs.sparkSession.sparkContext.broadcast(wanted))
-    sets = stored(docs.select("doc", "text").mapInArrow(reader, "doc bigint, shingles array<bigint>"))
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a bigint, b bigint").distinct())
+    with scope(docs.sparkSession):
+        sets = stored(docs.select("doc", "text").mapInArrow(reader, "doc bigint, shingles array<bigint>"))
+        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
+        both = both.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
+        close = both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a bigint, b bigint")
+        return stored(close.distinct(), outer=True)
 
 
 def _near(percent: int):
@@ -384,12 +396,8 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     few = few.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
     chunks = F.ceil(F.col("members") / CELL).cast("int")
-    folded = F.expr(
-        f"transform(sequence(0, {FOLDED - 1}), i -> aggregate("
-        f"filter(bits, (x, j) -> j % {FOLDED} = i), 0L, (s, x) -> s ^ x))"
-    )
-    folds = entries.select("doc", "n", "band", folded.alias("bits"))
-    many = members.filter(F.col("members") > FEW).withColumn("chunks", chunks).join(folds, ["doc", "band"])
+    sketches = entries.select("doc", "n", "band", "bits")
+    many = members.filter(F.col("members") > FEW).withColumn("chunks", chunks).join(sketches, ["doc", "band"])
     many = many.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = many.select(
@@ -399,7 +407,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     cells = cells.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     many = cells.mapInArrow(_cell_pairs(percent), "a bigint, b bigint")
     rest = with_sketches(few.unionByName(many).distinct()).filter(_near(percent)).select("a", "b").distinct()
-    return stored(found.unionByName(verified(docs, stored(rest), words, percent)))
+    return stored(found.unionByName(verified(docs, stored(rest), words, percent)), outer=True)
 
 
 def near_duplicates(
@@ -408,8 +416,8 @@ def near_duplicates(
     """One row per input row: doc, n_shingles, component (smallest id reachable by links)."""
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     sets = document_sets(base, words, percent)
-    known = base.filter("doc IS NOT NULL")
-    joined = links(known, sets, words, percent)
+    with scope(docs.sparkSession):
+        joined = links(base.filter("doc IS NOT NULL"), sets, words, percent)
     # Members of a class hang on its smallest id.
     firsts = sets.filter("n > 0 AND doc IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc").alias("first"))
     keys = stored(sets.select("doc", "n", "k1", "k2").join(firsts, ["n", "k1", "k2"], "left"))

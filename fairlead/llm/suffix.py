@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm.common import query, stored, table
+from fairlead.llm.common import query, scope, stored, table
 from fairlead.llm.tokens import buffers, list_array, mix, small_batches, window_hashes
 
 LENGTH = 100
@@ -389,8 +389,10 @@ def remove_repeats(
     rows = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumn("version", F.xxhash64("text"))
-    spans = repeated_spans(rows, shard, most_pieces).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(stored(spans), ["doc", "version"], "left")
+    with scope(docs.sparkSession):
+        spans = repeated_spans(rows, shard, most_pieces).groupBy("doc", "version")
+        spans = stored(spans.agg(F.collect_list(F.struct("start", "stop")).alias("spans")), outer=True)
+    joined = rows.join(spans, ["doc", "version"], "left")
     return joined.select(F.col("doc").alias("id"), "text", "spans").mapInArrow(_apply, _RESULT)
 
 
