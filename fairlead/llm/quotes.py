@@ -140,7 +140,54 @@ def link_quotes(
     )
 
 
-@query("op10_quotation_linking")
+@query(
+    "op10_quotation_linking",
+    r"""
+WITH RECURSIVE c AS (
+    SELECT row_number() OVER () AS rid, * FROM conversations
+), l AS (
+    SELECT rid, conv_id, turn, u.pos AS pos, u.line AS line,
+           regexp_extract(u.line, '^((?:[ \t]*>)*)', 1) AS marks
+    FROM (SELECT *, string_split_regex(text, '\r?\n') AS parts FROM c WHERE text IS NOT NULL),
+         LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) u
+), w AS (
+    SELECT rid, conv_id, turn, pos, length(marks) - length(replace(marks, '>', '')) AS level,
+           trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)*)', '')), '\s+', ' ', 'g')) AS words
+    FROM l WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), r AS (
+    SELECT *, pos - row_number() OVER (PARTITION BY rid, level ORDER BY pos) AS run FROM w WHERE words <> ''
+), grouped AS (
+    SELECT rid, conv_id, turn, level, string_agg(words, ' ' ORDER BY pos) AS words
+    FROM r GROUP BY rid, conv_id, turn, level, run
+    UNION SELECT rid, conv_id, turn, level, words FROM r
+), u AS (SELECT DISTINCT * FROM grouped WHERE length(words) >= 12),
+found AS (
+    SELECT q.rid, q.conv_id, q.turn, q.level, q.words, max(o.turn) AS source
+    FROM u q JOIN u o ON q.conv_id = o.conv_id AND q.words = o.words AND o.level = 0 AND o.turn < q.turn
+    WHERE q.level > 0 GROUP BY ALL
+), weighed AS (
+    SELECT rid, conv_id, turn, source, min(level) AS level, sum(length(words)) AS chars FROM found GROUP BY ALL
+), links AS (
+    SELECT rid, conv_id, turn, source FROM weighed
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, chars DESC, source DESC) = 1
+), up AS (SELECT conv_id, turn, max(source) AS parent FROM links GROUP BY ALL),
+chain AS (
+    SELECT conv_id, turn, parent AS top, 1 AS depth FROM up
+    UNION ALL
+    SELECT k.conv_id, k.turn, p.parent, k.depth + 1 FROM chain k JOIN up p ON k.conv_id = p.conv_id AND k.top = p.turn
+), threads AS (SELECT conv_id, turn, min(top) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
+own AS (
+    SELECT rid, bool_or(regexp_matches(line, '^[ \t]*>')) AS quotes,
+           regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT regexp_matches(line, '^[ \t]*>')), ''),
+                          '^\s+|\s+$', '', 'g') AS kept
+    FROM l GROUP BY rid
+)
+SELECT c.conv_id, c.turn, c.role, CASE WHEN own.quotes THEN own.kept ELSE c.text END AS text,
+       k.source AS reply_to, coalesce(t.thread, c.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+FROM c LEFT JOIN own USING (rid) LEFT JOIN links k USING (rid)
+     LEFT JOIN threads t ON c.conv_id = t.conv_id AND c.turn = t.turn
+""",
+)
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_quotes(table(spark, sf_dir, "conversations"))
     return linked.select(

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from fairlead import llm
 from fairlead.llm import fingerprint, quotes
 
 LIMIT = -(1 << 63) + (1 << 64) // fingerprint.FRACTION
@@ -132,6 +133,17 @@ def test_quotes_are_linked_and_removed(spark):
     }
 
 
+def test_sql_gives_the_same_links(spark, tmp_path):
+    import duckdb
+
+    messages(spark).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.execute(llm.ORACLES["op10_quotation_linking"]).fetchall()
+    got = quotes.op10_quotation_linking(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
 def test_latest_earlier_original_over_slices(spark, monkeypatch):
     monkeypatch.setattr(quotes, "SLICE", 4)
     said = "the same words again and again"
