@@ -24,7 +24,7 @@ is offered with the bucket's smallest id (a star), each member takes the
 smallest offer whose sketch is near enough, and the exact sets decide. Only
 members of buckets that these links leave in several components are compared
 with each other: few members as pairs, many in cells of bounded size. Pairs whose
-sketches (folded to ``FOLDED`` words) are near enough are held against the exact
+sketches (folded to a few bits per block) are near enough are held against the exact
 sets. So no link is lost, and a large group of near copies costs a row per copy
 rather than per pair.
 
@@ -54,7 +54,8 @@ BAND_RATIO = 1.2
 CELL = 512
 #: Members up to which a bucket is written out as pairs; larger ones are compared in cells.
 FEW = 16
-#: Most 64-bit words of a sketch that is kept; more are folded by exclusive or, which only lowers distances.
+#: A kept sketch has this many 64-bit words, or 8 bits for each block of a longer one. The rest is folded
+#: over it by exclusive or, which only lowers distances.
 FOLDED = 32
 #: Bits of the filter of candidate documents.
 FILTER_BITS = 1 << 23
@@ -125,12 +126,13 @@ def parity_sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarr
 
 
 def folded(bits: np.ndarray) -> np.ndarray:
-    """A sketch of at most FOLDED words with no larger distance to another one folded alike."""
-    if len(bits) <= FOLDED:
+    """A shorter sketch with no larger distance to another one of the same length folded alike."""
+    words = max(FOLDED, -(-len(bits) // 8))
+    if len(bits) <= words:
         return bits
-    full = np.zeros(-(-len(bits) // FOLDED) * FOLDED, np.int64)
+    full = np.zeros(-(-len(bits) // words) * words, np.int64)
     full[: len(bits)] = bits
-    return np.bitwise_xor.reduce(full.reshape(-1, FOLDED), axis=0)
+    return np.bitwise_xor.reduce(full.reshape(-1, words), axis=0)
 
 
 def block_keys(bits: np.ndarray, sums: np.ndarray, band: int, spare: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -85,9 +85,10 @@ class Vocabulary:
             self.surface[i] = bytes([byte])
         if self.unknown >= 0:
             self.surface[self.unknown] = " ⁇ ".encode()
+        self.plain_lines = self.dummy_prefix and not any("\n" in self.pieces[i] for i in normal)
         self.floor = min((self.scores[i] for i in normal), default=0.0) - 10
         self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         if self.merges:
             self.rank = [_NO_RANK] * len(self.pieces)
             self.halves: list[tuple[int, int] | None] = [None] * len(self.pieces)
@@ -138,7 +139,7 @@ class Vocabulary:
         Merges are undone at the border, the latest first; a merge across the
         border that would have come before the undone one joins them.
         """
-        key = (a, b)
+        key = a << 20 | b
         found = self.fits.get(key)
         if found is not None:
             return found
@@ -158,8 +159,6 @@ class Vocabulary:
                 limit, at_left, a = self.rank[a], True, self.halves[a][1]
             else:
                 limit, at_left, b = self.rank[b], False, self.halves[b][0]
-        if len(self.fits) > REMEMBERED:
-            self.fits.clear()
         self.fits[key] = result
         return result
 
@@ -170,65 +169,131 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Ids of new distinct words, in one depth-first walk."""
-        root, previous = self.trie, ""
-        # By depth: matches that run on, and (begin, piece, score) of the best end; piece -1 is a bare character.
-        running: list[list] = [[]]
-        ends: list[tuple[int, int, float]] = [(0, -1, 0.0)]
+        walk = self._last_pieces() if self.merges else self._best_sums()
         for word in sorted(words):
             if self.merges and word.startswith(MARK + MARK):
                 # Runs of marks have pieces of equal rank, where only the order of merging decides.
-                ids: list[int] = []
-                for part in self._merge(word)[0]:
-                    ids += [self.ids[part]] if part in self.ids else self._spelled(part)
-                self.known[word] = array("i", ids).tobytes()
-                continue
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
-            del running[shared + 1 :], ends[shared + 1 :]
+                parts = self._merge(word)[0]
+                ids = [i for p in parts for i in ([self.ids[p]] if p in self.ids else self._spelled(p))]
+            else:
+                ids = walk(word)
+            self.known[word] = array("i", ids).tobytes()
+
+    @staticmethod
+    def _shared(word: str, previous: str) -> int:
+        """Length of the common prefix; near the end for most neighbours in order."""
+        n = min(len(word), len(previous))
+        if n > 64:
+            return next((i for i in range(n) if word[i] != previous[i]), n)
+        while word[:n] != previous[:n]:
+            n -= 1
+        return n
+
+    def _back(self, word: str, begins: list[int], pieces: list[int]) -> list[int]:
+        ids: list[int] = []
+        at = len(word)
+        while at:
+            begin, piece = begins[at], pieces[at]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += reversed(self._spelled(word[begin:at]))
+            at = begin
+        ids.reverse()
+        return ids
+
+    def _last_pieces(self) -> Callable[[str], list[int]]:
+        """Walk of a merge model; the state of a prefix is its last piece (-1: a bare character)."""
+        root, whole, fits, go_together = self.trie, self.whole, self.fits, self._go_together
+        previous = ""
+        # By depth: matches that run on, and where the last piece begins.
+        running: list[list] = [[]]
+        begins, last = [0], [-1]
+
+        def walk(word: str) -> list[int]:
+            nonlocal previous
+            shared = self._shared(word, previous)
+            previous = word
+            del running[shared + 1 :], begins[shared + 1 :], last[shared + 1 :]
             for at in range(shared, len(word)):
                 c = word[at]
-                now, best = [], None
+                now, best, best_begin = [], -1, at
                 for begin, node in (*running[at], (at, root)):
                     node = node.get(c)
                     if node is None:
                         continue
                     now.append((begin, node))
-                    piece = node.get(_END)
-                    if piece is None:
-                        continue
-                    if self.merges:
-                        if best is None:
-                            before = ends[begin][1] if begin else -1
-                            if self.whole[piece] and (before < 0 or self._go_together(before, piece)):
-                                best = (begin, piece, 0.0)
-                    else:
-                        total = ends[begin][2] + self.scores[piece]
-                        if best is None or total > best[2]:
-                            best = (begin, piece, total)
-                if best is None or (not self.merges and c not in root):
-                    bare = (at, -1, ends[at][2] + self.floor)
-                    best = bare if best is None or bare[2] > best[2] else best
+                    # Exactly one piece goes with the one before it.
+                    if best < 0 and (piece := node.get(_END)) is not None and whole[piece]:
+                        before = last[begin]
+                        if before >= 0:
+                            fit = fits.get(before << 20 | piece)
+                            if not (go_together(before, piece) if fit is None else fit):
+                                continue
+                        best, best_begin = piece, begin
                 running.append(now)
-                ends.append(best)
+                begins.append(best_begin)
+                last.append(best)
+            return self._back(word, begins, last)
+
+        return walk
+
+    def _best_sums(self) -> Callable[[str], list[int]]:
+        """Walk of a unigram model; the state of a prefix is its best sum of scores."""
+        root, scores, floor = self.trie, self.scores, self.floor
+        previous = ""
+        running: list[list] = [[]]
+        begins, last, sums = [0], [-1], [0.0]
+
+        def walk(word: str) -> list[int]:
+            nonlocal previous
+            shared = self._shared(word, previous)
             previous = word
-            back: list[list[int]] = []
-            at = len(word)
-            while at > 0:
-                begin, piece, _ = ends[at]
-                back.append([piece] if piece >= 0 else self._spelled(word[begin:at]))
-                at = begin
-            self.known[word] = array("i", [i for part in reversed(back) for i in part]).tobytes()
+            del running[shared + 1 :], begins[shared + 1 :], last[shared + 1 :], sums[shared + 1 :]
+            for at in range(shared, len(word)):
+                c = word[at]
+                now, best, best_begin, best_sum = [], -1, at, float("-inf")
+                for begin, node in (*running[at], (at, root)):
+                    node = node.get(c)
+                    if node is None:
+                        continue
+                    now.append((begin, node))
+                    piece = node.get(_END)
+                    if piece is not None and sums[begin] + scores[piece] > best_sum:
+                        best, best_begin, best_sum = piece, begin, sums[begin] + scores[piece]
+                if _END not in root.get(c, ()) and sums[at] + floor > best_sum:
+                    best, best_begin, best_sum = -1, at, sums[at] + floor
+                running.append(now)
+                begins.append(best_begin)
+                last.append(best)
+                sums.append(best_sum)
+            return self._back(word, begins, last)
+
+        return walk
 
     def rest(self) -> None:
         """Forget all but the first words, which are the common ones, as the worker may turn to other work."""
         self.known = dict(islice(self.known.items(), KEPT))
-        self.fits = dict(islice(self.fits.items(), KEPT))
+        if len(self.fits) > REMEMBERED:
+            self.fits = dict(islice(self.fits.items(), KEPT))
 
     def words(self, text: str) -> list[str]:
-        """The marked words of a text; one blank between words is the common case."""
-        if MARK not in text and "  " not in text and self.dummy_prefix and text[0] != " " and text[-1] != " ":
-            return [MARK + w for w in text.split(" ")]
+        """The marked words of a text; one blank between words is the common case.
+
+        No piece holds a line feed, so it is a word of its own there.
+        """
+        if self.plain_lines and MARK not in text and "  " not in text and text[0] != " ":
+            out: list[str] = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                if out:
+                    out.append("\n")
+                    if first:
+                        out.append(first)
+                else:
+                    out.append(MARK + first)
+                out += [MARK + w for w in rest]
+            return out
         return _WORD.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
