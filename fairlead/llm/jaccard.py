@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import components, query, scope, stored, table
-from fairlead.llm.tokens import list_array, mix, shingle_sets, small_batches
+from fairlead.llm.tokens import flag_words, list_array, mix, shingle_sets, small_batches
 
 BAND_RATIO = 1.2
 #: Members of a bucket that are compared in one cell with as many others.
@@ -165,14 +165,9 @@ def _token_counts(words: int, percent: int):
 
 
 def _shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(SHARED_BITS, bool)
     for batch in batches:
-        flags[batch.column(0).to_numpy().view(np.uint64) & np.uint64(SHARED_BITS - 1)] = True
-    words = np.packbits(flags).view(np.int64)
-    used = np.flatnonzero(words)
-    for at in range(0, len(used), 1 << 16):
-        part = used[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
+        words, bits = flag_words(batch.column(0).to_numpy().view(np.uint64) & np.uint64(SHARED_BITS - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
 
 
 def shared_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
@@ -234,12 +229,9 @@ def _filter_bits(docs: np.ndarray) -> np.ndarray:
 
 
 def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        bits[_filter_bits(batch.column(0).to_numpy())] = True
-    words = np.packbits(bits).view(np.int64)
-    used = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "bits"])
+        words, bits = flag_words(_filter_bits(batch.column(0).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
 
 
 def candidate_filter(ids: DataFrame) -> np.ndarray:

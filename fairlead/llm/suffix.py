@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, scope, stored, table
-from fairlead.llm.tokens import buffers, list_array, mix, small_batches, window_hashes
+from fairlead.llm.tokens import buffers, flag_words, list_array, mix, small_batches, window_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -222,14 +222,9 @@ def _flag(keys: np.ndarray) -> np.ndarray:
 
 
 def _flag_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        flags[_flag(batch.column(0).to_numpy().view(np.uint64))] = True
-    words = np.packbits(flags).view(np.int64)
-    used = np.flatnonzero(words)
-    for at in range(0, len(used), 1 << 16):
-        part = used[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
+        words, bits = flag_words(_flag(batch.column(0).to_numpy().view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
 
 
 def repeated_keys(docs: DataFrame, shard: int = SHARD) -> np.ndarray:

@@ -139,6 +139,19 @@ def shingle_sets(column: pa.Array, k: int):
             yield np.zeros(0, np.uint64)
 
 
+def flag_words(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values of the 64-bit words that ``np.packbits`` would give for flags at these places."""
+    places = np.unique(places)
+    inside = places & np.uint64(7)
+    byte = (places >> np.uint64(3)) & np.uint64(7)
+    bits = (np.uint64(128) >> inside) << (byte << np.uint64(3))
+    word = (places >> np.uint64(6)).astype(np.int64)
+    if not len(word):
+        return word, word
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    return word[starts], np.bitwise_or.reduceat(bits, starts).view(np.int64)
+
+
 def window_hashes(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Hash of the ``width`` bytes from every position that has as many."""
     n = len(data)

@@ -143,3 +143,15 @@ def test_components_of_chains_and_hubs(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert all(got[i] == 0 for i in range(62)) and all(got[100 + i] == 100 for i in range(50)) and got[500] == 400
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_flag_words_are_packed_bits():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 500, 20_000):
+        places = rng.integers(0, 1 << 16, n).astype(np.uint64)
+        flags = np.zeros(1 << 16, bool)
+        flags[places.astype(int)] = True
+        words, bits = tokens.flag_words(places)
+        full = np.zeros(1 << 10, np.int64)
+        full[words] = bits
+        assert np.array_equal(np.packbits(flags).view(np.int64), full)
