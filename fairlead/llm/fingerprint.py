@@ -1,14 +1,15 @@
-r"""Document fingerprints: every shingle hash below a fixed fraction of the hash range.
+r"""Document fingerprints: the shingle hashes in a fixed fraction of the hash range, at present all.
 
 Words are runs without white space, with A-Z in lower case; a text of fewer than
 ``SHINGLE`` words is one shingle. A fingerprint holds the distinct shingle hashes
-under ``FRACTION`` of the range, sorted. As the limit does not depend on the
-text, fingerprints of any two texts sample the same hashes: the share in common
-estimates likeness or containment however unequal the texts are, and the
-fingerprint of a union is the merged fingerprint. A text none of whose shingles
-is under the limit keeps its smallest hash; merging drops such a hash as soon as
-the other side has one under the limit, so this stays mergeable. All of it is
-Spark SQL.
+in the lowest ``1 / FRACTION`` of the range, sorted. ``FRACTION`` is 1, so these
+are all hashes, and likeness and containment are those of the shingle sets
+themselves (but for clashes of 64-bit hashes), for short texts as for long ones.
+The limit does not depend on the text, so the fingerprint of a union is the
+merged fingerprint. With a larger ``FRACTION`` both are estimates, poor ones for
+short texts, and a text with no shingle under the limit keeps its smallest hash,
+which merging drops as soon as the other side has one under the limit. All of it
+is Spark SQL.
 
 Neighbours in descending order of ids come from slices of ``SLICE`` ids: inside
 a slice a window looks one row ahead, and the first row of each slice goes to
@@ -28,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from fairlead.llm.common import ascii_lower, query, table
 
 SHINGLE = 5
-FRACTION = 8
+FRACTION = 1
 SLICE = 256
-_LIMIT = -(1 << 63) + (1 << 64) // FRACTION
+#: The largest hash that is kept.
+_LIMIT = -(1 << 63) + (1 << 64) // FRACTION - 1
 _WORDS = "filter(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
 
 
@@ -48,7 +50,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
             "WHEN size(_hashes) > 0 THEN array(xxhash64(_hashes)) ELSE array() END"
         ).alias("_shingles"),
     )
-    rows = rows.select("*", F.expr(f"filter(_shingles, h -> h < {_LIMIT}L)").alias("_low"))
+    rows = rows.select("*", F.expr(f"filter(_shingles, h -> h <= {_LIMIT}L)").alias("_low"))
     found = F.expr(
         "CASE WHEN size(_low) > 0 THEN sort_array(array_distinct(_low)) "
         "WHEN size(_shingles) > 0 THEN array(array_min(_shingles)) ELSE _low END"
@@ -57,7 +59,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity of two fingerprint columns."""
+    """Jaccard similarity of two fingerprint columns."""
     common = f"size(array_intersect({a}, {b}))"
     return F.expr(
         f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1.0D "
@@ -66,7 +68,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of the first text's shingles that the second has; null for an empty one."""
+    """Share of the first text's shingles that the second has; null for an empty one."""
     return F.expr(f"CASE WHEN size({a}) > 0 THEN size(array_intersect({a}, {b})) / CAST(size({a}) AS DOUBLE) END")
 
 
@@ -74,7 +76,7 @@ def merged(a: str, b: str) -> Column:
     """The fingerprint of both texts' shingles together."""
     both = f"sort_array(array_union({a}, {b}))"
     return F.expr(
-        f"CASE WHEN exists({both}, h -> h < {_LIMIT}L) THEN filter({both}, h -> h < {_LIMIT}L) "
+        f"CASE WHEN exists({both}, h -> h <= {_LIMIT}L) THEN filter({both}, h -> h <= {_LIMIT}L) "
         f"ELSE slice({both}, 1, 1) END"
     )
 

@@ -59,6 +59,34 @@ def test_query_against_brute_force(spark, tmp_path):
         assert r["near_edited"] == pytest.approx(likeness(own, new)) and r["near_next"] == pytest.approx(likeness(own, expected(after)))
 
 
+def exact(a, b):
+    """Jaccard similarity of the sets of shingles as texts, without hashes."""
+
+    def shingles(text):
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lower(text)) if w]
+        k = fingerprint.SHINGLE
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+    return likeness(shingles(a), shingles(b))
+
+
+@pytest.mark.parametrize("words", [3, 12, 49, 149, 600])
+def test_likeness_is_exact_in_every_length_class(spark, tmp_path, words):
+    texts = []
+    for i in range(12):
+        # Every second text is a near copy of the one before.
+        text = cases.prose(1000 * words + i // 2, words)
+        texts.append(text if i % 2 else text.rsplit(" ", 1)[0] + f" word{i}")
+    rows = list(enumerate(texts))[::-1]
+    cases.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprint.op8_document_fingerprints(spark, str(tmp_path)).collect()}
+    for place, (i, text) in enumerate(rows):
+        after = rows[(place + 1) % len(rows)][1]
+        third = len(text) // 3
+        assert got[i]["near_edited"] == pytest.approx(exact(text, text[: len(text) - third] + after[:third]))
+        assert got[i]["near_next"] == pytest.approx(exact(text, after))
+
+
 def test_rows_without_id_and_repeats(spark, tmp_path):
     cases.frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = fingerprint.op8_document_fingerprints(spark, str(tmp_path)).collect()
