@@ -6,8 +6,8 @@ blank; they are normalised (lower case, white space to single blanks) and
 hashed, as is each line of theirs, so that a quotation of part of a passage is
 found as well. What a message writes itself (level 0) are originals; what it
 quotes is linked to the latest earlier message of the conversation with the same
-original. Among the messages found, the one with most quoted characters at the
-lowest level is the message replied to. Following these links gives each message
+original, however short it is. Among the messages found, the one with most
+quoted characters at the lowest level is the message replied to. Following these links gives each message
 its thread (the turn it goes back to) and its depth; sorted by conversation,
 thread and turn, every reply stands after its original. Texts keep their own
 lines only.
@@ -31,13 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from fairlead.llm.common import query, stored, table
 
 SLICE = 1024
-#: Shorter normalised passages ("ok") say nothing about where they come from.
-MIN_CHARS = 12
 _QUOTED = r"^[ \\t]*>"
 _OWN = rf"filter(split(text, '\\r?\\n', -1), line -> NOT line RLIKE '{_QUOTED}')"
 
 
-def passages(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def passages(messages: DataFrame) -> DataFrame:
     """Rows conv, turn, version, level, h1, h2, chars: passages and their lines, once each."""
     lines = messages.select(
         "conv", "turn", "version", F.posexplode(F.split("text", r"\r?\n", -1)).alias("pos", "line")
@@ -55,17 +53,17 @@ def passages(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"]), " ").alias("words")
     )
     units = whole.drop("run").unionByName(lines.drop("pos"))
-    units = units.withColumn("chars", F.length("words")).filter(F.col("chars") >= min_chars)
+    units = units.withColumn("chars", F.length("words"))
     return units.select(
         "conv", "turn", "version", "level", "chars",
         F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
     ).distinct()
 
 
-def quote_links(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def quote_links(messages: DataFrame) -> DataFrame:
     """Rows conv, turn, version, reply_to: the message each quoting message answers."""
     known = messages.filter("conv IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
-    units = stored(passages(known, min_chars)).withColumn("slice", F.expr(f"turn div {SLICE}"))
+    units = stored(passages(known)).withColumn("slice", F.expr(f"turn div {SLICE}"))
     own = F.when(F.col("level") == 0, F.col("turn"))
     quoted = F.max(F.col("level") > 0).over(Window.partitionBy("conv", "h1", "h2", "slice"))
     key = ["conv", "h1", "h2"]
@@ -115,7 +113,6 @@ def threads(links: DataFrame) -> DataFrame:
 
 def link_quotes(
     messages: DataFrame,
-    min_chars: int = MIN_CHARS,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     text_col: str = "text",
@@ -127,7 +124,7 @@ def link_quotes(
         F.col(f"`{turn_col}`").cast("bigint").alias("turn"),
         F.col(f"`{text_col}`").alias("text"),
     ).withColumn("version", F.xxhash64("text"))
-    links = stored(quote_links(rows.select("conv", "turn", "version", "text"), min_chars))
+    links = stored(quote_links(rows.select("conv", "turn", "version", "text")))
     rows = rows.join(links, ["conv", "turn", "version"], "left").join(threads(links), ["conv", "turn"], "left")
     own = F.expr(f"array_join({_OWN}, '\\n')")
     # Blank lines at both ends were next to a quote.

@@ -172,6 +172,26 @@ def test_sql_gives_the_same_links(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_short_passages_are_linked(spark):
+    rows = [
+        (4, 0, "a", "No thanks"),
+        (4, 1, "b", "Yes, agreed"),
+        (4, 2, "a", "好的"),
+        (4, 3, "b", "> Yes,  AGREED\nfine"),
+        (4, 4, "b", "> 好的\n谢谢"),
+        (4, 5, "a", "> fine"),
+        (4, 6, "a", "> No thanks\n> never said"),
+        (4, 7, "a", "This one is longer than the others.\nok"),
+        (4, 8, "b", "ok"),
+        # Most quoted characters decide, though a later message said the short line.
+        (4, 9, "b", "> This one is longer than the others.\n> ok"),
+        (4, 10, "b", "> ok"),
+    ]
+    got = {r["turn"]: (r["_reply_to"], r["_thread"], r["_depth"]) for r in quotes.link_quotes(messages(spark, rows)).collect()}
+    replies = {3: (1, 1, 1), 4: (2, 2, 1), 5: (3, 1, 2), 6: (0, 0, 1), 9: (7, 7, 1), 10: (8, 8, 1)}
+    assert got == {t: replies.get(t, (None, t, 0)) for t in range(11)}
+
+
 def test_latest_earlier_original_over_slices(spark, monkeypatch):
     monkeypatch.setattr(quotes, "SLICE", 4)
     said = "the same words again and again"
