@@ -1,12 +1,15 @@
 r"""Personal data replaced by keyed surrogates of the same kind.
 
 Found are e-mail addresses, telephone, card, social security and bank account
-numbers, IPv4 addresses, long hexadecimal secrets, and names after a form of
-address. An entity is its kind and canonical form (digits only, lower case, ...).
+numbers, IPv4 and IPv6 addresses, hexadecimal secrets of 32 digits or more, and
+names after a form of address. Telephone numbers are found with a leading ``+``,
+in national groupings (area code in parentheses, 3-3-4 digits, leading 0), and
+as any digits after a word such as "tel". A number written both with and without
+its country code is two entities. An entity is its kind and canonical form (digits only, lower case, ...).
 Its surrogate follows from an HMAC of kind, canonical form and attempt, so it is
 the same wherever the entity occurs, without a table of all entities at hand:
 numbers keep their length, check digits their validity, private networks stay
-private, letters and digits keep their places, names keep gender (from the form
+private (of IPv6 addresses the range), letters and digits keep their places, names keep gender (from the form
 of address) and script. The surrogate is written in the format and case of each
 occurrence. Name parts are entities of their own, and every whole-word mention
 of a part in a document that addresses the person is replaced, so short forms
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -41,16 +45,38 @@ DEFAULT_KEY = b"replace this key in production"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
+_H = "[0-9A-Fa-f]{1,4}"
+#: No part of a longer number, word, date or version.
+_FREE, _ENDS = r"(?<![\w+/-])(?<!\d[.,:])", r"(?!\w|[-/.,:]\d)"
+#: National forms: (743) 555-3824, 1-743-555-3824, (11) 91234-5678, (0171) 2345678, 0171 2345678, 020 7946 0958,
+#: 02-1234-5678, 01 23 45 67 89, 044 668 18 00.
+_NATIONAL = (
+    r"(?:1[-. ])?(?:\(\d{3}\)[-. ]?\d{3}[-. ]?\d{4}|\d{3}(?P<sep>[-. ])\d{3}(?P=sep)\d{4})"
+    r"|\(\d\d\) ?\d{4,5}-\d{4}"
+    r"|\(0\d{1,5}\)[ /-]?(?:\d{5,8}|\d{2,4}(?:[ -]\d{2,4}){1,3})"
+    r"|0\d{2,4}[ /-]\d{5,8}"
+    r"|0\d(?:\d{1,3}[ /-]|[ -])\d{3,4}[ -]\d{3,4}(?:[ -]\d{2,4})?"
+    r"|0\d(?P<pair>[-. ])\d{2}(?:(?P=pair)\d{2}){3}"
+    r"|0\d{2,4}[ /-]\d{2,3}(?:[ -]\d{2,3}){2,3}"
+)
+_CALLED = (
+    r"(?i:\b(?:tel(?:ephone|efon|efono|éfono|éphone)?|phone|fon|mobile?|cell|handy|fax|тел(?:ефон)?)\b"
+    r"\.?(?: ?(?:no|nr|number|nummer)\b\.?)?[:= ]{1,3})"
+)
 _NUMBERS = re.compile(
     r"(?P<email>[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+)"
-    r"|(?P<hex>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z]))"
+    r"|(?P<hex>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<phone>(?<![\w+])\+\d[\d ()./-]{6,20}\d(?!\d))"
+    rf"|(?P<ip6>(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{{3,4}}(?::{_H}){{0,5}}::(?:{_H}(?::{_H}){{0,5}})?)"
+    r"(?!\w|:[0-9A-Fa-f:]|\.\d))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d))"
+    rf"|{_FREE}(?P<phone_national>{_NATIONAL}){_ENDS}"
+    rf"|{_CALLED}(?!\d{{4}}-\d\d-\d\d|{_OCTET}(?:\.{_OCTET}){{3}})(?P<phone_called>\d(?:[ ()./-]{{0,2}}\d){{5,13}})(?![ -]?\d|\w)"
 )
-_WANTED = re.compile(r"[0-9@]")
+_WANTED = re.compile(r"[0-9@]|[A-Fa-f]{32}")
 _FORMS = tuple(sorted((*_MALE, *_FEMALE), key=len, reverse=True))
 _NAMES = re.compile(
     rf"\b(?P<form>{'|'.join(map(re.escape, _FORMS))})\.?[ ]"
@@ -127,6 +153,16 @@ def _ip(s: _Stream, canon: str) -> str:
     return ".".join(map(str, head + tail))
 
 
+def _ip6(s: _Stream, canon: str) -> str:
+    groups = canon.split(":")
+    # Ranges below 1000 and those for local use, groups and documentation stay; so do zeros of the network.
+    kept = 2 if canon.startswith("2001:0db8") else groups[0][0] in "0f"
+    for i in range(8):
+        if i >= kept and (i > 3 or groups[i] != "0000"):
+            groups[i] = ("2" if i == 0 else str(1 + s.below(9))) + f"{s.below(4096):03x}"
+    return ":".join(groups)
+
+
 def _card(s: _Stream, canon: str) -> str:
     body = canon[0] + s.like(canon[1:-1])
     valid = str(-luhn(body + "0") % 10)
@@ -150,6 +186,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return _email(s, canon, key)
     if kind == "ip":
         return _ip(s, canon)
+    if kind == "ip6":
+        return _ip6(s, canon)
     if kind == "card":
         return _card(s, canon)
     if kind == "phone":
@@ -171,6 +209,8 @@ def canonical(kind: str, text: str) -> str:
         return text.replace(" ", "")
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).exploded
     return text.lower()
 
 
@@ -179,6 +219,8 @@ def render(kind: str, text: str, value: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(value)
         return "".join(next(rest) if c.isalnum() else c for c in text)
+    if kind == "ip6":
+        value = ipaddress.IPv6Address(value).compressed if "::" in text else value
     if text.isupper():
         return value.upper()
     return value.capitalize() if kind.startswith(("given", "family")) and text[0].isupper() else value
@@ -189,7 +231,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     if _WANTED.search(text):
         for m in _NUMBERS.finditer(text):
-            found.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group())))
+            kind, text_of = m.lastgroup.split("_")[0], m[m.lastgroup]
+            try:
+                found.append((*m.span(m.lastgroup), kind, canonical(kind, text_of)))
+            except ipaddress.AddressValueError:
+                # More groups than an address has.
+                continue
     if any(form in text for form in _FORMS):
         parts: dict[str, str] = {}
         for m in _NAMES.finditer(text):

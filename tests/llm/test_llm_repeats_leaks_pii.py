@@ -208,6 +208,44 @@ def test_surrogates_keep_type_and_format():
     assert pii.replace(PERSONS, b"key")[0] == new != pii.replace(PERSONS, b"other")[0]
 
 
+FOUND = {
+    "phone": [
+        "+1 (017) 555-7713", "(743) 555-3824", "743-555-3824", "743.555.3824", "743 555 3824", "1-743-555-3824",
+        "(743)555-3824", "0171 2345678", "0171/2345678", "(0171) 2345678", "020 7946 0958", "02-1234-5678",
+        "01 23 45 67 89", "044 668 18 00", "(11) 91234-5678",
+    ],
+    "hex": ["0a" * 64, "0a" * 65, "9f" * 400, "deadbeef" * 4],
+    "ip6": ["2001:db8::1", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "fe80::1", "2a00:1450:4001:81b::200e", "2001:db8:0:0:0:0:0:9"],
+    "ssn": ["012-34-5678"],
+    "card": ["4111 1111 1111 1111"],
+    "ip": ["10.0.0.7"],
+}
+PLAIN = [
+    "01/02/2023", "01-02-2023", "2023-11-30 10:00", "12:34:56:78", "1,000,000 0.125", "std::vector a::b x[1::2]",
+    "3.14159 1.2.3", "1 234 567", "(2019) 12345", "id 01712345678", "phone 2023-11-30", "1:2:3:4:5:6:7:8:9:a:b:c",
+]
+
+
+@pytest.mark.parametrize("kind", FOUND)
+def test_national_phones_long_secrets_and_ip6_are_found(kind):
+    for entity in FOUND[kind]:
+        for text in (entity, f"ask {entity}.", f"at ({entity}), or", f"is\n{entity}\n"):
+            begin = text.index(entity)
+            found = pii.find(text)
+            assert [x[:3] for x in found] == [(begin, begin + len(entity), kind)], text
+            new, n = pii.replace(text, b"key")
+            assert n == 1 and entity not in new and [x[2] for x in pii.find(new)] == [kind]
+            if kind != "ip6":
+                assert re.sub("[0-9a-f]+", "9", new) == re.sub("[0-9a-f]+", "9", text) or kind == "ip"
+
+
+def test_phones_after_their_word_and_plain_numbers():
+    for text in ("tel 01712345678", "Phone no.: 5553824", "Fax: 7435553824."):
+        assert [x[2] for x in pii.find(text)] == ["phone"] and pii.replace(text, b"key")[0][:4] == text[:4]
+    for text in PLAIN:
+        assert pii.find(text) == [], text
+
+
 def test_surrogates_of_edge_cases(spark):
     rows = [*cases.texts(), (500, PERSONS), (500, PERSONS), (501, "ask john.smith@corp.co.uk"), (None, "10.0.0.7"), (None, None)]
     docs = cases.frame(spark, rows)
