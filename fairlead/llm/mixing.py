@@ -13,9 +13,9 @@ and only that bucket is divided again by the next bits, until it has at most LIS
 rows or is a single hash. Sums are combined before they are shuffled, a source has
 at most 2 ** MOST_BITS buckets at a time whatever its size, and the bits of a step
 follow from the rows left, so the last bucket has some hundred documents. Of
-these few, in order of the hash, every one that still fits is taken, and the one
-exchange that comes nearest is made, which brings the source within some words of
-its target unless it has very few documents; they are listed by hash beside the
+these few, in order of the hash, every one that still fits is taken, and single
+documents are exchanged as long as that comes nearer, which brings the source within
+some words of its target unless it has very few documents; they are listed by hash beside the
 threshold. The documents themselves are only filtered.
 
 Defined results: words are runs of bytes that are no white space
@@ -130,22 +130,21 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     for i, n in enumerate(words.tolist()):
         if n <= rest:
             chosen[i], rest = True, rest - n
-    # One more in, one out, or both: in - out as near to the rest as can be. Place 0 stands for none.
-    goes, comes = (np.concatenate(([-1], np.flatnonzero(mask))) for mask in (chosen, ~chosen))
+    # One more in, one out, or both, as long as that comes nearer; place -1 stands for none.
     size = np.append(words, 0)
-    comes = comes[np.argsort(size[comes], kind="stable")]
-    at = np.searchsorted(size[comes], size[goes] + rest)
-    best = (rest, -1, -1)
-    for shift in (-1, 0):
-        near = comes[np.clip(at + shift, 0, len(comes) - 1)]
-        off = np.abs(size[near] - size[goes] - rest)
-        k = int(np.argmin(off))
-        best = min(best, (int(off[k]), int(goes[k]), int(near[k])))
-    _, out, new = best
-    if out >= 0:
-        chosen[out] = False
-    if new >= 0:
-        chosen[new] = True
+    while rest:
+        goes, comes = (np.concatenate(([-1], np.flatnonzero(mask))) for mask in (chosen, ~chosen))
+        comes = comes[np.argsort(size[comes], kind="stable")]
+        at = np.searchsorted(size[comes], size[goes] + rest)
+        near = np.stack([comes[np.maximum(at - 1, 0)], comes[np.minimum(at, len(comes) - 1)]])
+        left = rest - size[near] + size[goes]
+        best = np.unravel_index(np.argmin(np.abs(left)), left.shape)
+        if abs(left[best]) >= abs(rest):
+            break
+        rest = int(left[best])
+        for place, now in ((goes[best[1]], False), (near[best], True)):
+            if place >= 0:
+                chosen[place] = now
     return pd.DataFrame({"number": [int(rows["number"].iat[0])], "chosen": [keys[chosen].tolist()]})
 
 
