@@ -15,6 +15,7 @@ from fairlead.operators import cleaning, hybrid, iforest
 from fairlead.session import cut_lineage, scratch_path
 from fairlead.sources import files, replay
 from fairlead.streaming import importers, ingest, stages
+from fairlead.streaming.folder import changed_files
 from fairlead.streaming.stateful import report_stream, stateful_motion
 from fairlead.streaming.store import Store
 
@@ -83,12 +84,35 @@ def _(w):
     return raw.select(F.col("MMSI").alias("mmsi"), F.col("BaseDateTime").cast("timestamp").alias("timestamp"))
 
 
-def _digest_totals(w, found):
+def _copy(w, source: str, target: str) -> None:
+    """Copy one file on the shared file system; names are taken literally."""
+    hadoop, conf = w.spark._jvm.org.apache.hadoop.fs, w.spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(source), hadoop.Path(target)
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, True, conf)
+
+
+def _file_names(w) -> list[str]:
+    return [r["name"] for r in files.list_files(w.spark, _raw_csv(w)).select("name").orderBy("name").collect()]
+
+
+def _odd_names(w) -> str:
+    """The raw files under names that are no plain URIs."""
+
+    def build() -> str:
+        folder = scratch_path(w.spark, "odd-names")
+        for i, name in enumerate(_file_names(w)):
+            _copy(w, f"{_raw_csv(w)}/{name}", f"{folder}/day {i} #{i}?100%[a].csv")
+        return folder
+
+    return _once(w, "odd_names", build)
+
+
+def _digest_totals(w, found, folder: str):
     """Files against the folder they come from: every file once, true sizes and digests, and their rows."""
-    content = w.spark.read.format("binaryFile").load(_raw_csv(w))
+    content = w.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     held = content.select(name.alias("name"), "length", F.sha2("content", 256).alias("own"))
-    rows = w.spark.read.option("header", True).csv(_raw_csv(w)).agg(F.count(F.lit(1)).alias("rows"))
+    rows = w.spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(folder).agg(F.count(F.lit(1)).alias("rows"))
     same = (F.col("size_bytes") == F.col("length")) & (F.col("content_sha256") == F.col("own"))
     joined = held.join(found, "name", "full_outer").agg(
         F.every(F.coalesce(same, F.lit(False))).alias("files_hold"), (F.count(F.lit(1)) == F.count_distinct("name")).alias("each_once")
@@ -101,7 +125,9 @@ _DIGEST_SQL = o.sql("SELECT count(*) AS rows, TRUE AS files_hold, TRUE AS each_o
 
 @query("file_digest_scan", _DIGEST_SQL)
 def _(w):
-    return _digest_totals(w, files.file_digests(w.spark, _raw_csv(w)).select("name", "size_bytes", "content_sha256"))
+    """Digests of files with blanks, number signs, question marks, percent signs and brackets in their names."""
+    folder = _odd_names(w)
+    return _digest_totals(w, files.file_digests(w.spark, folder).select("name", "size_bytes", "content_sha256"), folder)
 
 
 @query("sink_csv", o.sql(f"SELECT id, mmsi, us AS timestamp, {rs('latitude', 'longitude', 'sog')} FROM clean", *o.TO_CLEAN))
@@ -246,14 +272,31 @@ def _(w):
 
 @query("incremental_file_source", _DIGEST_SQL)
 def _(w):
-    """The delivered raw files as a stream reads them: each once, with its digest."""
-    out, checkpoint = (scratch_path(w.spark, f"files-{n}") for n in ("out", "checkpoint"))
-    stream = (
-        ingest.file_stream(w.spark, _raw_csv(w), 4).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The delivered raw files as a stream reads them, half of them replaced between two triggers: the last offer of each."""
+    out, checkpoint, folder = (scratch_path(w.spark, f"files-{n}") for n in ("out", "checkpoint", "folder"))
+    names = _file_names(w)
+
+    def offer():
+        stream = (
+            changed_files(w.spark, folder, f"{checkpoint}/offered").writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        stream.awaitTermination()
+
+    # Half of the names come first, with the content of another file.
+    for name in names[::2]:
+        _copy(w, f"{_raw_csv(w)}/{names[-1]}", f"{folder}/{name}")
+    offer()
+    for name in names:
+        _copy(w, f"{_raw_csv(w)}/{name}", f"{folder}/{name}")
+    offer()
+    offer()
+    offers = w.spark.read.parquet(out).groupBy("name").agg(
+        F.count(F.lit(1)).alias("offers"), F.max(F.struct("modified_at", "size_bytes", "content_sha256")).alias("last")
     )
-    stream.awaitTermination()
-    return _digest_totals(w, w.spark.read.parquet(out).select("name", "size_bytes", "content_sha256"))
+    # An offer too many or too few makes the file wrong.
+    right = F.when(F.col("name").isin(names[::2]), 2).otherwise(1) == F.col("offers")
+    return _digest_totals(w, offers.filter(right).select("name", "last.size_bytes", "last.content_sha256"), folder)
 
 
 def _assessed_store(w) -> tuple[Store, DataFrame, DataFrame]:

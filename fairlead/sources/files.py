@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.functions import coerce
 from fairlead.schema import require_columns
+from fairlead.sources.paths import can_open, literal, locate, path_exists, qualified
 
 
 def scan_raw_csv(spark: SparkSession, path: str | list[str], rows: int | None = None) -> DataFrame:
@@ -37,13 +36,15 @@ def scan_typed_csv(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 
 def scan_replay_csv(spark: SparkSession, path: str, timestamp_column: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """Rows with a readable time in time order, and the count of skipped ones."""
+    """Rows with a readable time in time order, and the count of skipped ones; no such row is an error."""
     raw = scan_raw_csv(spark, path)
     if raw.columns == ["ord"]:
         raise ValueError("The replay source has no CSV header.")
     require_columns(raw, (timestamp_column, "mmsi"), "replay")
     timed = raw.withColumn("_time", coerce.instant(raw, timestamp_column))
     good = timed.filter("_time is not null").withColumn(timestamp_column, F.col("_time")).drop("_time")
+    if good.isEmpty():
+        raise ValueError("The replay source has no row with a valid time.")
     skipped = timed.agg(
         F.count("_time").alias("rows"), F.count_if(F.col("_time").isNull()).alias("skipped_invalid_timestamps")
     )
@@ -57,14 +58,47 @@ def scan_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return raw.select(*columns)
 
 
-def file_digests(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """Content identity of every file: SHA-256, size and first line, computed where the file is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    return with_digest(files)
+def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """path, name, size_bytes, modified_at and file_uri of every file that is not empty; no contents are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = files.select(
+        "path", name.alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"),
+        F.col("_metadata.file_path").alias("file_uri"),
+    )
+    return listed.filter(~F.col("name").startswith("."))
+
+
+def file_digests(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """Content identity of every file: SHA-256, size and first line, computed where the file is read.
 
+    ``path`` is a folder or a list of files. A file that cannot be read has no
+    digest but an ``error``; the others are not affected. Contents are streamed
+    in fixed pieces by one task per file. On a file system that only Spark's
+    readers know they come as lines, dealt by file and in order.
+    """
+    listed = list_files(spark, [literal(p) for p in path] if isinstance(path, list) else path, pattern)
+    some = path if isinstance(path, str) else (path or ["/"])[0]
+    if can_open(qualified(spark, some)):
+        return listed.drop("file_uri").mapInArrow(_digest_files, DIGESTS)
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(
+        [literal(p) for p in path] if isinstance(path, list) else path
+    )
+    return _digest_lines(listed, lines)
 
-_DIGESTS = (
-    "path string, name string, size_bytes bigint, modified_at timestamp, content_sha256 string, header string"
+
+def digest_paths(spark: SparkSession, sizes: dict[str, int | None]) -> DataFrame:
+    """Digests of files known by path and size; one that is gone has an error, if tasks can look for it themselves."""
+    if all(map(can_open, sizes)):
+        rows = [(path, path.rsplit("/", 1)[-1], size, None) for path, size in sizes.items()]
+        listed = spark.createDataFrame(rows, ", ".join(DIGESTS.split(", ")[:4])).repartition(max(1, len(rows)))
+        return listed.mapInArrow(_digest_files, DIGESTS)
+    return file_digests(spark, [path for path in sizes if path_exists(spark, path)], "*")
+
+
+#: Columns of a digest; ``error`` is null where there is one.
+DIGESTS = (
+    "path string, name string, size_bytes bigint, modified_at timestamp, content_sha256 string, header string, error string"
 )
 _CHUNK = 1 << 20
 
@@ -73,45 +107,64 @@ def _first_line(start: bytes) -> str:
     return start.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace")
 
 
+def digest_of(path: str) -> tuple[str | None, str | None, str | None]:
+    """(SHA-256, first line, error) of one file, streamed in pieces of a fixed size whatever its size."""
+    state, start = hashlib.sha256(), b""
+    try:
+        store, place = locate(path)
+        with store.open_input_stream(place, compression=None) as source:
+            while piece := source.read(_CHUNK):
+                start = start or piece
+                state.update(piece)
+    except (OSError, ValueError, pa.ArrowException) as error:
+        return None, None, str(error).strip() or type(error).__name__
+    return state.hexdigest(), _first_line(start), None
+
+
 def _digest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams each file in pieces of a fixed size, whatever the size of the file."""
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
     for batch in batches:
-        digests, headers = [], []
-        for path in batch.column("path").to_pylist():
-            store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            state, start = hashlib.sha256(), b""
-            with store.open_input_stream(place, compression=None) as source:
-                while piece := source.read(_CHUNK):
-                    start = start or piece
-                    state.update(piece)
-            digests.append(state.hexdigest())
-            headers.append(_first_line(start))
-        columns = [batch.column(c) for c in ("path", "name", "size_bytes", "modified_at")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(digests, pa.string()), pa.array(headers, pa.string())],
-            [c.split()[0] for c in _DIGESTS.split(", ")],
-        )
-
-
-def _streams(spark: SparkSession) -> bool:
-    """Whether every file system the session names by default can be streamed outside Spark."""
-    scheme = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").split(":")[0]
-    return scheme in ("file", "hdfs", "s3", "s3a", "gs", "abfs")
-
-
-def with_digest(files: DataFrame) -> DataFrame:
-    """Digests of a listing by the binary file source, batch or stream.
-
-    Contents are streamed in fixed pieces. Only for a file system that Spark
-    alone can open they pass through the binary source, which holds a file in memory.
-    """
-    name = F.element_at(F.split("path", "/"), -1)
-    listed = files.withColumn("name", name).filter(~F.col("name").startswith("."))
-    columns = ["path", "name", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
-    if _streams(files.sparkSession):
-        return listed.select(*columns).mapInArrow(_digest_files, _DIGESTS)
-    first = F.regexp_replace(F.split(F.col("content").cast("string"), "\n", 2)[0], "\r$", "")
-    return listed.select(*columns, F.sha2("content", 256).alias("content_sha256"), first.alias("header"))
+        found = list(zip(*map(digest_of, batch.column("path").to_pylist()))) or [[], [], []]
+        given = [batch.column(c) for c in names[:4]]
+        yield pa.RecordBatch.from_arrays([*given, *(pa.array(c, pa.string()) for c in found)], names)
+
+
+def _fold_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files from their lines in order; line feeds are put back between them."""
+    file, state, header, size, length = None, None, "", 0, 0
+
+    def done():
+        if size < length:
+            state.update(b"\n")
+        columns = [[file], [state.hexdigest()], [header]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file_uri", "content_sha256", "header"])
+
+    for batch in batches:
+        for name, line, total in zip(*(batch.column(c).to_pylist() for c in ("file_uri", "line", "size_bytes"))):
+            if name != file:
+                if file is not None:
+                    yield done()
+                file, state, size, length, header = name, hashlib.sha256(), 0, total, _first_line(line)
+            else:
+                state.update(b"\n")
+                size += 1
+            state.update(line)
+            size += len(line)
+    if file is not None:
+        yield done()
+
+
+def _digest_lines(listed: DataFrame, lines: DataFrame) -> DataFrame:
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("file_uri"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"),
+    )
+    sized = placed.join(listed.select("file_uri", "size_bytes"), "file_uri")
+    ordered = sized.repartition("file_uri").sortWithinPartitions("file_uri", "block", "place")
+    found = ordered.mapInArrow(_fold_lines, "file_uri string, content_sha256 string, header string")
+    return listed.join(found, "file_uri").select(
+        "path", "name", "size_bytes", "modified_at", "content_sha256", "header", F.lit(None).cast("string").alias("error")
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:

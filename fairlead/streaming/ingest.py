@@ -16,8 +16,10 @@ from fairlead.operators.cleaning import check_constraints
 from fairlead.operators.encounters import latest_reports
 from fairlead.schema import CORE
 from fairlead.session import cut_lineage, ensure_settings, temporary_stages
-from fairlead.sources.files import file_digests, with_digest
+from fairlead.sources.files import digest_paths, file_digests, list_files
+from fairlead.sources.paths import can_open, literal, qualified
 from fairlead.sources.tables import days_of
+from fairlead.streaming.folder import changed_files
 from fairlead.streaming.registry import Job, error_text
 from fairlead.streaming.stages import LIVE_STAGES, BatchContext, Stage, run_stages
 from fairlead.streaming.store import Store
@@ -26,11 +28,11 @@ from fairlead.streaming.store import Store
 FILES_PER_BATCH = 256
 
 
-def file_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16) -> DataFrame:
-    """New CSV files with their content digest, each offered once, in batches.
+def listing_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16) -> DataFrame:
+    """path of new CSV files, each offered once, by Spark's own file source.
 
-    Writers must move finished files into the folder. Files whose name starts
-    with a dot or underscore are ignored by the file source.
+    For file systems that only Spark's readers know; elsewhere ``changed_files``
+    also offers files changed in place. Writers must move finished files into the folder.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = (
@@ -38,12 +40,13 @@ def file_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16
         .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger)
         .load(directory)
     )
-    return with_digest(files)
+    return files.select("path").filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
 
 
 def _scan(store: Store, paths: list[str], number: int) -> DataFrame:
     """Files with one header as text columns, with the place of each row; a missing core column is an error."""
     spark = store.spark
+    paths = [literal(path) for path in paths]
     names = spark.read.option("header", True).csv(paths[0]).columns
     missing = sorted(set(CORE) - set(names))
     if missing:
@@ -60,15 +63,18 @@ def _scan(store: Store, paths: list[str], number: int) -> DataFrame:
 def _staged(store: Store, jobs: Sequence[Job]) -> tuple[list[Job], list[Job], DataFrame | None]:
     """(read jobs, failed jobs, stored rows with job_id): one scan per header, the files of a broken one each alone."""
     by_header: dict[str | None, list[Job]] = {}
+    failed = [job for job in jobs if job.status == "failed"]
     for job in jobs:
+        if job.status == "failed":
+            continue
         by_header.setdefault(job.header, []).append(job)
-    waiting, good, failed, parts = list(by_header.values()), [], [], []
+    waiting, good, parts = list(by_header.values()), [], []
     while waiting:
         group = waiting.pop()
         paths = [job.source_file for job in group]
         try:
             # Paths as the scan names them; the listing reads no contents.
-            listed = store.spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("_file"))
+            listed = list_files(store.spark, [literal(p) for p in paths], "*").select("path", F.col("file_uri").alias("_file"))
             known = store.spark.createDataFrame([(j.source_file, j.job_id) for j in group], "path string, job_id string")
             named = listed.join(known, "path").drop("path")
             parts.append(cut_lineage(_scan(store, paths, len(parts)).join(named, "_file").drop("_file")))
@@ -222,16 +228,31 @@ def start_ingestion(
     files_per_trigger: int = 16,
     **trigger,
 ) -> StreamingQuery:
-    """Continuous ingestion. A repeated micro-batch is harmless: all writes are keyed."""
-    ensure_settings(store.spark)
+    """Continuous ingestion. A repeated micro-batch is harmless: all writes are keyed.
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        # The batch holds digests, a handful of columns per file.
-        ingest_batch(store, batch, stages)
+    A trigger takes every new or changed file and imports them in bounded parts.
+    Where only Spark's readers reach the files, it takes ``files_per_trigger`` new ones.
+    """
+    spark = ensure_settings(store.spark)
+    direct = can_open(qualified(spark, directory)) and can_open(qualified(spark, checkpoint))
 
+    def process(batch: DataFrame, batch_id: int) -> None:
+        if direct:
+            files = batch
+        else:
+            # At most files_per_trigger names.
+            paths = [r.path for r in batch.collect()]
+            if not paths:
+                return
+            files = file_digests(spark, paths)
+        ingest_batch(store, files, stages)
+
+    if direct:
+        stream = changed_files(spark, directory, f"{checkpoint.rstrip('/')}/offered")
+    else:
+        stream = listing_stream(spark, directory, files_per_trigger)
     return (
-        file_stream(store.spark, directory, files_per_trigger)
-        .writeStream.foreachBatch(process)
+        stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -239,13 +260,22 @@ def start_ingestion(
 
 
 def retry_failed(store: Store, stages: Sequence[Stage] | None = LIVE_STAGES) -> list[Job]:
-    """Try files again whose last attempt failed or was cut short."""
-    open_jobs = store.registry.jobs().filter("status <> 'completed'")
-    files = open_jobs.select(
-        F.col("source_file").alias("path"), F.element_at(F.split("source_file", "/"), -1).alias("name"),
-        "size_bytes", F.col("job_id").alias("content_sha256"), "header",
-    )
-    return ingest_batch(store, files, stages)
+    """Try files again whose last attempt failed or was cut short; their digests are taken anew.
+
+    They are taken FILES_PER_BATCH at a time. A file is known by what it holds now.
+    """
+    begun, outcome = datetime.now(timezone.utc), []
+    while True:
+        again = F.col("status").isin("pending", "running", "failed") & (F.col("started_at") < F.lit(begun))
+        open_jobs = store.registry.jobs().filter(again).orderBy("job_id").limit(FILES_PER_BATCH).collect()
+        if not open_jobs:
+            return outcome
+        files = digest_paths(store.spark, {r.source_file: r.size_bytes for r in open_jobs})
+        done = ingest_batch(store, files, stages)
+        known = {job.job_id for job in done}
+        # What was tried under an identity the file no longer has is closed.
+        store.registry.record(replace(_as_job(r), status="superseded") for r in open_jobs if r.job_id not in known)
+        outcome += done
 
 
 def retry_analytics(store: Store, stages: Sequence[Stage] = LIVE_STAGES) -> bool:

@@ -110,16 +110,21 @@ class FileRegistry:
 
         New content starts pending; pending or failed content may be tried again,
         but not if that was ``since`` the given time; completed content is skipped
-        for good. Equal files are one job.
+        for good. Equal files are one job. A file that could not be read is a failed job.
         """
-        closed = F.col("status") == "completed"
+        closed = F.col("status").isin("completed", "superseded")
         if since is not None:
             closed = closed | (F.col("started_at") >= F.lit(since))
         done = self.jobs().filter(closed).select(F.col("job_id").alias("content_sha256"))
-        first = files.groupBy("content_sha256").agg(F.min(F.struct("name", "path", "size_bytes", "header")).alias("f"))
+        # A file that could not be read is known by its name until it can be.
+        error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+        known = F.coalesce("content_sha256", F.sha2(F.concat(F.lit("unreadable "), "path"), 256))
+        files = files.withColumns({"error": error, "content_sha256": known})
+        first = files.groupBy("content_sha256").agg(F.min(F.struct("name", "path", "size_bytes", "header", "error")).alias("f"))
         found = first.join(done, "content_sha256", "left_anti").select("content_sha256", "f.*")
         rows = found.orderBy("name", "path").limit(most).collect()
         jobs = [Job(f.content_sha256, f.path, f.size_bytes, f.header) for f in rows]
+        jobs = [job if f.error is None else job.failed(f.error) for job, f in zip(jobs, rows)]
         self.record(jobs)
         return jobs
 

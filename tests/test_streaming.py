@@ -243,20 +243,3 @@ def test_stateful_motion(spark, inbox, tmp_path):
     assert got[1].elapsed_seconds is None and got[3].elapsed_seconds is None
     assert got[2].course_change_degrees == pytest.approx(2.0) and got[2].elapsed_seconds == 60.0
     assert got[4].elapsed_seconds == 120.0 and got[4].distance_nm == pytest.approx(0.6, rel=0.01)
-
-
-def test_file_stream_offers_each_file_once(spark, inbox, tmp_path):
-    put(inbox, "a.csv", "x")
-    put(inbox, ".b.csv", "y")
-
-    def run():
-        query = (
-            ingest.file_stream(spark, str(inbox), 1).writeStream.format("parquet").option("path", str(tmp_path / "seen"))
-            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination(120)
-
-    run()
-    put(inbox, "c.csv", "z")
-    run()
-    assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "seen")).select(F.col("name")).collect()) == ["a.csv", "c.csv"]
