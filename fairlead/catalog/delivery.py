@@ -6,6 +6,8 @@ folder, and grow with the tables.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from fairlead.catalog import oracle_base as o
@@ -16,7 +18,7 @@ from fairlead.session import cut_lineage, scratch_path
 from fairlead.sources import files, replay
 from fairlead.streaming import importers, ingest, stages
 from fairlead.streaming.folder import changed_files
-from fairlead.streaming.stateful import report_stream, stateful_motion
+from fairlead.streaming.stateful import end_marker, report_stream, stateful_motion
 from fairlead.streaming.store import Store
 
 _SOURCE_NAMES = {
@@ -434,7 +436,7 @@ _STATEFUL = ("elapsed_seconds", "distance_nm", "calculated_speed_knots", "course
 
 @query("stateful_motion", o.sql(f"SELECT id, mmsi, us AS timestamp, {rs(*_STATEFUL)} FROM feat", *o.TO_FEAT))
 def _(w):
-    """A stream over the stored reports, run until everything available is processed."""
+    """A stream over the reports, of which every other one comes in late: the whole recording later."""
     # One state store per shuffle partition: as many as cores are enough here.
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -444,12 +446,20 @@ def _(w):
     for key, value in settings.items():
         w.spark.conf.set(key, value)
     source, out, checkpoint = (scratch_path(w.spark, f"motion-{n}") for n in ("in", "out", "checkpoint"))
+    messages = w.messages()
+    first, last = messages.agg(F.min("timestamp"), F.max("timestamp")).first()
+    lateness = last - first + timedelta(minutes=1)
     try:
-        w.messages().write.parquet(source)
-        reports = report_stream(w.spark, source, w.messages().schema)
-        writer = stateful_motion(reports).writeStream.format("parquet").option("path", out)
-        stream = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        stream.awaitTermination()
+        late = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+        slice_seconds = 7 * 86_400
+        end = end_marker(w.spark, messages.schema, last + lateness + timedelta(seconds=slice_seconds))
+        for part in (messages.filter(~late), messages.filter(late).unionByName(end)):
+            part.write.mode("append").parquet(source)
+            reports = report_stream(w.spark, source, messages.schema)
+            features = stateful_motion(reports, f"{lateness // timedelta(minutes=1)} minutes", slice_seconds)
+            writer = features.writeStream.format("parquet").option("path", out)
+            stream = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            stream.awaitTermination()
     finally:
         for key, value in before.items():
             w.spark.conf.set(key, value)

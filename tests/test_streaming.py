@@ -214,32 +214,3 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
     run()
     assert store.messages.read().count() == 61
     assert len(list(Path(shared_dir(spark)).glob("stage-*"))) == stages_before
-
-
-def test_stateful_motion(spark, inbox, tmp_path):
-    from fairlead.streaming.stateful import report_stream, stateful_motion
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "id bigint, mmsi string, timestamp timestamp, latitude double, longitude double, sog double, cog double, heading double"
-    source = tmp_path / "reports"
-    write = lambda *r: spark.createDataFrame(list(r), schema).coalesce(1).write.mode("append").parquet(str(source))
-    at = lambda minute: datetime(2024, 1, 1, 0, minute)
-    write((1, "1", at(0), 0.0, 0.0, 10.0, 359.0, 1.0), (2, "1", at(1), 0.0, 0.01, 12.0, 1.0, 1.0), (3, "2", at(0), 9.0, 9.0, 1.0, 1.0, 1.0))
-
-    def run():
-        features = stateful_motion(report_stream(spark, str(source), schema))
-        query = (
-            features.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination(180)
-        assert query.exception() is None
-
-    run()
-    write((4, "1", at(3), 0.0, 0.02, 12.0, 10.0, 1.0))
-    run()
-    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert len(got) == 4
-    assert got[1].elapsed_seconds is None and got[3].elapsed_seconds is None
-    assert got[2].course_change_degrees == pytest.approx(2.0) and got[2].elapsed_seconds == 60.0
-    assert got[4].elapsed_seconds == 120.0 and got[4].distance_nm == pytest.approx(0.6, rel=0.01)
