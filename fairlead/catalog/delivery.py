@@ -367,21 +367,66 @@ def _(w):
     return _store(w).alerts.read().select("mmsi", "timestamp", "anomaly_type", "latitude", "longitude", "metric_value")
 
 
+def _late_store(w) -> Store:
+    """Every other report comes a delivery late, and what it follows is judged again."""
+
+    def build() -> Store:
+        store = Store(w.spark, scratch_path(w.spark, "late-store"))
+        late = F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(2)) == 0
+        for number, part in enumerate((late, ~late)):
+            path = scratch_path(w.spark, f"late-delivery-{number}")
+            rows = _as_text(w.messages().filter(part).orderBy("id"))
+            rows.select("mmsi", "timestamp", "latitude", "longitude", "sog", "cog", "heading").write.option("header", True).csv(path)
+            for job in ingest.ingest_directory(store, path, stages.RECOMPUTING_STAGES[:1]):
+                if job.status != "completed" or job.analytics_status == "failed":
+                    raise RuntimeError(f"{job.source_file}: {job.error_message or job.analytics_error}")
+        return store
+
+    return _once(w, "late_store", build)
+
+
+@query("recompute_successors", o.sql(f"SELECT mmsi, us AS timestamp, anomaly_type, {rs('latitude', 'longitude', 'metric_value')} FROM alerts", *o.TO_ALERTS))
+def _(w):
+    """Alerts after two deliveries in the wrong order: those of one batch run over all reports."""
+    return _late_store(w).alerts.read().select("mmsi", "timestamp", "anomaly_type", "latitude", "longitude", "metric_value")
+
+
+@query(
+    "baseline_versions",
+    o.sql(
+        """SELECT version, count(*) AS assessments FROM (
+            SELECT CASE WHEN us // 86400000000 = 19723 THEN '2024-01-01.open' ELSE strftime(to_timestamp(86400 * (
+                SELECT us // 86400000000 FROM clean WHERE us // 86400000000 < (SELECT max(us // 86400000000) FROM clean)
+                GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AT TIME ZONE 'UTC', '%Y-%m-%d') END AS version FROM clean)
+        GROUP BY version""",
+        *o.TO_CLEAN,
+    ),
+)
+def _(w):
+    """Assessments by the version of the baseline they name: the first delivery's, and that of the densest complete day."""
+    version = F.element_at(F.split("assessment_version", "@"), -1).alias("version")
+    return _store(w).risks.read().groupBy(version).agg(F.count(F.lit(1)).alias("assessments"))
+
+
 @query(
     "live_risk_stage",
     o.sql("SELECT mmsi, us AS timestamp, CAST(rule_flag_count AS BIGINT) AS rule_flag_count, rule_severity, TRUE AS score_holds, TRUE AS percentile_holds, TRUE AS level_holds FROM pct", *o.TO_RISK),
 )
 def _(w):
-    """Stored assessments; score, percentile and level once more from the stored baseline and the rules of all reports."""
+    """Stored assessments; score, percentile and level once more from the version each names and the rules of all reports."""
     store = _store(w)
-    baseline = stages.stored_baseline(store)
     keys = store.messages.read().select("mmsi", "timestamp").distinct()
     annotated = stages.BatchContext(keys).annotated(store)
-    again = hybrid.assess(cut_lineage(iforest.score(annotated, baseline.forest)), baseline.reference).select(
-        F.col("id").alias("message_id"), F.col("ml_anomaly_score").alias("score"),
-        F.col("ml_anomaly_percentile").alias("percentile"), F.col("risk_level").alias("level"),
-    )
-    joined = store.risks.read().join(again, "message_id", "left")
+    names = [r[0] for r in store.risks.read().select("assessment_version").distinct().collect()]
+    again = None
+    for name in names:
+        baseline = stages.load_baseline(store, name.split("@")[1])
+        own = hybrid.assess(cut_lineage(iforest.score(annotated, baseline.forest)), baseline.reference).select(
+            F.col("id").alias("message_id"), F.lit(name).alias("assessment_version"), F.col("ml_anomaly_score").alias("score"),
+            F.col("ml_anomaly_percentile").alias("percentile"), F.col("risk_level").alias("level"),
+        )
+        again = own if again is None else again.unionByName(own)
+    joined = store.risks.read().join(again, ["message_id", "assessment_version"], "left")
     close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.lit(False))
     return joined.select(
         "mmsi", "timestamp", F.col("rule_flag_count").cast("bigint").alias("rule_flag_count"), "rule_severity",

@@ -139,6 +139,7 @@ def encounter_candidates(
     max_gap_minutes: float | None = None,
     cell_rows: int = CELL_ROWS,
     check: bool = True,
+    changed: str | None = None,
 ) -> DataFrame:
     """All pairs within the great-circle radius, each once with ``a_mmsi < b_mmsi``.
 
@@ -150,6 +151,10 @@ def encounter_candidates(
     ``vessels`` holds one state per vessel and is read by several branches: give
     it as a stored snapshot. Two states of a vessel or unusable motion are an
     error; ``check=False`` is for snapshots that were filtered already.
+
+    ``changed`` names a boolean column: only pairs with such a vessel are built.
+    Those vessels look into the cells around them, so neighbours, pairs and
+    distances are made for them alone.
     """
     if not (math.isfinite(max_distance_nm) and max_distance_nm > 0.0):
         raise ValueError("The search radius must be a positive finite number.")
@@ -172,9 +177,11 @@ def encounter_candidates(
         .filter(F.col("count") > cell_rows)
         .select("_band", "_cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("_k"))
     )
-    right = _parts(placed.select("_band", "_cell", *_side(vessels, "b")), hot, "_right", "_left", "b_mmsi")
+    flag = [] if changed is None else [F.col(changed).alias("b_changed")]
+    right = _parts(placed.select("_band", "_cell", *_side(vessels, "b"), *flag), hot, "_right", "_left", "b_mmsi")
+    searching = placed if changed is None else placed.filter(F.col(changed))
     neighbours = (
-        placed.withColumn("_band", F.explode(F.array(*[F.col("_band") + d for d in (-1, 0, 1)])))
+        searching.withColumn("_band", F.explode(F.array(*[F.col("_band") + d for d in (-1, 0, 1)])))
         .withColumn("_n", grid.cells_in(F.col("_band")))
         .withColumn("_own", grid.cell(F.col("longitude"), F.col("_n")))
         .withColumn(
@@ -188,7 +195,11 @@ def encounter_candidates(
     distance = geo.haversine_nm(
         F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")
     )
-    near = (F.col("a_mmsi") < F.col("b_mmsi")) & (
+    once = F.col("a_mmsi") < F.col("b_mmsi")
+    if changed is not None:
+        # A pair of two changed vessels is found from both sides.
+        once = once | ((F.col("a_mmsi") > F.col("b_mmsi")) & ~F.col("b_changed"))
+    near = once & (
         F.abs(F.col("a_latitude") - F.col("b_latitude")) <= grid.band_degrees
     )
     if max_gap_minutes is not None:
@@ -204,6 +215,10 @@ def encounter_candidates(
         on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
     pairs = left.alias("l").join(right.alias("r"), on)
     columns = [F.col(c) for c in left.columns + right.columns if not c.startswith("_")]
+    if changed is not None:
+        swap, names = F.col("a_mmsi") > F.col("b_mmsi"), [c[2:] for c in left.columns if c.startswith("a_")]
+        columns = [F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in names]
+        columns += [F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in names]
     return (
         pairs.select(*columns)
         .withColumn("great_circle_nm", distance)
@@ -375,9 +390,10 @@ def collision_scan(
     include_low: bool = False,
     max_gap_minutes: float | None = None,
     check: bool = True,
+    changed: str | None = None,
 ) -> DataFrame:
     """Candidates with approach and risk."""
-    pairs = encounter_candidates(vessels, max_distance_nm, max_gap_minutes, check=check)
+    pairs = encounter_candidates(vessels, max_distance_nm, max_gap_minutes, check=check, changed=changed)
     assessed = collision_risk(closest_approach(pairs), limits)
     if not include_low:
         assessed = assessed.filter(F.col("risk_level") != "low")
@@ -412,11 +428,12 @@ def encounter_records(
     max_gap_minutes: float = MAX_GAP_MINUTES,
     limits: ApproachThresholds = ApproachThresholds(),
     version: str = VERSION,
+    changed: str | None = None,
 ) -> DataFrame:
-    """Rows to store: elevated, time-aligned encounters of the latest states."""
+    """Rows to store: elevated, time-aligned encounters of the latest states, or of the ``changed`` ones with any."""
     if not version.strip():
         raise ValueError("The assessment version cannot be empty.")
-    scan = collision_scan(snapshot, max_distance_nm, limits, max_gap_minutes=max_gap_minutes, check=False)
+    scan = collision_scan(snapshot, max_distance_nm, limits, max_gap_minutes=max_gap_minutes, check=False, changed=changed)
     return as_records(pair_time_alignment(scan, max_gap_minutes), version)
 
 
@@ -441,9 +458,9 @@ def as_records(scan: DataFrame, version: str = VERSION) -> DataFrame:
     )
 
 
-def snapshot_of(latest: DataFrame) -> DataFrame:
+def snapshot_of(latest: DataFrame, *further: str) -> DataFrame:
     """Usable latest states, stored once because the scan reads them several times."""
-    return cut_lineage(usable_snapshot(latest).select(*SIDE_COLUMNS))
+    return cut_lineage(usable_snapshot(latest).select(*SIDE_COLUMNS, *further))
 
 
 def current_encounters(encounters: DataFrame, latest: DataFrame, active_minutes: int = 15) -> DataFrame:

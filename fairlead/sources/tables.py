@@ -90,6 +90,28 @@ class DatedTable:
             self.append(fresh)
         return offered.count(), inserted
 
+    def exchange(self, gone: DataFrame, source: DataFrame, order: str) -> int:
+        """Delete the rows that match ``gone`` (some of the keys, and the time column), then insert ``source``.
+
+        The source's rows must be among those deleted, so that a repeat gives the
+        same table. Rewrites the touched dates only.
+        """
+        gone = cut_lineage(gone.withColumn(DATE, F.to_date(self.time)))
+        days = days_of(gone)
+        if not days:
+            return 0
+        keys = [c for c in self.keys if c in gone.columns]
+        batch = cut_lineage(last_per_key(self._dated(source), self.keys, order))
+        stored = self.read().filter(F.col(DATE).isin(days))
+        kept = stored.join(gone.select(*keys, DATE).distinct(), [*keys, DATE], "left_anti").select(*batch.columns)
+        merged = cut_lineage(kept.unionByName(batch))
+        full = set(days_of(merged))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(self.path)
+        # A date that lost all its rows is not overwritten by the above.
+        for day in set(days) - full:
+            delete_path(self.spark, f"{self.path}/{DATE}={day}")
+        return batch.count()
+
     def upsert(self, source: DataFrame, order: str) -> int:
         """Insert or replace by key; of equal keys in the batch the last by ``order`` stays.
 

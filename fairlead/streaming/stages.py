@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import date
+from functools import wraps
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fairlead.operators import encounters, hybrid, iforest, linking, motion, ranking, rules
-from fairlead.plans.playback import on_reference_day
-from fairlead.session import cut_lineage
+from fairlead.session import cut_lineage, delete_path
 from fairlead.functions.dates import DATE
 from fairlead.sources.tables import _exists, days_of
 from fairlead.streaming.store import Store
@@ -25,12 +26,13 @@ class BatchContext:
     """
 
     keys: DataFrame
-    _annotated: DataFrame | None = None
+    _annotated: dict[bool, DataFrame] = field(default_factory=dict)
 
-    def annotated(self, store: Store) -> DataFrame:
-        if self._annotated is None:
-            self._annotated = cut_lineage(annotated_batch(store, self))
-        return self._annotated
+    def annotated(self, store: Store, successors: bool = False) -> DataFrame:
+        if successors not in self._annotated:
+            keys = cut_lineage(with_successors(store, self.keys)) if successors else self.keys
+            self._annotated[successors] = cut_lineage(annotated_batch(store, keys))
+        return self._annotated[successors]
 
 
 @dataclass(frozen=True)
@@ -62,24 +64,19 @@ def run_stages(store: Store, batch: BatchContext, stages: Sequence[Stage]) -> tu
     return tuple(results)
 
 
-def annotated_batch(store: Store, batch: BatchContext) -> DataFrame:
-    """Annotated reports of the batch; older reports only give them their context.
-
-    Late reports keep this meaning: only their own rows are (re)computed, stored
-    successors keep what they had.
-    """
-    history = context_of(store, batch)
-    return linking.restrict_to_incoming(rules.annotate(motion.live_features(history)), batch.keys)
+def annotated_batch(store: Store, keys: DataFrame) -> DataFrame:
+    """Annotated reports of the keys; older reports only give them their context."""
+    return linking.restrict_to_incoming(rules.annotate(motion.live_features(context_of(store, keys))), keys)
 
 
-def context_of(store: Store, batch: BatchContext) -> DataFrame:
+def context_of(store: Store, keys: DataFrame) -> DataFrame:
     """All reports that can be a predecessor of a batch row, without the full history.
 
     A predecessor lies on the same day, or is the last report of an earlier one.
     So the batch's own days are read in full, and of other days only their last
     reports; before the first day, only the newest of those.
     """
-    days = days_of(batch.keys.withColumn(DATE, F.to_date("timestamp")))
+    days = days_of(keys.withColumn(DATE, F.to_date("timestamp")))
     messages, ends = store.messages.read(), store.day_ends.read()
     columns = [c for c in messages.columns if c != DATE]
     if not days:
@@ -88,49 +85,130 @@ def context_of(store: Store, batch: BatchContext) -> DataFrame:
     between_days = ends.filter((F.col(DATE) > min(days)) & (F.col(DATE) < max(days)) & ~F.col(DATE).isin(days))
     before = encounters.latest_reports(ends.filter(F.col(DATE) < min(days)))
     possible = same_days.select(columns).unionByName(between_days.select(columns)).unionByName(before.select(columns))
-    return linking.affected_history(possible, batch.keys)
+    return linking.affected_history(possible, keys)
+
 
+def with_successors(store: Store, keys: DataFrame) -> DataFrame:
+    """The keys, and the stored report that follows each of them: the one whose predecessor may have changed.
 
-def rule_stage(store: Store, batch: BatchContext) -> StageResult:
-    incoming = batch.annotated(store)
+    The follower lies on the same day, or is the first report of the vessel's next
+    day. Which day that is, the table of day ends tells without reading reports, so
+    only the keys' days and those next days are read.
+    """
+    keys = keys.select("mmsi", "timestamp").distinct()
+    own_days = keys.select("mmsi", F.to_date("timestamp").alias("day"), F.lit(True).alias("asked")).distinct()
+    vessels = keys.select("mmsi").distinct()
+    known = store.day_ends.read().select("mmsi", "day").join(vessels, "mmsi", "left_semi")
+    # One row per vessel and day: few beside the reports.
+    along = Window.partitionBy("mmsi").orderBy("day")
+    ahead = known.join(own_days, ["mmsi", "day"], "left").select(
+        "mmsi", "day", "asked", F.lead("day").over(along).alias("next_day")
+    )
+    ahead = cut_lineage(ahead.filter("asked"))
+    reads = cut_lineage(
+        ahead.select("mmsi", "day").unionByName(ahead.select("mmsi", F.col("next_day").alias("day"))).dropna().distinct()
+    )
+    days = [r["day"] for r in reads.select("day").distinct().collect()]
+    near = store.messages.read().filter(F.col(DATE).isin(days)).select("mmsi", "timestamp", F.col(DATE).alias("day"))
+    times = near.join(reads, ["mmsi", "day"], "left_semi").distinct()
+    # Per vessel and day: the next time inside the day, and the day's first for the day before.
+    inside = Window.partitionBy("mmsi", "day").orderBy("timestamp")
+    times = times.withColumn("next", F.lead("timestamp").over(inside))
+    firsts = times.groupBy("mmsi", F.col("day").alias("next_day")).agg(F.min("timestamp").alias("first"))
+    border = ahead.join(firsts, ["mmsi", "next_day"]).select("mmsi", "day", "first")
+    asked = times.join(keys, ["mmsi", "timestamp"], "left_semi").join(border, ["mmsi", "day"], "left")
+    followers = asked.select("mmsi", F.coalesce("next", "first").alias("timestamp")).dropna()
+    return keys.unionByName(followers).distinct()
+
+
+def rule_stage(store: Store, batch: BatchContext, successors: bool = False) -> StageResult:
+    """Alerts of the batch's reports.
+
+    Late reports only bring their own; with ``successors`` the report that follows
+    a late one is judged again, and its alerts that no longer hold are deleted.
+    """
+    incoming = batch.annotated(store, successors)
     alerts = rules.explode_alerts(incoming, keep=("id",)).withColumnRenamed("id", "message_id")
-    written = store.alerts.upsert(alerts, order="threshold")
+    if successors:
+        judged = incoming.select(F.col("id").alias("message_id"), "timestamp")
+        written = store.alerts.exchange(judged, alerts, order="threshold")
+    else:
+        written = store.alerts.upsert(alerts, order="threshold")
     return StageResult("rule_anomalies", incoming.count(), written)
 
 
 @dataclass(frozen=True)
 class Baseline:
-    """Model and score distribution learnt once from the densest day."""
+    """Model and score distribution learnt from one reference day; ``version`` names the day."""
 
     forest: iforest.Forest
     reference: ranking.ScoreReference
+    version: str
 
     @classmethod
-    def fit(cls, messages: DataFrame, trees: int = iforest.TREES) -> "Baseline":
-        day = on_reference_day(messages)
+    def fit(cls, day: DataFrame, version: str, trees: int = iforest.TREES) -> "Baseline":
+        """Learn from the reports of a day; fewer than two are an error."""
         annotated = cut_lineage(rules.annotate(motion.live_features(day)))
+        if annotated.limit(2).count() < 2:
+            raise RuntimeError(f"The reference day {version} has fewer than two reports to learn from.")
         forest = iforest.fit(annotated, trees=trees)
-        return cls(forest, ranking.fit_reference(iforest.score(annotated, forest)))
+        return cls(forest, ranking.fit_reference(iforest.score(annotated, forest)), version)
 
     def save(self, path: str) -> None:
         self.forest.save(f"{path}/forest")
         self.reference.save(f"{path}/scores")
 
     @classmethod
-    def load(cls, spark, path: str) -> "Baseline":
-        return cls(iforest.Forest.load(spark, f"{path}/forest"), ranking.ScoreReference.load(spark, f"{path}/scores"))
+    def load(cls, spark, path: str, version: str) -> "Baseline":
+        forest, scores = iforest.Forest.load(spark, f"{path}/forest"), ranking.ScoreReference.load(spark, f"{path}/scores")
+        return cls(forest, scores, version)
 
 
-def stored_baseline(store: Store, trees: int = iforest.TREES) -> Baseline:
-    """The deployment's baseline; new files never move it. Built on first use."""
-    finished = f"{store.baseline_path}/scores/head/_SUCCESS"
-    if not _exists(store.spark, finished):
-        Baseline.fit(store.messages.read(), trees).save(store.baseline_path)
-    return Baseline.load(store.spark, store.baseline_path)
+def baseline_day(store: Store, as_of: date | None = None) -> tuple[date, str] | None:
+    """Reference day and version of the baseline as of a day (by default the newest stored one).
 
-
-def risk_stage(store: Store, batch: BatchContext) -> StageResult:
-    incoming = batch.annotated(store)
+    The densest of the days before it, the earliest on a tie: those are complete,
+    so a model is not moved by a day that still grows. Only while there is no
+    earlier day the day itself is taken, under a version of its own. Days are
+    counted by partition, no column of the reports is read.
+    """
+    days = store.messages.read().groupBy(DATE).count()
+    newest = days.filter(F.lit(True) if as_of is None else F.col(DATE) <= F.lit(as_of)).agg(F.max(DATE)).first()[0]
+    if newest is None:
+        return None
+    best = days.filter(F.col(DATE) < F.lit(newest)).orderBy(F.desc("count"), DATE).first()
+    return (newest, f"{newest}.open") if best is None else (best[DATE], str(best[DATE]))
+
+
+def load_baseline(store: Store, version: str) -> Baseline | None:
+    """A stored version; None while it is not complete."""
+    path = f"{store.baseline_path}/{version}"
+    return Baseline.load(store.spark, path, version) if _exists(store.spark, f"{path}/scores/head/_SUCCESS") else None
+
+
+def stored_baseline(store: Store, trees: int = iforest.TREES, as_of: date | None = None) -> Baseline:
+    """The baseline as of a day, learnt when its reference day is first needed and never changed after that."""
+    chosen = baseline_day(store, as_of)
+    if chosen is None:
+        raise RuntimeError("There are no stored reports to learn a baseline from.")
+    day, version = chosen
+    known = load_baseline(store, version)
+    if known is None:
+        reports = store.messages.read().filter(F.col(DATE) == F.lit(day)).drop(DATE)
+        path = f"{store.baseline_path}/{version}"
+        delete_path(store.spark, path)
+        Baseline.fit(reports, version, trees).save(path)
+        known = load_baseline(store, version)
+    return known
+
+
+def risk_version(baseline: Baseline) -> str:
+    return f"{RISK_VERSION}@{baseline.version}"
+
+
+def risk_stage(store: Store, batch: BatchContext, successors: bool = False) -> StageResult:
+    """Assess the batch's reports with the baseline of the stored days; each assessment names its version."""
+    incoming = batch.annotated(store, successors)
     processed = incoming.count()
     if not processed:
         return StageResult("hybrid_risk")
@@ -141,15 +219,42 @@ def risk_stage(store: Store, batch: BatchContext) -> StageResult:
     broken = bad.count()
     if broken:
         raise RuntimeError(f"Hybrid risk produced {broken} invalid row(s).")
-    records = good.withColumn("message_id", F.col("id")).withColumn("assessment_version", F.lit(RISK_VERSION))
+    version = F.lit(risk_version(baseline))
+    records = good.withColumn("message_id", F.col("id")).withColumn("assessment_version", version)
     return StageResult("hybrid_risk", processed, store.risks.upsert(records, order="message_id"))
 
 
 def collision_stage(store: Store, batch: BatchContext) -> StageResult:
-    """Scan the latest state of all vessels again and store new encounters."""
+    """Look for encounters of the vessels whose newest report came with the batch, among all vessels.
+
+    Pairs of two vessels that did not change were looked at when they last did.
+    """
+    latest = store.latest.read()
+    new = batch.keys.select("mmsi", "timestamp").distinct().withColumn("_changed", F.lit(True))
+    flagged = latest.join(new, ["mmsi", "timestamp"], "left").fillna(False, ["_changed"])
+    snapshot = encounters.snapshot_of(flagged, "_changed")
+    found = encounters.encounter_records(snapshot, changed="_changed")
+    offered, inserted = store.encounters.insert_new(found, order="message_a")
+    return StageResult("collision_snapshot", offered, inserted)
+
+
+def full_collision_stage(store: Store, batch: BatchContext) -> StageResult:
+    """Scan the latest state of all vessels, whatever changed: to fill a store whose stages did not run."""
     snapshot = encounters.snapshot_of(store.latest.read())
     offered, inserted = store.encounters.insert_new(encounters.encounter_records(snapshot), order="message_a")
     return StageResult("collision_snapshot", offered, inserted)
 
 
 LIVE_STAGES: tuple[Stage, ...] = (rule_stage, risk_stage, collision_stage)
+
+
+def _successors_too(stage: Callable[..., StageResult]) -> Stage:
+    @wraps(stage)
+    def run(store: Store, batch: BatchContext) -> StageResult:
+        return stage(store, batch, successors=True)
+
+    return run
+
+
+#: Stages that also judge the stored followers of late reports again, so that results do not depend on the order of delivery.
+RECOMPUTING_STAGES: tuple[Stage, ...] = (_successors_too(rule_stage), _successors_too(risk_stage), collision_stage)

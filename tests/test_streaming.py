@@ -185,9 +185,9 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
     fitted = []
     original = stages.Baseline.fit.__func__
 
-    def counted(cls, messages, trees=20):
-        fitted.append(1)
-        return original(cls, messages, 20)
+    def counted(cls, day, version, trees=20):
+        fitted.append(version)
+        return original(cls, day, version, 20)
 
     monkeypatch.setattr(stages.Baseline, "fit", classmethod(counted))
     checkpoint = str(tmp_path / "checkpoint")
@@ -210,7 +210,7 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
     assert len(alerts) == 1 and alerts[0].metric_value == pytest.approx(40.0)
     after = {r.message_id: r.ml_anomaly_score for r in store.risks.read().collect()}
     assert len(after) == 61 and all(after[k] == pytest.approx(v) for k, v in before.items())
-    assert fitted == [1]
+    assert fitted == ["2024-01-01.open"]
     run()
     assert store.messages.read().count() == 61
     assert len(list(Path(shared_dir(spark)).glob("stage-*"))) == stages_before
