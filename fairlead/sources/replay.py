@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fairlead.functions import coerce
+from fairlead.operators.numbering import numbered
 
 BUCKET_SECONDS = 300.0
 FIRST_NUMBER = 990_000_001
@@ -16,17 +17,15 @@ LAST_NUMBER = 999_999_999
 def time_bucket(df: DataFrame, seconds: float = BUCKET_SECONDS) -> DataFrame:
     """Fixed-width buckets from the first report, numbered over the non-empty ones.
 
-    The numbering is a small table with one row per bucket.
+    The distinct buckets are numbered by ranges, so no task sees all of them.
     """
     if seconds <= 0:
         raise ValueError("The bucket width must be positive.")
     width = int(seconds * 1_000_000)
     origin = df.agg(F.unix_micros(F.min("timestamp"))).scalar()
     placed = df.withColumn("bucket", F.floor((F.unix_micros("timestamp") - origin) / F.lit(width)).cast("bigint"))
-    # Count of non-empty buckets is bounded by recording length / width.
-    numbers = placed.select("bucket").distinct().withColumn(
-        "sequence", F.row_number().over(Window.orderBy("bucket")).cast("bigint")
-    )
+    numbers = numbered(placed.select("bucket").dropna().distinct(), ["bucket"], name="_number")
+    numbers = numbers.select("bucket", (F.col("_number") + 1).alias("sequence"))
     return placed.join(numbers, "bucket").withColumn("offset_seconds", F.col("bucket") * float(seconds))
 
 
@@ -41,18 +40,21 @@ def shift_timeline(df: DataFrame, start: datetime) -> DataFrame:
 def mmsi_mapping(df: DataFrame, first: int = FIRST_NUMBER) -> DataFrame:
     """Deterministic stand-in number per vessel, in order of the sorted real ones.
 
-    The rank needs one task, but over distinct vessel numbers only, and more than
-    ten million of them do not fit the nine-digit range and are an error.
+    The distinct numbers are ranked by ranges. More than fit the nine-digit range
+    are an error, raised where the first number too many is used.
     """
     cleaned = F.trim("mmsi")
     vessels = df.select(cleaned.alias("mmsi")).filter("mmsi <> ''").distinct()
-    count = vessels.count()
-    if count == 0:
+    ranked = numbered(vessels, ["mmsi"], name="_number")
+    if ranked.isEmpty():
         raise ValueError("The recording contains no MMSI values.")
-    if first < 100_000_000 or first + count - 1 > LAST_NUMBER:
+    if not 100_000_000 <= first <= LAST_NUMBER:
         raise ValueError("Stand-in numbers must stay within nine digits.")
-    number = F.row_number().over(Window.orderBy("mmsi")) + F.lit(first - 1)
-    return vessels.withColumn("pseudonym", number.cast("string"))
+    number = F.col("_number") + first
+    fits = F.when(number <= LAST_NUMBER, number).otherwise(
+        F.raise_error(F.lit("Stand-in numbers must stay within nine digits.")).cast("bigint")
+    )
+    return ranked.select("mmsi", fits.cast("string").alias("pseudonym"))
 
 
 def pseudonymize_mmsi(df: DataFrame, first: int = FIRST_NUMBER) -> DataFrame:

@@ -157,11 +157,17 @@ def test_replay_buckets_and_names(spark, tmp_path):
     assert back.orderBy("timestamp").first().timestamp == "2025-06-01 00:00:00Z"
 
 
-def test_replay_errors(spark):
+def test_replay_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         replay.time_bucket(recording(spark), 0)
     with pytest.raises(ValueError, match="nine digits"):
-        replay.mmsi_mapping(recording(spark), 999_999_999)
+        replay.mmsi_mapping(recording(spark), 1_000_000_000)
+    with pytest.raises(Exception, match="nine digits"):
+        replay.mmsi_mapping(recording(spark), 999_999_999).collect()
+    with pytest.raises(ValueError, match="no row with a valid time"):
+        path = tmp_path / "times.csv"
+        path.write_text("mmsi,timestamp\n1,never\n")
+        files.scan_replay_csv(spark, str(path))
     with pytest.raises(ValueError, match="no MMSI"):
         replay.mmsi_mapping(recording(spark).withColumn("mmsi", F.lit(" ")))
 
@@ -197,3 +203,23 @@ def test_thinning(spark):
     assert kept.filter("has_anomaly").count() == 20
     assert {r["mmsi"]: r["count"] for r in kept.filter("not has_anomaly").groupBy("mmsi").count().collect()} == {"0": 30, "1": 30}
     assert geojson.marker_thinning(df, 0).count() == 200
+
+
+def test_numbers_by_ranges(spark):
+    """Numbers of every group are 0, 1, ... in order, over several ranges, with ties and nulls."""
+    from fairlead.operators.numbering import numbered
+
+    rows = [("hot" if i % 3 else None, (i * 7919) % 500, i) for i in range(2000)] + [("one", 1, 5)]
+    df = spark.createDataFrame(rows, "g string, v long, i long").repartition(6)
+    out = numbered(df, [F.col("v").desc(), "i"], ["g"], "number", "total")
+    assert out.columns == ["g", "v", "i", "number", "total"]
+    by_group = {}
+    for r in out.collect():
+        by_group.setdefault(r.g, []).append(r)
+    for g, group in by_group.items():
+        group.sort(key=lambda r: r.number)
+        assert [r.number for r in group] == list(range(len(group))) and {r.total for r in group} == {len(group)}
+        assert [(r.v, r.i) for r in group] == sorted(((v, i) for x, v, i in rows if x == g), key=lambda p: (-p[0], p[1]))
+    assert numbered(df.limit(0), ["v"]).count() == 0
+    unpartitioned = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange SinglePartition" in line]
+    assert unpartitioned == []
