@@ -157,7 +157,7 @@ WITH RECURSIVE c AS (
     SELECT rid, conv_id, turn, level, string_agg(words, ' ' ORDER BY pos) AS words
     FROM r GROUP BY rid, conv_id, turn, level, run
     UNION SELECT rid, conv_id, turn, level, words FROM r
-), u AS (SELECT DISTINCT * FROM grouped WHERE length(words) >= 12),
+), u AS (SELECT DISTINCT * FROM grouped),
 found AS (
     SELECT q.rid, q.conv_id, q.turn, q.level, q.words, max(o.turn) AS source
     FROM u q JOIN u o ON q.conv_id = o.conv_id AND q.words = o.words AND o.level = 0 AND o.turn < q.turn

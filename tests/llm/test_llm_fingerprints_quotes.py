@@ -161,32 +161,45 @@ def test_quotes_are_linked_and_removed(spark):
     }
 
 
-def test_sql_gives_the_same_links(spark, tmp_path):
+SHORT = [
+    (4, 0, "a", "No thanks"),
+    (4, 1, "b", "Yes, agreed"),
+    (4, 2, "a", "好的"),
+    (4, 3, "b", "> Yes,  AGREED\nfine"),
+    (4, 4, "b", "> 好的\n谢谢"),
+    (4, 5, "a", "> fine"),
+    (4, 6, "a", "> No thanks\n> never said"),
+    (4, 7, "a", "This one is longer than the others.\nok"),
+    (4, 8, "b", "ok"),
+    # Most quoted characters decide, though a later message said the short line.
+    (4, 9, "b", "> This one is longer than the others.\n> ok"),
+    (4, 10, "b", "> ok"),
+]
+LEVELS = [
+    (5, 0, "a", "first\nwords of two lines"),
+    (5, 1, "b", "> first\n> words of two lines\nsecond"),
+    (5, 2, "a", ">> first\n>> words of two lines\n> second\n\nthird"),
+    (5, 3, "b", "> > second\n> third\nfourth\n>>> first"),
+    (5, 4, "a", "  > fourth\n\t>> third"),
+    (5, 5, "b", ">\n> \n>>"),
+]
+
+
+@pytest.mark.parametrize("rows", [None, SHORT, LEVELS])
+def test_sql_gives_the_same_links(spark, tmp_path, rows):
     import duckdb
 
-    messages(spark).write.parquet(f"{tmp_path}/conversations.parquet")
+    (messages(spark) if rows is None else messages(spark, rows)).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     expected = con.execute(llm.ORACLES["op10_quotation_linking"]).fetchall()
     got = quotes.op10_quotation_linking(spark, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+    assert sum(r["reply_to"] is not None for r in got) >= 4
 
 
 def test_short_passages_are_linked(spark):
-    rows = [
-        (4, 0, "a", "No thanks"),
-        (4, 1, "b", "Yes, agreed"),
-        (4, 2, "a", "好的"),
-        (4, 3, "b", "> Yes,  AGREED\nfine"),
-        (4, 4, "b", "> 好的\n谢谢"),
-        (4, 5, "a", "> fine"),
-        (4, 6, "a", "> No thanks\n> never said"),
-        (4, 7, "a", "This one is longer than the others.\nok"),
-        (4, 8, "b", "ok"),
-        # Most quoted characters decide, though a later message said the short line.
-        (4, 9, "b", "> This one is longer than the others.\n> ok"),
-        (4, 10, "b", "> ok"),
-    ]
+    rows = SHORT
     got = {r["turn"]: (r["_reply_to"], r["_thread"], r["_depth"]) for r in quotes.link_quotes(messages(spark, rows)).collect()}
     replies = {3: (1, 1, 1), 4: (2, 2, 1), 5: (3, 1, 2), 6: (0, 0, 1), 9: (7, 7, 1), 10: (8, 8, 1)}
     assert got == {t: replies.get(t, (None, t, 0)) for t in range(11)}
