@@ -75,6 +75,20 @@ def _(w):
     return text.select("ord", coerce.instant(text, "timestamp").alias("timestamp"))
 
 
+@query(
+    "coerce_timestamp_forms",
+    o.sql("SELECT ord, CASE WHEN ord % 7 IN (0, 3) THEN us // 60000000 * 60000000 ELSE us // 1000000 * 1000000 END AS timestamp FROM raw", o.RAW),
+)
+def _(w):
+    """Times written in seven forms and read again: month first, slashes, month names, twelve hours, seconds since 1970."""
+    forms = ["MM/dd/yyyy HH:mm", "yyyy/M/d H:mm:ss", "d MMM yyyy HH:mm:ss", "MMMM d, yyyy h:mm a", "M-d-yyyy h:mm:ss a", "dd-MMM-yyyy'T'HH:mm:ss"]
+    text = F.unix_seconds("timestamp").cast("string")
+    for number, form in enumerate(forms):
+        text = F.when(F.col("ord") % 7 == number, F.date_format("timestamp", form)).otherwise(text)
+    written = w.raw().select("ord", F.concat(F.lit(" "), text).alias("timestamp"))
+    return written.select("ord", coerce.instant(written, "timestamp").alias("timestamp"))
+
+
 @query("coerce_boolean", o.sql("SELECT ord, coalesce(lower(trim(flag)) IN ('true', '1', 'yes'), FALSE) AS flag FROM txt", o.RAW, _TEXT))
 def _(w):
     text = _text(w)

@@ -13,6 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 _DATE_FIRST = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+#: Other forms of a date, in the order in which they are tried.
+_SLASHED = r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}"
+_NUMERIC = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
+_DAY_NAMED = r"^(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?[ ,-]+(\d{4})"
+_NAMED_DAY = r"^([A-Za-z]{3})[A-Za-z]*\.? +(\d{1,2}),? +(\d{4})"
+_EPOCH = r"^(\d{9,10}(\.\d{1,6})?|\d{13}|\d{16})$"
+_HALF_DAYS = r"(?i)[ap]m$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _TRUE_TEXT = ("true", "1", "yes")
 
 
@@ -54,12 +62,58 @@ def number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def instant(df: DataFrame, name: str) -> Column:
-    """A UTC timestamp; text without an offset is read as UTC (the session zone)."""
+def _month(value: Column, pattern: str, group: int) -> Column:
+    at = F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(value, pattern, group)))
+    return F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3)).cast("string")
+
+
+def _named(value: Column, pattern: str, day: int, month: int) -> Column:
+    date = F.concat_ws("-", F.regexp_extract(value, pattern, 3), _month(value, pattern, month), F.regexp_extract(value, pattern, day))
+    # Without the month the date is cut short, and what follows makes it no date.
+    return F.concat(date, F.regexp_replace(value, pattern, ""))
+
+
+def _year_first(value: Column) -> Column:
+    """A time that starts yyyy-m-d, also with a clock of twice twelve hours."""
+    # A zone may only follow seconds.
+    value = F.regexp_replace(value, r"([ T]\d{1,2}:\d{2})(?= *(?:[Zz+-].*)?$)", "$1:00")
+    spaced = F.regexp_replace(F.upper(value), r"(\d)\s*([AP]M)$", "$1 $2")
+    halves = F.try_to_timestamp(F.regexp_replace(spaced, r",? +", " "), F.lit("yyyy-M-d h:mm[:ss] a"))
+    return F.when(value.rlike(_HALF_DAYS), halves).otherwise(F.try_to_timestamp(F.regexp_replace(value, ", +", " ")))
+
+
+def instant(df: DataFrame, name: str, day_first: bool = False) -> Column:
+    """A UTC timestamp; text without an offset is read as UTC (the session zone).
+
+    Forms, tried in this order: year first (2024-06-14, 2024/06/14), day and month
+    in numbers (month first unless ``day_first``, which ``is_day_first`` decides
+    for a file), month names (14 Jun 2024, June 14, 2024), seconds, milliseconds or
+    microseconds since 1970. Each may be followed by a time of day. Anything else is NULL.
+    """
     value = F.col(name)
-    if has_type(df, name, T.StringType):
-        return F.when(value.rlike(_DATE_FIRST), F.try_to_timestamp(F.trim(value)))
-    return value.try_cast("timestamp")
+    if not has_type(df, name, T.StringType):
+        return value.try_cast("timestamp")
+    value = F.trim(value)
+    plain = F.when(F.length(value) >= 16, value.try_cast("bigint")).when(
+        F.length(value) == 13, value.try_cast("bigint") * 1000
+    ).otherwise((value.try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))
+    numbers = F.regexp_replace(value, _NUMERIC, "$3-$2-$1" if day_first else "$3-$1-$2")
+    return (
+        F.when(value.rlike(_DATE_FIRST), F.try_to_timestamp(value))
+        .when(value.rlike(_SLASHED), _year_first(F.regexp_replace(value, r"^(\d{4})[/.](\d{1,2})[/.]", "$1-$2-")))
+        .when(value.rlike(_NUMERIC), _year_first(numbers))
+        .when(value.rlike(_DAY_NAMED), _year_first(_named(value, _DAY_NAMED, 1, 2)))
+        .when(value.rlike(_NAMED_DAY), _year_first(_named(value, _NAMED_DAY, 2, 1)))
+        .when(value.rlike(_EPOCH), F.timestamp_micros(plain))
+    )
+
+
+def is_day_first(df: DataFrame, name: str) -> bool:
+    """Whether the numeric dates of a file have the day first: some can only be read so, and none only the other way."""
+    value = F.trim(F.col(name).cast("string"))
+    first, second = (F.regexp_extract(value, _NUMERIC, n).try_cast("int") for n in (1, 2))
+    row = df.agg(F.max(first).alias("first"), F.max(second).alias("second")).first()
+    return (row["first"] or 0) > 12 and (row["second"] or 0) <= 12
 
 
 def truth(df: DataFrame, name: str) -> Column:

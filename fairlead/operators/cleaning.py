@@ -34,11 +34,11 @@ def trim_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: coerce.text_or_null(F.col(c).cast("string")) for c in TEXT if c in df.columns})
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
+def coerce_types(df: DataFrame, day_first: bool = False) -> DataFrame:
     """Typed core and numeric columns; what cannot be read becomes NULL."""
     typed = {c: coerce.number(df, c) for c in NUMERIC if c in df.columns}
     typed["mmsi"] = coerce.mmsi_text(F.col("mmsi").cast("string"))
-    typed["timestamp"] = coerce.instant(df, "timestamp")
+    typed["timestamp"] = coerce.instant(df, "timestamp", day_first)
     return df.withColumns(typed)
 
 
@@ -84,9 +84,12 @@ def null_sentinels(df: DataFrame) -> DataFrame:
     return flagged.withColumns(blanked) if blanked else flagged
 
 
-def standardize(df: DataFrame) -> DataFrame:
-    """Everything that works row by row: one narrow stage on the scan."""
-    checked = validate_core(coerce_types(trim_text(normalize_columns(df))))
+def standardize(df: DataFrame, day_first: bool = False) -> DataFrame:
+    """Everything that works row by row: one narrow stage on the scan.
+
+    ``day_first`` reads numeric dates as day, month, year (``coerce.is_day_first`` tells for a file).
+    """
+    checked = validate_core(coerce_types(trim_text(normalize_columns(df)), day_first))
     return null_sentinels(evaluate_once(checked, [*CORE, *INVALID, "is_valid_core_record"]))
 
 
@@ -133,8 +136,8 @@ class Cleaned:
     report: DataFrame
 
 
-def clean(df: DataFrame, ordinal: str = "ord") -> Cleaned:
-    standardized = standardize(df)
+def clean(df: DataFrame, ordinal: str = "ord", day_first: bool = False) -> Cleaned:
+    standardized = standardize(df, day_first)
     return Cleaned(accepted(standardized, ordinal), rejected(standardized), quality_report(standardized))
 
 

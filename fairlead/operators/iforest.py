@@ -124,9 +124,23 @@ class Forest:
         )
 
 
-def _training_pool(prepared: DataFrame, rows: int, seed: int, row_id: str) -> DataFrame:
-    """The first ``rows`` rows in hash order, the same for any partitioning; each task keeps no more."""
-    return prepared.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(row_id))).orderBy("_mix", row_id).limit(rows)
+def _training_pool(prepared: DataFrame, rows: int, seed: int, row_id: str, total: int | None = None) -> DataFrame:
+    """The first ``rows`` rows in hash order, the same for any partitioning.
+
+    From the number of rows follows a hash below which a few more than that lie, so
+    the tasks together hand over little more than the pool, however many they are.
+    Should there be fewer after all, the cut-off is moved up.
+    """
+    mixed = prepared.withColumn("_mix", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row_id)), 1))
+    total = prepared.count() if total is None else total
+    share = (rows + 6 * math.sqrt(rows) + 16) / max(total, 1)
+    while share < 1:
+        few = mixed.filter(F.col("_mix") < int(share * 2**63))
+        if few.count() >= rows:
+            mixed = few
+            break
+        share *= 2
+    return mixed.orderBy("_mix", row_id).limit(rows)
 
 
 def fit(
@@ -162,7 +176,7 @@ def fit(
     # passes x pool never exceeds about two rounds of trees x max_samples rows.
     again = Window.partitionBy("_pass").orderBy("_deal", row_id)
     dealt = (
-        _training_pool(prepared, trees * max_samples, seed, row_id)
+        _training_pool(prepared, trees * max_samples, seed, row_id, sizes.rows)
         .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
         .withColumn("_deal", F.xxhash64(F.lit(seed), F.col("_pass"), F.col(row_id)))
         .withColumn("_block", F.floor((F.row_number().over(again) - 1) / subsample))

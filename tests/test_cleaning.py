@@ -78,3 +78,34 @@ def test_constraints(spark):
     good, bad = cleaning.check_constraints(spark.createDataFrame(rows, "id int, sog double, cog double, heading double"))
     assert {r.id for r in good.collect()} == {3, 4}
     assert {r.id for r in bad.collect()} == {1, 2, 5}
+
+
+def test_forms_of_times(spark):
+    from datetime import datetime
+
+    from fairlead.functions import coerce
+
+    noon = datetime(2024, 6, 14, 12)
+    forms = [
+        "2024-06-14 12:00", "2024/6/14 12:00:00", "06/14/2024 12:00", "6-14-2024 12:00:00 PM", "06.14.2024T12:00", "14 Jun 2024 12:00",
+        "14-JUNE-2024 12:00:00", "June 14, 2024 12:00 pm", "Jun. 14 2024, 12:00", "1718366400", "1718366400.0", "1718366400000",
+        "1718366400000000", "06/14/2024 14:00+02:00", "6/14/2024 12:00PM",
+    ]
+    bad = ["14/06/2024 12:00", "31 Foo 2024", "13 13 2024", "June", "12:00", "17183664", "2024", "nan", "02/30/2024", "", "Junk 14, 2024", None]
+    df = spark.createDataFrame([(t,) for t in forms + bad], "timestamp string")
+    got = [r[0] for r in df.select(coerce.instant(df, "timestamp")).collect()]
+    assert dict(zip(forms, got)) == {f: noon for f in forms}
+    # A name is told by its first three letters.
+    assert dict(zip(bad, got[len(forms):])) == {t: datetime(2024, 6, 14) if t == "Junk 14, 2024" else None for t in bad}
+
+
+def test_order_of_day_and_month_is_decided_per_file(spark):
+    from datetime import datetime
+
+    from fairlead.functions import coerce
+
+    df = spark.createDataFrame([("01/02/2024 00:00",), ("14/06/2024 00:00",), ("x",)], "timestamp string")
+    assert coerce.is_day_first(df, "timestamp")
+    assert [r[0] for r in df.select(coerce.instant(df, "timestamp", day_first=True)).collect()] == [datetime(2024, 2, 1), datetime(2024, 6, 14), None]
+    for other in ([("01/02/2024",)], [("14/06/2024",), ("06/14/2024",)], [(None,)]):
+        assert not coerce.is_day_first(spark.createDataFrame(other, "timestamp string"), "timestamp")

@@ -187,3 +187,19 @@ def test_split_reasons(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.r for r in df.select("i", hybrid.split_reasons(F.col("t")).alias("r")).orderBy("i").collect()]
     assert got == [["A b", "C d"], ["X y", "Z", "W", "Last"], [], ['["unclosed'], ["[1, 2]"]]
+
+
+def test_training_pool_is_cut_by_hash(spark):
+    """The same rows for any partitioning, and the tasks hand over little more than the pool."""
+    rows = spark.range(200_000)
+    pools = [
+        {r.id for r in iforest._training_pool(rows.repartition(n), 1000, 42, "id").select("id").collect()} for n in (3, 40)
+    ]
+    assert pools[0] == pools[1] and len(pools[0]) == 1000
+    exact = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(42), "id"), 1)).orderBy("h", "id").limit(1000)
+    assert {r.id for r in exact.collect()} == pools[0]
+    pool = iforest._training_pool(rows.repartition(40), 1000, 42, "id", total=200_000)
+    cut = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in cut and "_mix" in cut
+    # A wrong count only costs another look.
+    assert iforest._training_pool(rows, 1000, 42, "id", total=100_000_000).count() == 1000
