@@ -6,19 +6,28 @@ names after a form of address. Telephone numbers are found with a leading ``+``,
 in national groupings (area code in parentheses, 3-3-4 digits, leading 0), and
 as any digits after a word such as "tel". A number written both with and without
 its country code is two entities. An entity is its kind and canonical form (digits only, lower case, ...).
-Its surrogate follows from an HMAC of kind, canonical form and attempt, so it is
-the same wherever the entity occurs, without a table of all entities at hand:
-numbers keep their length, check digits their validity, private networks stay
-private (of IPv6 addresses the range), letters and digits keep their places, names keep gender (from the form
-of address) and script. The surrogate is written in the format and case of each
+Its surrogate follows from key, kind, canonical form and attempt, so it is the
+same wherever the entity occurs, without a table of all entities at hand. Except
+for names it is a keyed permutation without fixed points of the values of the
+same form (``_moved``): numbers keep their length and first digit, check digits
+their validity, addresses their private or public range, letters and digits
+their places and scripts, secrets over 128 digits only their length. So two
+entities of a form never share a surrogate, however many values of it are real.
+E-mail domains are permuted by themselves and end in ``.example`` after their own
+ending, so distinct domains stay distinct and addresses of one domain together.
+Names keep gender (from the form of address, if that tells it) and script. The
+surrogate is written in the format and case of each
 occurrence. Name parts are entities of their own, and every whole-word mention
 of a part in a document that addresses the person is replaced, so short forms
 still refer to the same surrogate.
 
 Collision check: no two entities of a kind may share a surrogate, and none may be
-an entity that really occurs. The distinct entities are a table; of a clash the
-smallest canonical form keeps its surrogate and the others make another attempt,
-until no clash is left. Only entities past their first attempt need to be told to
+an entity that really occurs. The distinct entities are a table; those whose
+surrogate is real or (names only) taken make another attempt. A permuted kind
+makes at most ``ROUNDS`` further ones and then goes back to the first, which is
+nobody else's but may be another real entity; that happens only in forms of which
+a good part of all values occurs. Names get a syllable more with each attempt, so
+they always end. Only entities past their first attempt need to be told to
 the replacing pass; they reach the documents that hold them by a join.
 
 Defined results: a null text stays null. Rows without an id are replaced too
@@ -34,6 +43,8 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache, reduce
+from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,8 +54,10 @@ from fairlead.llm.tokens import small_batches
 
 DEFAULT_KEY = b"replace this key in production"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н")
-_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
+_MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н")
+_FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Señorita", "Sra", "Srta", "Signora", "г-жа")
+#: Forms that tell no gender.
+_EITHER = ("Dr", "Prof")
 _H = "[0-9A-Fa-f]{1,4}"
 #: No part of a longer number, word, date or version.
 _FREE, _ENDS = r"(?<![\w+/-])(?<!\d[.,:])", r"(?!\w|[-/.,:]\d)"
@@ -77,9 +90,9 @@ _NUMBERS = re.compile(
     rf"|{_CALLED}(?!\d{{4}}-\d\d-\d\d|{_OCTET}(?:\.{_OCTET}){{3}})(?P<phone_called>\d(?:[ ()./-]{{0,2}}\d){{5,13}})(?![ -]?\d|\w)"
 )
 _WANTED = re.compile(r"[0-9@]|[A-Fa-f]{32}")
-_FORMS = tuple(sorted((*_MALE, *_FEMALE), key=len, reverse=True))
+_FORMS = tuple(sorted((*_MALE, *_FEMALE, *_EITHER), key=len, reverse=True))
 _NAMES = re.compile(
-    rf"\b(?P<form>{'|'.join(map(re.escape, _FORMS))})\.?[ ]"
+    rf"\b(?P<form>{'|'.join(map(re.escape, _FORMS))})\.?[ ](?:(?:Dr|Prof)\.? )*"
     r"(?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})"
 )
 #: Syllables of invented names by script; distinct in sound, none longer than two letters.
@@ -103,17 +116,90 @@ class _Stream:
         value, self.rest = int.from_bytes(self.rest[:4], "big"), self.rest[4:]
         return value % n
 
-    def like(self, text: str) -> str:
-        """Letters for letters and digits for digits, in lower case."""
-        out = []
-        for c in text:
-            if c.isdigit():
-                out.append("0123456789"[self.below(10)])
-            elif c.isalpha():
-                out.append("abcdefghijklmnopqrstuvwxyz"[self.below(26)])
+
+#: Kinds whose surrogates are a permutation of the values of one form.
+PERMUTED = ("email", "hex", "iban", "phone", "ip6", "ip", "ssn", "card")
+#: Further attempts of a permuted kind before the first one stands.
+ROUNDS = 8
+#: Rounds of the Feistel network.
+_FEISTEL = 8
+#: Characters that are permuted as one number; of longer texts a stream takes the place.
+_LONGEST = 128
+
+
+def _mix(secret: bytes, value: int, size: int, back: bool = False) -> int:
+    """A keyed permutation of the numbers below ``size`` (at least 2), or its inverse.
+
+    A Feistel network over a grid of about square form; the few cells past the
+    end are walked through until a number below ``size`` is met again.
+    """
+    tall = isqrt(size - 1) + 1
+    wide = -(-size // tall)
+    n = (tall.bit_length() + 7) // 8
+    while True:
+        left, right = divmod(value, wide)
+        for i in reversed(range(_FEISTEL)) if back else range(_FEISTEL):
+            half = left if i % 2 else right
+            drawn = hashlib.shake_256(secret + bytes([i]) + half.to_bytes(n, "big")).digest(n + 8)
+            step = int.from_bytes(drawn, "big") * (-1 if back else 1)
+            if i % 2:
+                right = (right + step) % wide
             else:
-                out.append(c)
-        return "".join(out)
+                left = (left + step) % tall
+        value = left * wide + right
+        if value < size:
+            return value
+
+
+def _moved(
+    key: bytes, form: str, value: int, size: int, attempt: int, belongs: Callable[[int], bool] = lambda _: True
+) -> int:
+    """Where ``value`` goes among the numbers below ``size`` that belong to the form.
+
+    The numbers stand on a keyed circle, and each goes the same keyed number of
+    places on, further while it meets numbers that do not belong. So distinct
+    values go to distinct ones, and none to itself unless it is the only one.
+    """
+    if size < 2:
+        return value
+    secret = hmac.new(key, form.encode(), hashlib.sha256).digest()
+    drawn = hashlib.shake_256(secret + b"step%d" % attempt).digest((size.bit_length() + 7) // 8 + 8)
+    step = 1 + int.from_bytes(drawn, "big") % (size - 1)
+    at = _mix(secret, value, size)
+    while True:
+        at = (at + step) % size
+        new = _mix(secret, at, size, back=True)
+        if belongs(new):
+            return new
+
+
+@cache
+def _alphabet(c: str) -> str:
+    """The characters that may stand for ``c``: its kind of letter or digit in its block; none for other characters."""
+    if not c.isalnum():
+        return ""
+    if c.isascii():
+        return next(x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x)
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if x.isalnum() and unicodedata.category(x) == unicodedata.category(c) and not x.isascii())
+
+
+def _like(key: bytes, form: str, text: str, attempt: int) -> str:
+    """Another text with letters for letters and digits for digits of the same scripts."""
+    alphabets = [_alphabet(c) for c in text]
+    form += "\x1f" + "".join(a[0] if a else c for a, c in zip(alphabets, text))
+    sizes = [len(a) or 1 for a in alphabets]
+    if len(text) > _LONGEST:
+        s = _Stream(key, form, text, attempt)
+        return "".join(a[s.below(len(a))] if a else c for a, c in zip(alphabets, text))
+    value = 0
+    for a, c, n in zip(alphabets, text, sizes):
+        value = value * n + (a.index(c) if a else 0)
+    value, out = _moved(key, form, value, prod(sizes), attempt), []
+    for a, c, n in zip(reversed(alphabets), reversed(text), reversed(sizes)):
+        value, i = divmod(value, n)
+        out.append(a[i] if a else c)
+    return "".join(reversed(out))
 
 
 def luhn(digits: str) -> int:
@@ -129,51 +215,97 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
-def _email(s: _Stream, canon: str, key: bytes) -> str:
+def _email(key: bytes, canon: str, attempt: int) -> str:
     local, _, domain = canon.rpartition("@")
-    labels = domain.split(".")[:-1]
-    # The domain has a surrogate of its own, so addresses of one domain stay together.
-    d = _Stream(key, "domain", domain)
-    return s.like(local) + "@" + ".".join([*(d.like(x) for x in labels), "example"])
-
-
-def _ip(s: _Stream, canon: str) -> str:
-    a, b = (int(x) for x in canon.split(".")[:2])
-    tail = [s.below(256) for _ in range(2)]
-    if a == 10:
-        head = [10, s.below(256)]
-    elif (a, b) == (192, 168):
-        head = [192, 168]
-    elif a == 172 and 16 <= b < 32:
-        head = [172, 16 + s.below(16)]
-    elif a == 127:
-        head = [127, s.below(256)]
+    labels, _, ending = domain.rpartition(".")
+    # The ending stays in front of the reserved one, so that domains differ if they did.
+    return f"{_like(key, f'email {domain}', local, attempt)}@{_like(key, f'domain {ending}', labels, 0)}.{ending}.example"
+
+
+#: (first address, number of addresses) of the IPv4 ranges that keep to themselves: networks for private and special use.
+_IP_RANGES = (
+    (10 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16),
+    (127 << 24, 1 << 24), (169 << 24 | 254 << 16, 1 << 16), (0, 1 << 24), (224 << 24, 1 << 29),
+)
+
+
+def _ip(key: bytes, canon: str, attempt: int) -> str:
+    value = int(ipaddress.IPv4Address(canon))
+    for first, n in _IP_RANGES:
+        if first <= value < first + n:
+            new = first + _moved(key, f"ip {first}", value - first, n, attempt)
+            break
     else:
-        head = [11 + s.below(116), s.below(256)]
-    return ".".join(map(str, head + tail))
+        public = lambda v: not any(a <= v < a + n for a, n in _IP_RANGES)
+        new = _moved(key, "ip", value, 1 << 32, attempt, public)
+    return str(ipaddress.IPv4Address(new))
 
 
-def _ip6(s: _Stream, canon: str) -> str:
-    groups = canon.split(":")
+def _ip6(key: bytes, canon: str, attempt: int) -> str:
+    groups = [int(g, 16) for g in canon.split(":")]
     # Ranges below 1000 and those for local use, groups and documentation stay; so do zeros of the network.
-    kept = 2 if canon.startswith("2001:0db8") else groups[0][0] in "0f"
-    for i in range(8):
-        if i >= kept and (i > 3 or groups[i] != "0000"):
-            groups[i] = ("2" if i == 0 else str(1 + s.below(9))) + f"{s.below(4096):03x}"
-    return ":".join(groups)
+    kept = 2 if groups[:2] == [0x2001, 0x0DB8] else int(groups[0] >> 12 in (0, 15))
+    moving = [i for i in range(kept, 8) if i > 3 or groups[i]]
+    # The first group stays inside or outside of the addresses in global use; network groups do not become zero.
+    spans = {i: (1, 0xFFFF) if i <= 3 else (0, 0x10000) for i in moving}
+    if not kept:
+        spans[0] = (0x2000, 0x2000) if groups[0] >> 13 == 1 else (0x4000, 0xB000) if groups[0] >> 14 else (0x1000, 0x1000)
+    form = f"ip6 {[g if i not in spans else spans[i] for i, g in enumerate(groups)]}"
+    value = 0
+    for i in moving:
+        value = value * spans[i][1] + groups[i] - spans[i][0]
+    value = _moved(key, form, value, prod(n for _, n in spans.values()), attempt)
+    for i in reversed(moving):
+        value, offset = divmod(value, spans[i][1])
+        groups[i] = spans[i][0] + offset
+    return ":".join(f"{g:04x}" for g in groups)
+
+
+def _card(key: bytes, canon: str, attempt: int) -> str:
+    body = canon[0] + _like(key, f"card {canon[0]}", canon[1:-1], attempt)
+    # A valid number becomes a valid one and no other does.
+    off = int(canon[-1]) + luhn(canon[:-1] + "0")
+    return body + str((off - luhn(body + "0")) % 10)
+
+
+def _ssn(key: bytes, canon: str, attempt: int) -> str:
+    def issued(v: int) -> bool:
+        area, group, serial = v // 1_000_000, v // 10_000 % 100, v % 10_000
+        return area not in (0, 666) and area < 900 and group > 0 and serial > 0
+
+    value = int(canon)
+    alike = issued if issued(value) else lambda v: not issued(v)
+    return f"{_moved(key, 'ssn', value, 10**9, attempt, alike):09d}"
+
+
+def _iban(key: bytes, canon: str, attempt: int) -> str:
+    country, check, rest = canon[:2], int(canon[2:4]), canon[4:]
+    new = _like(key, f"iban {country}", rest, attempt)
+    # A valid account stays valid and no other becomes so.
+    off = check - int(_iban_check(country, rest))
+    return f"{country}{(int(_iban_check(country, new)) + off) % 100:02d}{new}"
+
+
+def _hex(key: bytes, canon: str, attempt: int) -> str:
+    if len(canon) > _LONGEST:
+        s = _Stream(key, "hex", canon, attempt)
+        return "".join("0123456789abcdef"[s.below(16)] for _ in canon)
+    return f"{_moved(key, f'hex {len(canon)}', int(canon, 16), 16 ** len(canon), attempt):0{len(canon)}x}"
 
 
-def _card(s: _Stream, canon: str) -> str:
-    body = canon[0] + s.like(canon[1:-1])
-    valid = str(-luhn(body + "0") % 10)
-    # A number that was no valid one must not become one.
-    return body + (valid if luhn(canon) == 0 else str((int(valid) + 1 + s.below(9)) % 10))
+def _phone(key: bytes, canon: str, attempt: int) -> str:
+    return canon[0] + _like(key, f"phone {canon[0]}", canon[1:], attempt)
 
 
-def _name(s: _Stream, kind: str, canon: str) -> str:
+_PERMUTATIONS = dict(zip(PERMUTED, (_email, _hex, _iban, _phone, _ip6, _ip, _ssn, _card)))
+
+
+def _name(key: bytes, kind: str, canon: str, attempt: int) -> str:
+    s = _Stream(key, kind, canon, attempt)
     script = unicodedata.name(canon[0], "LATIN").split()[0]
     consonants, vowels, male, female = _SYLLABLES.get(script, _SYLLABLES["LATIN"])
-    syllables = "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(2 + s.below(2)))
+    count = 2 + s.below(2) + attempt
+    syllables = "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(count))
     closing = consonants[s.below(len(consonants))]
     ending = {"given_f": closing + female, "given_m": closing + vowels[3] + male}.get(kind, closing)
     return syllables + ending
@@ -181,25 +313,9 @@ def _name(s: _Stream, kind: str, canon: str) -> str:
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """Canonical form of the surrogate."""
-    s = _Stream(key, kind, canon, attempt)
-    if kind == "email":
-        return _email(s, canon, key)
-    if kind == "ip":
-        return _ip(s, canon)
-    if kind == "ip6":
-        return _ip6(s, canon)
-    if kind == "card":
-        return _card(s, canon)
-    if kind == "phone":
-        return canon[0] + s.like(canon[1:])
-    if kind == "ssn":
-        return f"{100 + s.below(566):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
-    if kind == "hex":
-        return "".join("0123456789abcdef"[s.below(16)] for _ in canon)
-    if kind == "iban":
-        rest = s.like(canon[4:]).upper()
-        return canon[:2] + _iban_check(canon[:2], rest) + rest
-    return _name(s, kind, canon)
+    if kind in _PERMUTATIONS:
+        return _PERMUTATIONS[kind](key, canon, attempt)
+    return _name(key, kind, canon, attempt)
 
 
 def canonical(kind: str, text: str) -> str:
@@ -241,7 +357,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         parts: dict[str, str] = {}
         for m in _NAMES.finditer(text):
             names = re.split("[ -]", m["name"])
-            gender = "m" if m["form"] in _MALE else "f"
+            gender = "m" if m["form"] in _MALE else "f" if m["form"] in _FEMALE else "x"
             for i, name in enumerate(names):
                 kind = "family" if i == len(names) - 1 else f"given_{gender}"
                 parts.setdefault(name, kind)
@@ -295,21 +411,41 @@ def _assigner(key: bytes, make: Callable[[bytes, str, str, int], str]):
 
 
 def assign(entities: DataFrame, key: bytes, make: Callable[[bytes, str, str, int], str] = surrogate) -> DataFrame:
-    """Stored rows kind, canon, attempt, value without a clash, for distinct rows kind, canon."""
+    """Rows kind, canon, attempt, value, distinct within each kind, for distinct rows kind, canon.
+
+    A value is kept if it is no entity and nobody else's: not of an earlier
+    attempt, not the first value of a permuted kind (it may be needed again), and
+    of this attempt that of the smallest canonical form.
+    """
     schema = "kind string, canon string, attempt int, value string"
     run = _assigner(key, make)
     real = entities.select("kind", F.col("canon").alias("value")).withColumn("real", F.lit(True))
-    given = stored(entities.select("kind", "canon", F.lit(0).alias("attempt")).mapInArrow(run, schema))
+    permuted = F.col("kind").isin(*PERMUTED)
+
+    def attempted(rows: DataFrame, attempt: int) -> DataFrame:
+        return stored(rows.select("kind", "canon", F.lit(attempt).alias("attempt")).mapInArrow(run, schema))
+
+    tried, kept, attempt, reserved = attempted(entities, 0), [], 0, None
+    first = tried.filter(permuted).select("kind", "value")
     while True:
-        holders = given.groupBy("kind", "value").agg(F.min("canon").alias("holder"))
-        judged = given.join(holders, ["kind", "value"]).join(real, ["kind", "value"], "left")
+        holders = tried.groupBy("kind", "value").agg(F.min("canon").alias("holder"))
+        judged = tried.join(holders, ["kind", "value"]).join(real, ["kind", "value"], "left")
         bad = F.col("real").isNotNull() | (F.col("canon") != F.col("holder"))
+        if reserved is not None:
+            judged = judged.join(reserved.withColumn("held", F.lit(True)), ["kind", "value"], "left")
+            bad = bad | F.col("held").isNotNull()
         judged = stored(judged.select("kind", "canon", "attempt", "value", bad.alias("bad")))
-        if judged.filter("bad").isEmpty():
-            return given
-        again = judged.filter("bad").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        kept = judged.filter("NOT bad").drop("bad")
-        given = stored(kept.unionByName(again.mapInArrow(run, schema)))
+        kept.append(judged.filter("NOT bad").drop("bad"))
+        again = judged.filter("bad")
+        if attempt == ROUNDS:
+            kept.append(attempted(again.filter(permuted), 0))
+            again = again.filter(~permuted)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        others = [rows.filter(~permuted | (F.col("attempt") > 0)).select("kind", "value") for rows in kept]
+        reserved = reduce(DataFrame.unionByName, others, first).distinct()
+        attempt += 1
+        tried = attempted(again, attempt)
 
 
 def pseudonymize(

@@ -273,3 +273,72 @@ def test_clashes_are_resolved(spark):
     real = spark.createDataFrame([("k", "e1"), ("k", "v3")], "kind string, canon string")
     values = {r["canon"]: r["value"] for r in pii.assign(real, b"", few).collect()}
     assert "v3" not in values.values() and len(set(values.values())) == 2
+
+
+def test_permutations_of_every_size_and_form():
+    for size in (2, 3, 26, 1000):
+        for attempt in range(3):
+            moved = [pii._moved(b"k", "form", v, size, attempt) for v in range(size)]
+            assert sorted(moved) == list(range(size)) and all(v != m for v, m in enumerate(moved))
+        even = [pii._moved(b"k", "form", v, size, 0, lambda v: v % 2 == 0) for v in range(0, size, 2)]
+        assert sorted(even) == list(range(0, size, 2))
+    domains = {pii.surrogate(b"k", "email", f"a@{c}.com").split("@")[1] for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert len(domains) == 26 and pii.surrogate(b"k", "email", "b@e.com").split("@")[1] in domains
+    assert pii.surrogate(b"k", "email", "a@e.org").split("@")[1] not in domains
+    for valid in ("GB82WEST12345698765432", "GB83WEST12345698765432"):
+        new = pii.surrogate(b"k", "iban", valid)
+        assert (pii._iban_check("GB", new[4:]) == new[2:4]) == valid.startswith("GB82")
+    cards = {pii.surrogate(b"k", "card", f"411111111111{n:04d}") for n in range(10_000)}
+    assert len(cards) == 10_000 and sum(pii.luhn(c) == 0 for c in cards) == 1000
+
+
+def test_crowded_ranges_end_with_distinct_surrogates(spark):
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)]
+    rows += [("phone", f"5{i:02d}") for i in range(100)] + [("email", f"{c}@e.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("ssn", "012345678"), ("given_m", "john"), ("given_x", "john")]
+    given = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), b"k").collect()
+    assert sorted((r["kind"], r["canon"]) for r in given) == sorted(rows)
+    assert len({(r["kind"], r["value"]) for r in given}) == len(rows)
+    assert all(r["value"] == pii.surrogate(b"k", r["kind"], r["canon"], r["attempt"]) != r["canon"] for r in given)
+    # Where all values are real the first attempt stands; where half are free, the fewer are real.
+    assert {r["attempt"] for r in given if r["kind"] == "phone"} == {0}
+    ips = {c for k, c in rows if k == "ip"}
+    assert sum(r["value"] in ips for r in given if r["kind"] == "ip") < 20_000
+
+
+def test_forms_of_address_without_gender():
+    for text in ("Dr. John Smith", "Prof. Anna Weber", "Señorita Ana López", "Signora Maria Rossi", "Frau Dr. Anna Weber"):
+        assert [k.split("_")[0] for *_, k, _ in pii.find(text)] == ["given", "family"], text
+    assert pii.find("Frau Dr. Anna Weber")[0][2] == "given_f" and pii.find("Dr. John Smith")[0][2] == "given_x"
+
+
+def test_the_query_against_plain_replacement(spark, tmp_path):
+    rng = random.Random(5)
+    entities = ["Mr. John Smith", "Dr. Ana Smith", "j.smith@corp.com", "a@e.com", "a@j.com", "10.0.0.7", "8.8.8.8", "+44 20 7946 0958",
+                "743-555-3824", "123-45-6789", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "fe80::1", "0a" * 20]
+    rows = [(i, " | ".join([cases.prose(i, rng.randint(0, 30)), *rng.sample(entities, rng.randint(0, 9)), "end."])) for i in range(200)]
+    # Real values that are first surrogates of others.
+    rows += [(900 + i, f"see | {pii.surrogate(pii.DEFAULT_KEY, k, c)}") for i, (k, c) in enumerate([("ip", "10.0.0.7"), ("email", "a@e.com")])]
+    rows += [(950, None), (951, "")]
+    cases.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in pii.op1_pii_surrogates(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(i for i, _ in rows)
+    real = {(k, c) for _, t in rows if t for *_, k, c in pii.find(t)}
+    seen: dict[tuple[str, str], str] = {}
+    for i, text in rows:
+        found = {text[a:b]: (k, c) for a, b, k, c in pii.find(text)} if text else {}
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == len(pii.find(text or "")) and (found or new == text)
+        # What stands for an entity is the same everywhere; what lies between stays.
+        old_parts, new_parts = (
+            [w for part in (t or "").split(" | ") for w in (part.split(" ") if "Smith" in text and part[:2] in ("Mr", "Dr") else [part])]
+            for t in (text, new)
+        )
+        assert len(old_parts) == len(new_parts)
+        for old, put in zip(old_parts, new_parts):
+            kind, canon = found.get(old, (None, None))
+            value = pii.canonical(kind, put) if kind else None
+            assert seen.setdefault((kind, canon), value) == value if kind else old == put
+    assert set(seen) == real and all(canon != value for (_, canon), value in seen.items())
+    assert len({(k, v) for (k, _), v in seen.items()}) == len(seen)
+    assert not {(k, v) for (k, _), v in seen.items()} & real
