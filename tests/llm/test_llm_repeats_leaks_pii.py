@@ -331,7 +331,7 @@ def test_the_query_against_plain_replacement(spark, tmp_path):
         assert got[i]["n_entities"] == len(pii.find(text or "")) and (found or new == text)
         # What stands for an entity is the same everywhere; what lies between stays.
         old_parts, new_parts = (
-            [w for part in (t or "").split(" | ") for w in (part.split(" ") if "Smith" in text and part[:2] in ("Mr", "Dr") else [part])]
+            [w for part in (t or "").split(" | ") for w in (part.split(" ") if part[:2] in ("Mr", "Dr") else [part])]
             for t in (text, new)
         )
         assert len(old_parts) == len(new_parts)
