@@ -190,8 +190,11 @@ def ingest_batch(
     with temporary_stages(store.spark):
         files = cut_lineage(files)
         while jobs := store.registry.claim(files, most, begun):
-            finished, keys = import_jobs(store, jobs)
-            outcome += _analyse(store, finished, keys, stages)
+            try:
+                finished, keys = import_jobs(store, jobs)
+                outcome += _analyse(store, finished, keys, stages)
+            finally:
+                store.registry.release(jobs)
     return outcome
 
 
@@ -234,6 +237,8 @@ def start_ingestion(
     Where only Spark's readers reach the files, it takes ``files_per_trigger`` new ones.
     """
     spark = ensure_settings(store.spark)
+    # A restarted stream goes on with the jobs it held; a checkpoint has one stream at a time.
+    store = replace(store, owner=qualified(spark, checkpoint))
     direct = can_open(qualified(spark, directory)) and can_open(qualified(spark, checkpoint))
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -267,6 +272,8 @@ def retry_failed(store: Store, stages: Sequence[Stage] | None = LIVE_STAGES) ->
     begun, outcome = datetime.now(timezone.utc), []
     while True:
         again = F.col("status").isin("pending", "running", "failed") & (F.col("started_at") < F.lit(begun))
+        # Jobs another driver is at are not lost.
+        again = again & ~F.col("job_id").isin(store.registry.leases.of_others())
         open_jobs = store.registry.jobs().filter(again).orderBy("job_id").limit(FILES_PER_BATCH).collect()
         if not open_jobs:
             return outcome

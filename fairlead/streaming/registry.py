@@ -2,12 +2,14 @@
 
 State changes of a batch are one write. They form a log next to a compacted
 base; the current state of a file is its newest row. A job is known by the full
-digest of its content.
+digest of its content. Several drivers may work on one store: a job is leased to
+one of them, and ranges of row ids are given out once.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timezone
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairlead.operators.linking import last_per_key
 from fairlead.session import delete_path
 from fairlead.sources.tables import VersionedTable, _children
+from fairlead.streaming.claims import Leases, next_range
 
 _SCHEMA = (
     "job_id string, source_file string, size_bytes bigint, header string, status string, rows_read bigint, "
@@ -26,6 +29,8 @@ _SCHEMA = (
 )
 #: Batches in the log after which it is compacted.
 COMPACT_AFTER = 64
+#: After this time others may take over a job that its driver neither finished nor released.
+LEASE_SECONDS = 6 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -69,6 +74,13 @@ def error_text(error: object, otherwise: str) -> str:
 class FileRegistry:
     spark: SparkSession
     path: str
+    #: Name of the driver; a restarted one with the same name goes on with its own jobs at once.
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
+    lease_seconds: float = LEASE_SECONDS
+
+    @property
+    def leases(self) -> Leases:
+        return Leases(self.spark, f"{self.path}/leases", self.owner, self.lease_seconds)
 
     @property
     def _base(self) -> VersionedTable:
@@ -111,7 +123,28 @@ class FileRegistry:
         New content starts pending; pending or failed content may be tried again,
         but not if that was ``since`` the given time; completed content is skipped
         for good. Equal files are one job. A file that could not be read is a failed job.
+        Jobs that another driver holds are left to it. ``release`` what is returned
+        once its outcome is recorded.
         """
+        leases = self.leases
+        while True:
+            rows = self._open(files, since, leases.of_others()).orderBy("name", "path").limit(most).collect()
+            if not rows:
+                return []
+            mine = leases.take(r.content_sha256 for r in rows)
+            # Another driver may have finished and released a job after it was looked up here.
+            still = {r.content_sha256 for r in self._open(files, since, []).filter(F.col("content_sha256").isin(mine)).collect()}
+            leases.release(key for key in mine if key not in still)
+            rows = [r for r in rows if r.content_sha256 in still]
+            if rows:
+                break
+        jobs = [Job(f.content_sha256, f.path, f.size_bytes, f.header) for f in rows]
+        jobs = [job if f.error is None else job.failed(f.error) for job, f in zip(jobs, rows)]
+        self.record(jobs)
+        return jobs
+
+    def _open(self, files: DataFrame, since: datetime | None, held: Sequence[str]) -> DataFrame:
+        """One row per content that may be tried now."""
         closed = F.col("status").isin("completed", "superseded")
         if since is not None:
             closed = closed | (F.col("started_at") >= F.lit(since))
@@ -122,15 +155,15 @@ class FileRegistry:
         files = files.withColumns({"error": error, "content_sha256": known})
         first = files.groupBy("content_sha256").agg(F.min(F.struct("name", "path", "size_bytes", "header", "error")).alias("f"))
         found = first.join(done, "content_sha256", "left_anti").select("content_sha256", "f.*")
-        rows = found.orderBy("name", "path").limit(most).collect()
-        jobs = [Job(f.content_sha256, f.path, f.size_bytes, f.header) for f in rows]
-        jobs = [job if f.error is None else job.failed(f.error) for job, f in zip(jobs, rows)]
-        self.record(jobs)
-        return jobs
+        return found.filter(~F.col("content_sha256").isin(list(held)))
+
+    def release(self, jobs: Iterable[Job]) -> None:
+        self.leases.release(job.job_id for job in jobs)
 
     def reserve(self, jobs: Sequence[Job], rows: int) -> tuple[list[Job], int]:
         """Row ids for a batch: the first one. Written down before any row is, so none is given twice."""
-        first = self._rows().agg(F.max("next_id")).first()[0] or 0
+        known = self._rows().agg(F.max("next_id")).first()[0] or 0
+        first = next_range(self.spark, f"{self.path}/row_ids", rows, known)
         running = [replace(job, status="running", next_id=first + rows) for job in jobs]
         self.record(running)
         return running, first

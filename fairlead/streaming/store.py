@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,8 @@ ENCOUNTERS = (
 class Store:
     spark: SparkSession
     root: str
+    #: Who claims files; drivers that share the tables have different names.
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def messages(self) -> DatedTable:
@@ -79,7 +82,7 @@ class Store:
 
     @property
     def registry(self) -> FileRegistry:
-        return FileRegistry(self.spark, f"{self.root}/import_jobs")
+        return FileRegistry(self.spark, f"{self.root}/import_jobs", self.owner)
 
     @property
     def baseline_path(self) -> str:
