@@ -1,10 +1,12 @@
 import random
 import zlib
+from collections import Counter
 
 import cases
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fairlead.llm import pieces, quality
 from fairlead.llm.common import table
@@ -48,24 +50,74 @@ def test_fold_zero_and_bound_of_the_sample(spark):
     known = labels(spark, [(i, i % 2, 0) for i in range(500)])
     sample = quality.labelled_sample(known, 100).collect()
     assert len(sample) == 100 and all(r["fold"] != 0 for r in sample)
-
-
-def test_word_vectors_add_up_over_tasks(spark):
-    rows = [(i, t) for i, t in cases.texts()]
-    one = quality.word_vectors(cases.frame(spark, rows).coalesce(1))
-    many = quality.word_vectors(cases.frame(spark, rows).repartition(7))
-    assert np.allclose(one, many, atol=1e-5) and np.abs(one).sum() > 0
+    # Under the cut-off lie the same rows as in a ranking of all.
+    known = labels(spark, [(i, i % 2, 0) for i in range(2000)])
+    ranked = known.filter(quality.fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).limit(100).collect()
+    assert {r["id"] for r in quality.labelled_sample(known, 100).collect()} == {r["doc_id"] for r in ranked}
+
+
+def plain_vectors(rows, window, share):
+    """Every word's neighbours looked up one by one: hashes with their own row, and the unit vectors by row."""
+    texts = [quality.words_of(pa.array([t], pa.string()), False)[0].tolist() for _, t in rows]
+    counts = Counter(h for t in texts for h in t)
+    words = sorted(h for h, n in counts.items() if n >= share * counts.total())
+    place = {h: k for k, h in enumerate(words)}
+    out = np.zeros((len(words) + quality.BUCKETS, quality.DIMS))
+    for text in texts:
+        for i, h in enumerate(text):
+            shared = int(quality.mix(np.array([h], np.uint64))[0]) % quality.BUCKETS
+            for other in text[max(0, i - window) : i] + text[i + 1 : i + 1 + window]:
+                for j in range(4):
+                    part = other >> (16 * j)
+                    out[place.get(h, len(words) + shared), part & 63] += -1.0 if part >> 6 & 1 else 1.0
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return words, out / np.where(norms > 0, norms, 1)
+
+
+@pytest.mark.parametrize("window, share", [(1, 1e-5), (3, 0.002), (2, 0.9)])
+def test_word_vectors_against_plain_sums(spark, window, share):
+    rows = [(i, t) for i, t in cases.texts() if t is None or len(t) < 20_000]
+    words, vectors = plain_vectors(rows, window, share)
+    one = quality.word_vectors(cases.frame(spark, rows).coalesce(1), window=window, share=share)
+    many = quality.word_vectors(cases.frame(spark, rows).repartition(7), window=window, share=share)
+    for got in (one, many):
+        assert got.words.tolist() == words and np.allclose(got.rows, vectors, atol=1e-6)
+    assert np.array_equal(one.rows, many.rows) and len(words) <= 1 / share
+
+
+def test_context_sums_handed_over_in_parts(spark, monkeypatch):
+    # Changed constants do not reach the workers, so steps and parts are tried without Spark.
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in cases.texts() if not t or len(t) < 20_000])], ["text"])
+    words = type("Sent", (), {"value": np.sort(np.unique(quality.words_of(batch.column(0), False)[0])[:50])})
+    whole = list(quality._add_up(quality._context_sums(words, 2)(iter([batch]))))
+    monkeypatch.setattr(quality, "_FLUSH", 1)
+    monkeypatch.setattr(quality, "_STEP", 7)
+    monkeypatch.setattr(quality, "small_batches", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    parts = list(quality._add_up(quality._context_sums(words, 2)(iter([batch]))))
+    key = lambda batches: {r["bucket"]: r["vector"] for b in batches for r in b.to_pylist()}
+    full = {k: v for k, v in key(parts).items() if any(v)}
+    assert full == {k: v for k, v in key(whole).items() if any(v)} and len(full) > 50
+
+
+def test_words_of_their_own_do_not_drift_with_size(spark):
+    rows = [(i, t) for i, t in cases.texts() if i != 13]
+    once = quality.frequent_words(cases.frame(spark, rows).select("text"), 0.001)
+    more = quality.frequent_words(cases.frame(spark, rows * 5).select("text"), 0.001)
+    assert len(once) and np.array_equal(once, more)
+    assert len(quality.frequent_words(cases.empty(spark).select("text"))) == 0
 
 
 def test_document_vectors_match_a_plain_sum(monkeypatch):
     texts = ["Aa bb bb !!", "", "x", "one two three " * 50]
-    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    hashes, _, begins = quality.words_of(pa.array(texts), False)
+    own = np.unique(hashes[:3])
+    rows = np.random.default_rng(1).normal(size=(len(own) + quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    vectors = quality.Vectors(own, rows)
     whole = quality.document_vectors(pa.array(texts), vectors)
     monkeypatch.setattr(quality, "_STEP", 3)
     assert np.allclose(whole, quality.document_vectors(pa.array(texts), vectors), atol=1e-4)
-    hashes, _, begins = quality.words_of(pa.array(texts), False)
-    mean = vectors[quality._buckets(hashes[begins[0] : begins[1]])].mean(0)
-    assert np.allclose(whole[0, : quality.DIMS], mean, atol=1e-5) and not whole[1].any()
+    places = [own.tolist().index(h) if h in own else len(own) + int(quality.mix(np.array([h]))[0] % np.uint64(quality.BUCKETS)) for h in hashes[: begins[1]]]
+    assert np.allclose(whole[0, : quality.DIMS], rows[places].mean(0), atol=1e-5) and not whole[1].any()
 
 
 def test_temperature_recovers_calibration():
