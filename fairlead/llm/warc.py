@@ -14,6 +14,18 @@ equal when length and SHA-1 are. Equal payloads are found on rows of id and
 digest; minima are combined before the shuffle and a payload that very many
 pages share is split by Spark's skew handling.
 
+Archives of other writers are read too, as ``.warc.gz`` or plain ``.warc``:
+records of the types ``response``, ``revisit``, ``resource`` and ``conversion``
+give rows, all others (``warcinfo``, ``request``, ``metadata``, ...) are passed
+over by their length. Ids stay texts in ``record_id`` and ``refers_to_record``;
+``page_id`` and ``refers_to`` are filled where they are ids of this writer. An
+HTTP head is split off where the content type or the record type says so and the
+block has one within ``HEAD`` bytes; the payload is the rest as it was sent, so
+chunked or compressed transfers stay so. Its length is counted, not believed; of
+a revisit it is what the HTTP head says, else null. A digest is compared if it
+is a SHA-1 in base 32 and neither a transfer coding nor a truncation explains a
+difference.
+
 Defined results: a null html is an empty payload. A row without a page id is a
 response. Rows that share id and payload get the same record type. A null url
 leaves the target header out. Other columns are not looked at.
@@ -28,20 +40,24 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm.common import query, stored, table
 from fairlead.session import scratch_path
+from fairlead.sources.paths import locate
 
 CHUNK = 1 << 20
+#: Bytes within which the head of a record and its HTTP head must end.
+HEAD = 1 << 20
+_KINDS = ("response", "revisit", "resource", "conversion")
 _MANIFEST = "archive string, bytes bigint, records bigint"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "<urn:page:{}>"
 _CHUNK_COLUMNS = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
-    "payload_digest string, chunk_no int, digest_so_far string, is_last boolean"
+    "payload_digest string, chunk_no int, digest_so_far string, is_last boolean, "
+    "record_id string, refers_to_record string"
 )
 
 
@@ -107,7 +123,7 @@ def _writer(folder: str):
             for batch in batches:
                 for page, url, sha1, n, refers, no, last, chunk in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None:
-                        store, path = fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.warc.gz")
+                        store, path = locate(f"{folder}/{uuid.uuid4().hex}.warc.gz")
                         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                         out = store.open_output_stream(path, compression=None)
                     if no == 0:
@@ -136,39 +152,42 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return stored(rows.mapInArrow(_writer(folder), _MANIFEST))
 
 
-class _Members:
-    """The concatenated text of gzip members, a bounded piece at a time."""
+class _Bytes:
+    """The content of an archive, gzip members or plain, a bounded piece at a time."""
 
     def __init__(self, source, piece: int) -> None:
         self.source, self.piece = source, piece
-        self.inflate, self.rest, self.buffer = zlib.decompressobj(31), b"", bytearray()
+        self.buffer, self.rest = bytearray(), source.read(max(piece, 2))
+        self.inflate = zlib.decompressobj(31) if self.rest[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
         while True:
-            if self.inflate.eof:
+            if self.inflate and self.inflate.eof:
                 self.rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
             if not self.rest:
                 self.rest = self.source.read(self.piece)
                 if not self.rest:
                     return False
-            out = self.inflate.decompress(self.rest, self.piece)
-            self.rest = self.inflate.unconsumed_tail
+            if self.inflate:
+                out = self.inflate.decompress(self.rest, self.piece)
+                self.rest = self.inflate.unconsumed_tail
+            else:
+                out, self.rest = self.rest, b""
             if out:
                 self.buffer += out
                 return True
 
-    def head(self) -> bytes | None:
-        """Bytes up to an empty line; None at the end."""
+    def find(self, mark: bytes, limit: int) -> int:
+        """Place of the mark that ends within ``limit`` bytes, else -1."""
         start = 0
-        while (end := self.buffer.find(b"\r\n\r\n", start)) < 0:
-            start = max(0, len(self.buffer) - 3)
-            if not self._more():
-                if self.buffer:
-                    raise ValueError("archive ends inside a header")
-                return None
-        found = bytes(self.buffer[:end])
-        del self.buffer[: end + 4]
-        return found
+        while (at := self.buffer.find(mark, start, limit)) < 0:
+            start = max(0, len(self.buffer) - len(mark) + 1)
+            if len(self.buffer) >= limit or not self._more():
+                return -1
+        return at
+
+    def at_end(self) -> bool:
+        return not self.buffer and not self._more()
 
     def take(self, n: int) -> bytes:
         while len(self.buffer) < n:
@@ -180,13 +199,19 @@ class _Members:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    pairs = (line.split(b":", 1) for line in head.split(b"\r\n")[1:])
-    return {k.decode().lower(): v.decode().strip() for k, v in pairs}
+    """Names in lower case and values; lines without a colon are left out."""
+    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, colon, v in pairs if colon}
 
 
 def _page(record: str | None) -> int | None:
-    number = record.rpartition(":")[2].rstrip(">") if record else ""
-    return int(number) if number else None
+    """Page id in a record id of this writer."""
+    number = record.removeprefix("<urn:page:").removesuffix(">") if record and record.startswith("<urn:page:") else ""
+    return int(number) if number.removeprefix("-").isdecimal() else None
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdecimal() else None
 
 
 def _base32(digest) -> str:
@@ -194,39 +219,60 @@ def _base32(digest) -> str:
 
 
 def _records(source, chunk: int, payloads: bool) -> Iterator[tuple]:
-    data = _Members(source, chunk)
-    while (head := data.head()) is not None:
+    data = _Bytes(source, chunk)
+    while not data.at_end():
+        end = data.find(b"\r\n\r\n", HEAD)
+        if end < 0:
+            raise ValueError("archive ends inside a header, or the header has no end")
+        head = data.take(end + 4)
         fields = _fields(head)
-        http = data.head()
-        n = int(_fields(http)["content-length"])
-        here = int(fields["content-length"]) - len(http) - 4
-        named = fields["warc-payload-digest"].removeprefix("sha1:")
-        same = (
-            _page(fields["warc-record-id"]),
-            fields.get("warc-target-uri"),
-            fields["warc-type"],
-            _page(fields.get("warc-refers-to")),
-            n,
-            named,
-        )
-        state, no, left = hashlib.sha1(), 0, here
-        while True:
-            piece = data.take(min(left, chunk))
-            left -= len(piece)
-            state.update(piece)
-            so_far = _base32(state.digest())
-            if not left and here == n and so_far != named:
-                raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-            yield (*same, no, so_far, not left, *([piece] if payloads else []))
-            no += 1
-            if not left:
-                break
+        here = _number(fields.get("content-length"))
+        if not head.startswith(b"WARC/") or here is None:
+            raise ValueError(f"no WARC record with a length where one should start: {head[:80]!r}")
+        kind, record = fields.get("warc-type", ""), fields.get("warc-record-id")
+        if kind in _KINDS:
+            yield from _payload(data, fields, kind, record, here, chunk, payloads)
+        else:
+            while here:
+                here -= len(data.take(min(here, chunk)))
         if data.take(4) != b"\r\n\r\n":
-            raise ValueError(f"record {fields['warc-record-id']} does not end where it should")
+            raise ValueError(f"record {record} does not end where it should")
+
+
+def _payload(data: _Bytes, fields: dict, kind: str, record: str | None, here: int, chunk: int, payloads: bool) -> Iterator[tuple]:
+    """Chunk rows of one record whose block of ``here`` bytes comes next."""
+    http: dict[str, str] = {}
+    content = fields.get("content-type", "").replace(" ", "").lower()
+    if content.startswith("application/http") or (not content and kind in ("response", "revisit")):
+        end = data.find(b"\r\n\r\n", min(here, HEAD))
+        if end >= 0:
+            http = _fields(data.take(end + 4))
+            here -= end + 4
+    whole = kind != "revisit"
+    n = here if whole else _number(http.get("content-length"))
+    method, _, named = fields.get("warc-payload-digest", "").rpartition(":")
+    named = named.upper() if method.lower() in ("", "sha1") and len(named) == 32 else named or None
+    exact = whole and "transfer-encoding" not in http and "warc-truncated" not in fields
+    exact = exact and method.lower() == "sha1" and len(named or "") == 32
+    refers = fields.get("warc-refers-to")
+    same = (_page(record), fields.get("warc-target-uri"), kind, _page(refers), n, named)
+    state, no, left = hashlib.sha1(), 0, here
+    while True:
+        piece = data.take(min(left, chunk))
+        left -= len(piece)
+        state.update(piece)
+        so_far = _base32(state.digest())
+        if not left and exact and so_far != named:
+            raise ValueError(f"payload of {record} does not match its digest")
+        yield (*same, no, so_far, not left, record, refers, *([piece] if payloads else []))
+        no += 1
+        if not left:
+            return
 
 
 def _reader(chunk: int, payloads: bool, rows_per_batch: int):
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    types += [pa.string(), pa.string()]
     names = [c.split()[0] for c in _CHUNK_COLUMNS.split(", ")] + ["chunk"] * payloads
     types += [pa.binary()] * payloads
 
@@ -236,7 +282,7 @@ def _reader(chunk: int, payloads: bool, rows_per_batch: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
-                store, path = fs.FileSystem.from_uri(uri)
+                store, path = locate(uri)
                 rows: list[tuple] = []
                 with store.open_input_stream(path, compression=None) as source:
                     for row in _records(source, chunk, payloads):
@@ -253,6 +299,8 @@ def _reader(chunk: int, payloads: bool, rows_per_batch: int):
 def read_archives(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows of all records; ``payloads`` adds the bytes as column ``chunk``.
 
+    ``manifest`` lists the paths in its column ``archive``; any frame of paths will do.
+
     ``payload_digest`` is what the header names and ``digest_so_far`` the digest
     of the chunks up to this one; the last chunk of a response must agree.
     """

@@ -139,3 +139,72 @@ def test_warc_files_are_gzip_members(spark, tmp_path):
     text = b"".join(gzip.open(r["archive"].removeprefix("file://")).read() for r in manifest.collect())
     assert text.count(b"WARC/1.1\r\nWARC-Type: ") == len(PAGES) and text.endswith(b"\r\n\r\n")
     assert sum(r["bytes"] for r in manifest.collect()) == sum(f.stat().st_size for f in tmp_path.glob("*.warc.gz"))
+
+
+def foreign(kind, headers, block, end=b"\r\n\r\n"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + end
+
+
+def sha1(data):
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+BODY = b"<p>hello</p>\r\n\r\n" * 30
+FOREIGN = [
+    foreign("warcinfo", ["Content-Type: application/warc-fields"], b"software: other\r\n\r\n" * 20),
+    foreign("request", ["WARC-Record-ID: <urn:uuid:0>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+    foreign(
+        "response",
+        ["WARC-Record-ID: <urn:uuid:1f-a>", "WARC-Target-URI: http://x/", f"WARC-Payload-Digest: sha1:{sha1(BODY)}",
+         "Content-Type: application/http; msgtype=response"],
+        b"HTTP/1.1 200 OK\r\nno colon here\r\nX: \xff\r\n\r\n" + BODY,
+    ),
+    foreign("response", ["WARC-Record-ID: <urn:uuid:2>", f"WARC-Payload-Digest: sha1:{sha1(b'hello')}"],
+            b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9999\r\n\r\n5\r\nhello\r\n0\r\n\r\n"),
+    foreign("response", ["WARC-Record-ID: <urn:uuid:3>", "WARC-Payload-Digest: md5:00", "Content-Type: text/dns"], b"no head at all"),
+    foreign("response", ["Content-Type: application/http"], b"HTTP/1.1 200 OK and no end"),
+    foreign("revisit", ["WARC-Record-ID: <urn:uuid:4>", "WARC-Refers-To: <urn:uuid:1f-a>"], b""),
+    foreign("resource", ["WARC-Record-ID: <urn:uuid:5>", "Content-Type: text/plain"], b"a\r\n\r\nb"),
+    foreign("metadata", [], b""),
+]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_warc_of_other_writers(spark, tmp_path, packed, chunk):
+    import gzip
+
+    path = tmp_path / ("a b#1%20.warc" + ".gz" * packed)
+    path.write_bytes(b"".join(gzip.compress(r) if packed else r for r in FOREIGN))
+    manifest = spark.createDataFrame([(f"file://{path}",)], "archive string")
+    rows = defaultdict(list)
+    for r in warc.read_archives(manifest, chunk=chunk).orderBy("chunk_no").collect():
+        rows[r["record_id"]].append(r)
+    got = {k: (b"".join(r["chunk"] for r in v), v[0]["payload_bytes"], v[-1]["digest_so_far"]) for k, v in rows.items()}
+    uid = "<urn:uuid:{}>".format
+    payloads = {
+        uid("1f-a"): BODY, uid("2"): b"5\r\nhello\r\n0\r\n\r\n", uid("3"): b"no head at all",
+        None: b"HTTP/1.1 200 OK and no end", uid("5"): b"a\r\n\r\nb",
+    }
+    assert got == {**{k: (v, len(v), sha1(v)) for k, v in payloads.items()}, uid("4"): (b"", None, sha1(b""))}
+    first = rows[uid("1f-a")][0]
+    assert (first["page_id"], first["url"], first["payload_digest"]) == (None, "http://x/", sha1(BODY))
+    assert rows[uid("4")][0]["refers_to_record"] == uid("1f-a") and rows[uid("4")][0]["refers_to"] is None
+    assert rows[uid("3")][0]["payload_digest"] == "00" and rows[uid("5")][0]["payload_digest"] is None
+
+
+@pytest.mark.parametrize(
+    "data, error",
+    [
+        (b"junk\r\n\r\n", "no WARC record"),
+        (foreign("metadata", [], b"x", end=b"\r\n"), "ends inside"),
+        (foreign("metadata", [], b"x", end=b"....") + FOREIGN[0], "does not end where"),
+        (foreign("resource", [f"WARC-Payload-Digest: sha1:{sha1(b'y')}"], b"x"), "does not match"),
+    ],
+)
+def test_warc_damage_is_an_error(spark, tmp_path, data, error):
+    (tmp_path / "a.warc").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc",)], "archive string")
+    with pytest.raises(Exception, match=error):
+        warc.read_archives(manifest).collect()
