@@ -1,19 +1,22 @@
-r"""Document fingerprints: the shingle hashes in a fixed fraction of the hash range, at present all.
+r"""Document fingerprints: the shingle hashes in a fixed fraction of the hash range.
 
 Words are runs without white space, with A-Z in lower case; a text of fewer than
 ``SHINGLE`` words is one shingle. A fingerprint holds the distinct shingle hashes
-in the lowest ``1 / FRACTION`` of the range, sorted. ``FRACTION`` is 1, so these
-are all hashes, and likeness and containment are those of the shingle sets
-themselves (but for clashes of 64-bit hashes), for short texts as for long ones.
-The limit does not depend on the text, so the fingerprint of a union is the
-merged fingerprint. With a larger ``FRACTION`` both are estimates, poor ones for
-short texts, and a text with no shingle under the limit keeps its smallest hash,
-which merging drops as soon as the other side has one under the limit. All of it
-is Spark SQL.
+in the lowest ``1 / fraction`` of the range, sorted. The limit does not depend on
+the text, so a long text keeps more hashes than a short one, the fingerprint of a
+union is the merged fingerprint, and containment may be asked of texts of very
+unequal length. Fingerprints that are compared or merged must have one fraction.
+With a fraction of 1 all hashes stay, and likeness and containment are those of
+the shingle sets themselves (but for clashes of 64-bit hashes); the query uses
+that, since short texts have too few shingles for anything less. With a larger
+fraction both are estimates with an error of about ``sqrt(fraction / shingles)``,
+and a text with no shingle under the limit keeps its smallest hash, which merging
+drops as soon as the other side has one under the limit. All of it is Spark SQL.
 
 Neighbours in descending order of ids come from slices of ``SLICE`` ids: inside
 a slice a window looks one row ahead, and the first row of each slice goes to
-the slice before it. Texts are shuffled once, by slice.
+the slice before it. Texts are shuffled once, by slice. Slices are put in order by
+ranges of about equally many of them, so sparse ids are no different from dense.
 
 Defined results: null is the empty text; a text without words has an empty
 fingerprint. Two empty fingerprints are alike (1), an empty and another are not
@@ -26,17 +29,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fairlead.llm.common import ascii_lower, query, table
+from fairlead.llm.common import ascii_lower, query, stored, table
 
 SHINGLE = 5
 FRACTION = 1
 SLICE = 256
-#: The largest hash that is kept.
-_LIMIT = -(1 << 63) + (1 << 64) // FRACTION - 1
 _WORDS = "filter(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
 
 
-def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+def _limit(fraction: int) -> int:
+    """The largest hash that is kept."""
+    return -(1 << 63) + (1 << 64) // fraction - 1
+
+
+def with_fingerprint(rows: DataFrame, text: str, name: str, fraction: int = FRACTION) -> DataFrame:
     """``rows`` with the fingerprint (sorted array of longs) of column ``text`` as column ``name``."""
     parts = ", ".join(f"_hashes[i + {j}]" for j in range(SHINGLE))
     # One step per select: each result is used several times in the next.
@@ -50,7 +56,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
             "WHEN size(_hashes) > 0 THEN array(xxhash64(_hashes)) ELSE array() END"
         ).alias("_shingles"),
     )
-    rows = rows.select("*", F.expr(f"filter(_shingles, h -> h <= {_LIMIT}L)").alias("_low"))
+    rows = rows.select("*", F.expr(f"filter(_shingles, h -> h <= {_limit(fraction)}L)").alias("_low"))
     found = F.expr(
         "CASE WHEN size(_low) > 0 THEN sort_array(array_distinct(_low)) "
         "WHEN size(_shingles) > 0 THEN array(array_min(_shingles)) ELSE _low END"
@@ -72,11 +78,12 @@ def containment(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) > 0 THEN size(array_intersect({a}, {b})) / CAST(size({a}) AS DOUBLE) END")
 
 
-def merged(a: str, b: str) -> Column:
+def merged(a: str, b: str, fraction: int = FRACTION) -> Column:
     """The fingerprint of both texts' shingles together."""
+    limit = _limit(fraction)
     both = f"sort_array(array_union({a}, {b}))"
     return F.expr(
-        f"CASE WHEN exists({both}, h -> h <= {_LIMIT}L) THEN filter({both}, h -> h <= {_LIMIT}L) "
+        f"CASE WHEN exists({both}, h -> h <= {limit}L) THEN filter({both}, h -> h <= {limit}L) "
         f"ELSE slice({both}, 1, 1) END"
     )
 
@@ -89,17 +96,17 @@ def as_text(fingerprint: str) -> Column:
 def following(keys: DataFrame) -> DataFrame:
     """Rows key, following: the next smaller of distinct keys; the largest follows the smallest.
 
-    Two levels: windows inside blocks of keys, then one row per block.
+    Keys are dealt to ranges of about equal size and stored with the number of
+    their range; windows run inside ranges, and over one row per range.
     """
-    blocks = keys.select("key", F.expr(f"key div {SLICE}").alias("block"))
+    ranged = stored(keys.repartitionByRange(F.desc("key")).select("key", F.spark_partition_id().alias("block")))
     inside = Window.partitionBy("block").orderBy(F.desc("key"))
-    first = blocks.groupBy("block").agg(F.max("key").alias("head"))
-    # One row per SLICE slices of SLICE ids.
-    order = Window.orderBy(F.desc("block"))
+    first = ranged.groupBy("block").agg(F.max("key").alias("head"))
+    order = Window.orderBy("block")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = first.select("block", F.coalesce(F.lead("head").over(order), F.max("head").over(whole)).alias("next_head"))
     return (
-        blocks.select("key", "block", F.lead("key").over(inside).alias("next_key"))
+        ranged.select("key", "block", F.lead("key").over(inside).alias("next_key"))
         .join(first, "block")
         .select("key", F.coalesce("next_key", "next_head").alias("following"))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from fairlead import llm
 from fairlead.llm import fingerprint, quotes
 
-LIMIT = -(1 << 63) + (1 << 64) // fingerprint.FRACTION
 
 
 def lower(text):
@@ -21,7 +20,7 @@ def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def expected(text):
+def expected(text, fraction=fingerprint.FRACTION):
     words = [w for w in re.split("[\x20\x09-\x0d]+", lower(text or "")) if w]
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
 
@@ -33,7 +32,8 @@ def expected(text):
 
     k = fingerprint.SHINGLE
     found = [joined(hashes[i : i + k]) for i in range(len(hashes) - k + 1)] if len(hashes) >= k else [joined(hashes)] * bool(hashes)
-    return sorted({h for h in found if h < LIMIT}) or ([min(found)] if found else [])
+    limit = -(1 << 63) + (1 << 64) // fraction
+    return sorted({h for h in found if h < limit}) or ([min(found)] if found else [])
 
 
 def likeness(a, b):
@@ -87,6 +87,62 @@ def test_likeness_is_exact_in_every_length_class(spark, tmp_path, words):
         assert got[i]["near_next"] == pytest.approx(exact(text, after))
 
 
+@pytest.mark.parametrize("fraction", [1, 4, 8])
+def test_fraction_of_the_hashes(spark, fraction):
+    """Fingerprints, merging, and the error of likeness and containment by length class."""
+    error = {}
+    for words in (50, 150, 600, 3000):
+        pairs = []
+        for i in range(10):
+            tokens = cases.prose(100 * words + i, words).split()
+            pairs.append((" ".join(tokens), " ".join(tokens[: -(words // 4)] + cases.prose(-words - i, words // 4).split())))
+        rows = spark.createDataFrame(pairs, "a string, b string")
+        for c in "ab":
+            rows = fingerprint.with_fingerprint(rows, c, f"f{c}", fraction)
+        got = rows.select("*", fingerprint.likeness("fa", "fb").alias("like"), fingerprint.merged("fa", "fb", fraction).alias("both")).collect()
+        off = []
+        for r in got:
+            assert r["fa"] == expected(r["a"], fraction) and r["fb"] == expected(r["b"], fraction)
+            # Of texts without a hash under the limit only the smaller smallest hash stays.
+            union = set(r["fa"]) | set(r["fb"])
+            under = {h for h in union if h < -(1 << 63) + (1 << 64) // fraction}
+            assert r["both"] == sorted(under or {min(union)})
+            off.append(abs(r["like"] - exact(r["a"], r["b"])))
+        error[words] = sum(off) / len(off)
+    assert error[50] <= 2.5 * (fraction - 1) ** 0.5 * 0.5 / 50**0.5 + 1e-9
+    assert error[3000] <= 2.5 * (fraction - 1) ** 0.5 * 0.5 / 3000**0.5 + 1e-9
+
+
+@pytest.mark.parametrize("fraction", [1, 4, 8])
+def test_containment_of_very_unequal_texts(spark, fraction):
+    long = cases.prose(77, 20_000)
+    tokens = long.split()
+    inside, half = " ".join(tokens[4000:4050]), " ".join(tokens[4000:4027] + cases.prose(78, 27).split())
+    rows = spark.createDataFrame([(long, inside, half, cases.prose(79, 50))], "l string, i string, h string, o string")
+    for c in "liho":
+        rows = fingerprint.with_fingerprint(rows, c, f"f{c}", fraction)
+    r = rows.select(
+        "*",
+        *[fingerprint.containment(f"f{c}", "fl").alias(f"c{c}") for c in "iho"],
+        fingerprint.merged("fl", "fi", fraction).alias("both"),
+    ).first()
+    assert r["ci"] == 1.0 and r["co"] == 0.0 and r["both"] == r["fl"] == expected(long, fraction)
+    assert r["ch"] == pytest.approx(0.46, abs=0.01 if fraction == 1 else 0.5)
+
+
+@pytest.mark.parametrize("step", [1, 10_007, 10**12])
+def test_following_of_dense_and_sparse_keys(spark, step):
+    keys = [k * step for k in range(-40, 200)]
+    got = fingerprint.following(spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()
+    assert {r["key"]: r["following"] for r in got} == {k: keys[i - 1] for i, k in enumerate(keys)} and len(got) == len(keys)
+
+
+def test_following_of_one_and_of_no_key(spark):
+    one = fingerprint.following(spark.createDataFrame([(5,)], "key bigint")).collect()
+    assert [tuple(r) for r in one] == [(5, 5)]
+    assert fingerprint.following(spark.createDataFrame([], "key bigint")).count() == 0
+
+
 def test_rows_without_id_and_repeats(spark, tmp_path):
     cases.frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = fingerprint.op8_document_fingerprints(spark, str(tmp_path)).collect()
