@@ -156,3 +156,53 @@ def test_current_window(spark):
     assert encounters.current_encounters(stored, messages, 31).count() == 3
     with pytest.raises(ValueError):
         encounters.current_encounters(stored, messages, 0)
+
+
+def _snapshot(spark, n=300, seed=11):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({
+        "mmsi": [str(300000000 + i) for i in range(n)], "id": np.arange(n),
+        "timestamp": pd.to_datetime(1_704_067_200 + rng.integers(0, 3600, n), unit="s"),
+        "latitude": rng.normal(40, 0.08, n), "longitude": rng.normal(-70, 0.08, n),
+        "sog": rng.choice([0.0, 0.0003, 12.0, 25.0], n), "cog": rng.uniform(0, 360, n),
+    })
+    return spark.createDataFrame(pdf)
+
+
+def test_pair_blocks_are_dealt_to_all_tasks(spark):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for gap in (None, 5.0):
+        pairs = encounters.encounter_candidates(_snapshot(spark), 20.0, gap, cell_rows=10, check=False)
+        # Few bytes: by size alone Spark would put all of them into one task.
+        sizes = pairs.rdd.glom().map(len).collect()
+        assert len(sizes) >= tasks and sum(n > 0 for n in sizes) > tasks / 2 and max(sizes) < sum(sizes) / 3
+
+
+def test_prefilter_loses_no_elevated_pair(spark):
+    df = _snapshot(spark, 400)
+    keys = ("a_mmsi", "b_mmsi", "risk_level")
+    for gap in (None, 5.0):
+        whole = encounters.collision_scan(df, 20.0, include_low=True, max_gap_minutes=gap, check=False).filter("risk_level <> 'low'")
+        few = encounters.collision_scan(df, 20.0, max_gap_minutes=gap, check=False).select(*keys).collect()
+        assert len(few) > 50 and sorted(few) == sorted(whole.select(*keys).collect())
+
+
+def test_changed_vessels_meet_all_others_once(spark):
+    df = _snapshot(spark).withColumn("_changed", F.col("id") % 3 == 0)
+    for gap in (None, 5.0):
+        pairs = encounters.encounter_candidates(df, 20.0, gap, cell_rows=20, check=False, changed="_changed")
+        got = pairs.select("a_id", "b_id").collect()
+        every = encounters.encounter_candidates(df.drop("_changed"), 20.0, gap, check=False)
+        want = every.filter("a_id % 3 = 0 or b_id % 3 = 0").select("a_id", "b_id").collect()
+        assert len(got) == len(set(got)) > 0 and set(got) == set(want)
+
+
+def test_counters_do_not_shuffle_all_pairs(spark):
+    df = _snapshot(spark)
+    stored = encounters.encounter_records(df).filter("message_a % 2 = 0")
+    counters = encounters.store_counters(df, df, stored)
+    plan = counters._jdf.queryExecution().executedPlan().toString()
+    # Only eligible pairs are joined with the stored ones.
+    assert not [step for step in plan.splitlines() if "SortMergeJoin" in step and "LeftOuter" in step]
+    got, known = counters.first(), stored.count()
+    assert 0 < known == got.duplicate_count and got.duplicate_count + got.inserted_count == got.eligible_encounter_count
