@@ -214,3 +214,13 @@ def test_stream_with_all_stages(spark, store, inbox, tmp_path, monkeypatch):
     run()
     assert store.messages.read().count() == 61
     assert len(list(Path(shared_dir(spark)).glob("stage-*"))) == stages_before
+
+
+def test_values_of_a_file_are_parsed_once(store, inbox, monkeypatch):
+    put(inbox, "a.csv", HEADER + lines("111111111", 0, 10))
+    seen, split = [], ingest.check_constraints
+    monkeypatch.setattr(ingest, "check_constraints", lambda df: seen.append(df) or split(df))
+    done = ingest.ingest_directory(store, str(inbox), stages=None)
+    assert [j.rows_imported for j in done] == [10]
+    plan = seen[0]._jdf.queryExecution().logical().toString()
+    assert "Relation [" in plan and "Project" not in plan
