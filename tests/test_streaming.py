@@ -223,4 +223,4 @@ def test_values_of_a_file_are_parsed_once(store, inbox, monkeypatch):
     done = ingest.ingest_directory(store, str(inbox), stages=None)
     assert [j.rows_imported for j in done] == [10]
     plan = seen[0]._jdf.queryExecution().logical().toString()
-    assert "Relation [" in plan and "Project" not in plan
+    assert "parquet" in plan and "Project" not in plan
