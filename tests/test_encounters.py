@@ -206,3 +206,16 @@ def test_counters_do_not_shuffle_all_pairs(spark):
     assert not [step for step in plan.splitlines() if "SortMergeJoin" in step and "LeftOuter" in step]
     got, known = counters.first(), stored.count()
     assert 0 < known == got.duplicate_count and got.duplicate_count + got.inserted_count == got.eligible_encounter_count
+
+
+def test_tasks_of_the_pair_step_grow_with_the_vessels(spark, monkeypatch):
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    assert encounters._tasks(spark, 0) == encounters._tasks(spark, 100) == least
+    assert encounters._tasks(spark, 2_000_000) >= 2_000_000 / 1_000
+    # As many tasks in the plan of the pairs, and the same pairs.
+    df = _snapshot(spark, 200)
+    want = sorted(encounters.encounter_candidates(df, 20.0, check=False).select("a_id", "b_id").collect())
+    monkeypatch.setattr(encounters, "_tasks", lambda _, vessels: 2 * least if vessels == 200 else least)
+    pairs = encounters.encounter_candidates(df, 20.0, cell_rows=10, check=False).select("a_id", "b_id")
+    assert len(want) > 0 and sorted(pairs.collect()) == want
+    assert pairs.rdd.getNumPartitions() == 2 * least
