@@ -224,3 +224,33 @@ def test_values_of_a_file_are_parsed_once(store, inbox, monkeypatch):
     assert [j.rows_imported for j in done] == [10]
     plan = seen[0]._jdf.queryExecution().logical().toString()
     assert "parquet" in plan and "Project" not in plan
+
+
+def test_rows_of_a_file_are_tested_once_for_both_results(spark):
+    from fairlead.operators import linking
+    from fairlead.session import cut_lineage
+
+    columns = "mmsi string, timestamp string, latitude string, longitude string"
+    rows = spark.createDataFrame([("111111111", "2024-01-01T00:00:00Z", "40", "-74"), ("bad", None, "x", "1")], columns)
+    copies = []
+    valid, rejected = linking.import_validate(rows, lambda df: copies.append(cut_lineage(df)) or copies[-1])
+    assert (valid.count(), rejected.count(), len(copies)) == (1, 1, 1)
+    for part in (valid, rejected):
+        assert "RLIKE" not in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_without_stored_rows_are_not_joined(spark, store, monkeypatch):
+    from fairlead.sources import tables
+
+    day = "job string, mmsi string, timestamp timestamp, latitude double, longitude double"
+    held = tables.DatedTable(spark, f"{store.root}/some", day, ("mmsi", "timestamp"))
+    rows = lambda *days: spark.createDataFrame([("j", "111111111", datetime(2024, 1, d), 1.0, 2.0) for d in days], day)
+    joined, stored_on = [], tables.DatedTable._stored_on
+    monkeypatch.setattr(tables.DatedTable, "_stored_on", lambda self, batch: joined.append(1) or stored_on(self, batch))
+    assert held.upsert(rows(1, 2).withColumn("o", F.lit(1)), "timestamp") == 2 and not joined
+    # A day that is stored is joined, also beside a new one.
+    assert held.upsert(rows(2, 3), "timestamp") == 2 and len(joined) == 1
+    fresh = held.new_rows(rows(3, 4).withColumn("n", F.lit(1)), "n")
+    assert [r.timestamp.day for r in fresh.collect()] == [4] and len(joined) == 2
+    assert held.new_rows(rows(8).withColumn("n", F.lit(1)), "n").count() == 1 and len(joined) == 2
+    assert sorted(r.timestamp.day for r in held.read().collect()) == [1, 2, 3]
