@@ -90,7 +90,9 @@ def _(w):
 )
 def _(w):
     """Model scores end to end: the percentile is each score's rank, the level follows from percentile and rules."""
-    assessed = cut_lineage(hybrid.fit_assess(_scored(w)))
+    # Reference, ranks and rows are three readers: the model runs once for them, and only what they read is kept.
+    scored = cut_lineage(_scored(w).select("id", "mmsi", "ml_anomaly_score", *hybrid.FLAGS))
+    assessed = cut_lineage(hybrid.fit_assess(scored))
     total = assessed.agg(F.count(F.lit(1))).scalar()
     scores = assessed.groupBy("ml_anomaly_score").agg(F.count(F.lit(1)).alias("n"), F.min("ml_anomaly_percentile").alias("low"), F.max("ml_anomaly_percentile").alias("high"))
     steps = ranking.cumulative_counts(
