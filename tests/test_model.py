@@ -203,3 +203,33 @@ def test_training_pool_is_cut_by_hash(spark):
     assert "Filter" in cut and "_mix" in cut
     # A wrong count only costs another look.
     assert iforest._training_pool(rows, 1000, 42, "id", total=100_000_000).count() == 1000
+
+
+def test_a_filter_on_the_score_scores_once(features, forest):
+    scored = iforest.score(features, forest).select("ml_anomaly_score").filter("ml_anomaly_score is not null")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and scored.count() == 201
+
+
+def test_scores_shared_by_many_rows_are_not_joined_by_a_shuffle_of_their_own(spark):
+    reference = ranking.fit_reference(spark.range(100).select(F.col("id").cast("double").alias("ml_anomaly_score")))
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 900, 7.0).otherwise(F.col("id")).cast("double").alias("ml_anomaly_score"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ranking.with_percentile(rows, reference, rows_per_task=50)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and got.filter("id < 900 and ml_anomaly_percentile = 8").count() == 900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_model_runs_once_for_its_assessment(spark, monkeypatch):
+    """Reference, ranks and rows read one stored copy of the scores, without the motion features."""
+    from fairlead import catalog
+    from fairlead.catalog import priority
+
+    seen, assess = [], hybrid.fit_assess
+    monkeypatch.setattr(priority.hybrid, "fit_assess", lambda df: seen.append(df) or assess(df))
+    catalog.QUERIES["hybrid_assess_model"](spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "distance_nm" not in seen[0].columns
