@@ -6,10 +6,12 @@ the one before it, whichever order they came in. Reports within the lateness bou
 therefore get what a batch run over all of them would give; later ones are dropped
 by the engine, and reports without a time are left out.
 
-State of a vessel: the waiting reports by (slice, part) as Arrow data, one part per
-chunk that came in, and the last report that was released. What a task holds in
-memory is one chunk on the way in and one slice of one vessel on the way out, not
-the vessel's reports; a vessel's slices are linked through the last report alone.
+Vessels are dealt to a fixed number of buckets by hash, and state is kept per bucket:
+the waiting reports by (slice, part) as Arrow data, one part per chunk that came in,
+and the last report of each vessel that was released. So calls to the state store
+follow buckets and slices, not vessels. What a task holds in memory is one chunk on
+the way in and one slice of one bucket on the way out, not a vessel's reports; a
+vessel's slices are linked through the last report alone.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from fairlead.operators import motion
 
 SLICE_SECONDS = 3600
 LATENESS = "1 hour"
+#: Groups of vessels with state in common; a running stream keeps its number.
+BUCKETS = 1024
 _FIELDS = ["timestamp", "latitude", "longitude", "sog", "cog", "heading"]
 _MEASURES = ", ".join(f"{c} double" for c in _FIELDS[1:])
 _STATE = f"timestamp timestamp, {_MEASURES}"
@@ -50,7 +54,7 @@ def _unpacked(data: bytes) -> pd.DataFrame:
 
 
 class OrderedReports(StatefulProcessor):
-    """Links every report of a vessel to the one before it once its slice is complete."""
+    """Links every report of a bucket's vessels to the one before it once its slice is complete."""
 
     def __init__(self, slice_seconds: int) -> None:
         self._length = slice_seconds * 1000
@@ -59,7 +63,7 @@ class OrderedReports(StatefulProcessor):
         self._handle = handle
         self._rows = handle.getMapState("rows", "slice bigint, part int", "data binary")
         self._parts = handle.getMapState("parts", "slice bigint", "n int")
-        self._last = handle.getValueState("last", _STATE)
+        self._last = handle.getValueState("last", "data binary")
         self._alarm = handle.getValueState("alarm", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -83,21 +87,24 @@ class OrderedReports(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self._alarm.clear()
         watermark = timerValues.getCurrentWatermarkInMs()
+        last = _unpacked(bytes(self._last.get()[0])) if self._last.exists() else None
         for at in sorted(k[0] for k in self._parts.keys()):
             if (at + 1) * self._length > watermark:
                 self._wake((at + 1) * self._length)
                 break
             parts = range(self._parts.getValue((at,))[0])
             rows = pd.concat([_unpacked(bytes(self._rows.getValue((at, n))[0])) for n in parts])
-            rows = rows.sort_values(["timestamp", "id"], kind="stable", ignore_index=True)
-            yield self._linked(rows, self._last.get() if self._last.exists() else None)
-            self._last.update(tuple(rows[_FIELDS].iloc[-1]))
+            rows = rows.sort_values(["mmsi", "timestamp", "id"], kind="stable", ignore_index=True)
+            yield self._linked(rows, last)
+            newest = rows[["mmsi", *_FIELDS]].drop_duplicates("mmsi", keep="last")
+            last = newest if last is None else pd.concat([last, newest]).drop_duplicates("mmsi", keep="last")
+            self._last.update((_packed(last),))
             self._parts.removeKey((at,))
             for n in parts:
                 self._rows.removeKey((at, n))
 
     def _wake(self, at: int) -> None:
-        """One timer per vessel, at the end of its earliest waiting slice."""
+        """One timer per bucket, at the end of its earliest waiting slice."""
         if self._alarm.exists():
             if self._alarm.get()[0] <= at:
                 return
@@ -105,16 +112,20 @@ class OrderedReports(StatefulProcessor):
         self._handle.registerTimer(at)
         self._alarm.update((at,))
 
-    def _linked(self, rows: pd.DataFrame, before: tuple | None) -> pd.DataFrame:
-        previous = rows[_FIELDS].shift(1 if len(rows) else 0)
-        linked = pd.Series(rows["mmsi"].notna().to_numpy(), index=rows.index)
-        if rows["mmsi"].isna().any():
-            previous = previous.iloc[:0].reindex(rows.index)
-        elif len(rows):
-            linked.iloc[0] = before is not None
+    def _linked(self, rows: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
+        """Rows in order of vessel and time with the row before each; a vessel's first one follows its row in ``before``."""
+        if not len(rows) or rows["mmsi"].isna().any():
+            previous, linked = rows[_FIELDS].iloc[:0].reindex(rows.index), rows["mmsi"].notna()
+        else:
+            previous = rows[_FIELDS].shift(1)
+            begins = rows["mmsi"] != rows["mmsi"].shift(1)
+            linked = ~begins
             if before is not None:
-                for name, value in zip(_FIELDS, before):
-                    previous.loc[rows.index[0], name] = value
+                own = before.set_index("mmsi")
+                known = begins & rows["mmsi"].isin(own.index)
+                earlier = own.loc[rows["mmsi"][known], _FIELDS].set_index(rows.index[known])
+                previous = pd.concat([previous[~known], earlier]).sort_index()
+                linked = linked | known
         previous.columns = _PREVIOUS
         return pd.concat([rows, previous], axis=1).assign(linked=linked)[_COLUMNS]
 
@@ -137,14 +148,18 @@ def end_marker(spark: SparkSession, schema, at: datetime) -> DataFrame:
     )
 
 
-def stateful_motion(reports: DataFrame, lateness: str = LATENESS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def stateful_motion(
+    reports: DataFrame, lateness: str = LATENESS, slice_seconds: int = SLICE_SECONDS, buckets: int = BUCKETS
+) -> DataFrame:
     """Streaming features; the arithmetic is the batch operator's, in built-in expressions.
 
     A report is given out when the watermark (newest time seen less ``lateness``)
     has passed the end of its slice.
     """
     chosen = reports.select("id", "mmsi", *_FIELDS).withWatermark("timestamp", lateness)
-    linked = chosen.groupBy("mmsi").transformWithStateInPandas(
+    # Text: a missing number would reach pandas as NaN, and turn the others into fractions.
+    bucket = F.when(F.col("mmsi").isNotNull(), F.pmod(F.xxhash64("mmsi"), F.lit(buckets)).cast("string"))
+    linked = chosen.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=OrderedReports(slice_seconds), outputStructType=_LINKED, outputMode="Append", timeMode="EventTime"
     )
     previous = F.struct(*[F.col(p).alias(c) for p, c in zip(_PREVIOUS, _FIELDS)])

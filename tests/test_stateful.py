@@ -85,3 +85,13 @@ def test_waiting_rows_late_rows_and_rows_of_no_vessel(spark, tmp_path):
     assert sorted(by_id) == [1, 2, 3, 4, 6, 9]
     assert by_id[6].elapsed_seconds == 660.0 and by_id[4].elapsed_seconds == 300.0
     assert got.filter(F.col("id") == 4).first().distance_nm == pytest.approx(3.0, rel=0.01)
+
+
+def test_vessels_share_state_and_keep_their_own_tracks(spark, tmp_path):
+    """Two buckets for eight vessels: several slices and runs, each vessel linked to its own reports only."""
+    rows = reports(seed=9)
+    parts = [spark.createDataFrame(rows[i::2], SCHEMA) for i in range(2)]
+    end = end_marker(spark, parts[0].schema, START + timedelta(days=1))
+    got = run(spark, tmp_path, *parts, end, lateness="7 hours", slice_seconds=1800, buckets=2)
+    expected = motion.live_features(spark.createDataFrame(rows, SCHEMA)).select(*got.columns)
+    assert got.count() == len(rows) and comparable(got) == comparable(expected)
