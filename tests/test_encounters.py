@@ -219,3 +219,30 @@ def test_tasks_of_the_pair_step_grow_with_the_vessels(spark, monkeypatch):
     pairs = encounters.encounter_candidates(df, 20.0, cell_rows=10, check=False).select("a_id", "b_id")
     assert len(want) > 0 and sorted(pairs.collect()) == want
     assert pairs.rdd.getNumPartitions() == 2 * least
+
+
+def test_details_look_reports_up_once_per_report_not_per_pair(spark, monkeypatch):
+    from datetime import datetime
+
+    from fairlead.functions.dates import DATE
+    from fairlead.plans import search
+
+    at = datetime(2024, 1, 1)
+    pairs = [("1", "2", 11, 12), ("1", "3", 11, 13), ("2", "3", 12, 13), ("1", "9", 11, 13), ("1", "2", 11, 99), (None, "2", 11, 12)]
+    found = spark.createDataFrame(
+        [(a, b, m, n, at, at) for a, b, m, n in pairs],
+        "mmsi_a string, mmsi_b string, message_a bigint, message_b bigint, observed_at_a timestamp, observed_at_b timestamp",
+    )
+    # A number that two reports share gives a row for each of them, as a join does.
+    reports = [(11, 1.0, at), (12, 2.0, at), (13, 3.0, at), (13, 4.0, at), (12, 5.0, datetime(2024, 1, 2))]
+    messages = spark.createDataFrame([(i, v, v, v, v, t) for i, v, t in reports], "id bigint, latitude double, longitude double, sog double, cog double, t timestamp")
+    vessels = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", None)], "mmsi string, vessel_name string")
+    stored, cut = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    shown = lambda df: sorted(df.select("message_a", "message_b", "name_a", "name_b", "sog_a", "sog_b").collect(), key=str)
+    got = search.encounter_details(found, messages.withColumn(DATE, F.to_date("t")), vessels)
+    assert shown(got) == sorted([(11, 12, "A", "B", 1.0, 2.0), *[(m, 13, n, None, v, w) for m, n, v in ((11, "A", 1.0), (12, "B", 2.0)) for w in (3.0, 4.0)]], key=str)
+    # Three reports of vessels that are known, one of them under two positions.
+    assert stored[0].count() == 4 and not [c for c in got.columns if c.startswith(DATE)]
+    undated = search.encounter_details(found, messages, vessels)
+    assert sorted(undated.columns) == sorted(got.columns) and undated.count() == 5 + 3
