@@ -223,3 +223,19 @@ def test_numbers_by_ranges(spark):
     assert numbered(df.limit(0), ["v"]).count() == 0
     unpartitioned = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange SinglePartition" in line]
     assert unpartitioned == []
+
+
+def test_insert_new_moves_whole_rows_only_to_leave_some_out(spark, tmp_path, monkeypatch):
+    table = DatedTable(spark, str(tmp_path / "t"), SCHEMA, ("id",))
+    moved, new_rows = [], DatedTable.new_rows
+    monkeypatch.setattr(DatedTable, "new_rows", lambda self, *a: moved.append(1) or new_rows(self, *a))
+    batch = rows(spark, (1, "2024-01-01", "a"), (2, "2024-01-02", "b"), (None, "2024-01-02", "n"))
+    # All new, nothing but known (a null key is never known), all new beside stored rows, none at all.
+    assert table.insert_new(batch, "id") == (3, 3) and not moved
+    assert table.insert_new(batch.filter("id is not null"), "id") == (2, 0) and not moved
+    assert table.insert_new(rows(spark, (3, "2024-01-02", "c")), "id") == (1, 1) and not moved
+    assert table.insert_new(batch.limit(0), "id") == (0, 0) and not moved
+    # Some known, and a key that comes twice.
+    assert table.insert_new(rows(spark, (3, "2024-01-02", "x"), (4, "2024-01-02", "d")), "id") == (2, 1) and len(moved) == 1
+    assert table.insert_new(rows(spark, (5, "2024-01-05", "e"), (5, "2024-01-05", "f")), "id") == (2, 1) and len(moved) == 2
+    assert sorted((r.id or 0, r.v) for r in table.read().filter("v <> 'e' and v <> 'f'").collect()) == [(0, "n"), (1, "a"), (2, "b"), (3, "c"), (4, "d")]
