@@ -246,3 +246,27 @@ def test_details_look_reports_up_once_per_report_not_per_pair(spark, monkeypatch
     assert stored[0].count() == 4 and not [c for c in got.columns if c.startswith(DATE)]
     undated = search.encounter_details(found, messages, vessels)
     assert sorted(undated.columns) == sorted(got.columns) and undated.count() == 5 + 3
+
+
+def test_details_leave_encounters_where_they_are_read(spark, monkeypatch):
+    from fairlead.plans import search
+
+    n = 40
+    pairs = [(str(i), str(j), i, j) for i in range(n) for j in range(i + 1, n)]
+    found = spark.createDataFrame(pairs, "mmsi_a string, mmsi_b string, message_a bigint, message_b bigint")
+    messages = spark.createDataFrame([(i, 1.0, 2.0, float(i), 4.0) for i in range(n)], "id bigint, latitude double, longitude double, sog double, cog double")
+    vessels = spark.createDataFrame([(str(i), f"V{i}") for i in range(n)], "mmsi string, vessel_name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Reports that Spark takes for too large to be sent by itself.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = []
+        for most, shuffled in ((n, False), (n - 1, True)):
+            monkeypatch.setattr(search, "SENT_REPORTS", most)
+            got = search.encounter_details(found, messages, vessels)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == shuffled
+            rows.append(sorted(got.select("message_a", "message_b", "name_a", "name_b", "sog_a", "sog_b").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows[0] == rows[1] and len(rows[0]) == len(pairs)
