@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fairlead.functions.dates import DATE
 from fairlead.operators import cleaning, linking
 from fairlead.plans import playback, search
 from fairlead.sources import files, geojson, replay
@@ -239,3 +240,47 @@ def test_insert_new_moves_whole_rows_only_to_leave_some_out(spark, tmp_path, mon
     assert table.insert_new(rows(spark, (3, "2024-01-02", "x"), (4, "2024-01-02", "d")), "id") == (2, 1) and len(moved) == 1
     assert table.insert_new(rows(spark, (5, "2024-01-05", "e"), (5, "2024-01-05", "f")), "id") == (2, 1) and len(moved) == 2
     assert sorted((r.id or 0, r.v) for r in table.read().filter("v <> 'e' and v <> 'f'").collect()) == [(0, "n"), (1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_many_new_rows_are_on_disk_once(spark, tmp_path, monkeypatch):
+    from fairlead.sources import tables
+
+    table = DatedTable(spark, str(tmp_path / "t"), SCHEMA, ("id",))
+    appended, append = [], DatedTable.append
+    monkeypatch.setattr(DatedTable, "append", lambda self, fresh: appended.append(1) or append(self, fresh))
+    batch = rows(spark, (1, "2024-01-01", "a"), (2, "2024-01-02", "b"), (None, "2024-01-02", "n"))
+    batch = batch.unionByName(spark.createDataFrame([(9, None, "t")], SCHEMA))
+    assert table.insert_new(batch, "id") == (4, 4) and len(appended) == 1
+    monkeypatch.setattr(tables, "MOVE_BYTES", 1)
+    # Staged files become those of the table: into a date that is there, a new one, and the rows without a date.
+    more = rows(spark, (3, "2024-01-02", "c"), (4, "2024-01-04", "d")).unionByName(spark.createDataFrame([(8, None, "u")], SCHEMA))
+    assert table.insert_new(more, "id") == (3, 3) and len(appended) == 1
+    # Repeated, and partly known: whole rows are looked at.
+    assert table.insert_new(more.filter("timestamp is not null"), "id") == (2, 0) and len(appended) == 1
+    assert table.insert_new(rows(spark, (4, "2024-01-04", "x"), (5, "2024-01-04", "e")), "id") == (2, 1) and len(appended) == 2
+    got = sorted((r.id or 0, r.v, str(r[DATE])) for r in table.read().collect())
+    assert got == [
+        (0, "n", "2024-01-02"), (1, "a", "2024-01-01"), (2, "b", "2024-01-02"), (3, "c", "2024-01-02"), (4, "d", "2024-01-04"),
+        (5, "e", "2024-01-04"), (8, "u", "None"), (9, "t", "None"),
+    ]
+    # A column to order by that the table does not keep.
+    ordered = rows(spark, (6, "2024-01-06", "f"), (7, "2024-01-06", "g")).withColumn("place", F.col("id") * 2)
+    assert table.insert_new(ordered, "place") == (2, 2) and table.read().columns == ["id", "timestamp", "v", DATE]
+
+
+def test_keys_that_cannot_repeat_are_not_grouped(spark, tmp_path, monkeypatch):
+    from fairlead.operators import encounters
+    from fairlead.streaming import stages
+    from fairlead.streaming.store import Store
+
+    told, insert_new = [], DatedTable.insert_new
+    monkeypatch.setattr(DatedTable, "insert_new", lambda self, *a, distinct=False, **k: told.append(distinct) or insert_new(self, *a, distinct=distinct, **k))
+    at = datetime(2024, 1, 1)
+    state = "mmsi string, id bigint, timestamp timestamp, latitude double, longitude double, sog double, cog double"
+    for number, (ids, want) in enumerate((((1, 2, 3), True), ((1, 2, 2), False))):
+        snapshot = spark.createDataFrame([(f"20000000{i}", n, at, 40.0, -70.0 + i / 1000, 5.0, 90.0) for i, n in enumerate(ids)], state)
+        store = Store(spark, str(tmp_path / str(number)))
+        result = stages._store_encounters(store, snapshot, encounters.encounter_records(snapshot))
+        # With one number for two reports two of the three pairs have one key.
+        assert told.pop() == want and (result.processed, result.created) == (3, 3 if want else 2)
+        assert store.encounters.read().count() == result.created
