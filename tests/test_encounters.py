@@ -270,3 +270,35 @@ def test_details_leave_encounters_where_they_are_read(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert rows[0] == rows[1] and len(rows[0]) == len(pairs)
+
+
+def test_straight_line_tells_what_the_great_circle_tells(spark):
+    from fairlead.functions import geo
+
+    rng = np.random.default_rng(5)
+    places = [(float(a), float(o)) for a, o in _cloud(7, 80)]
+    places += [(a, o + float(d)) for a, o in ((0.0, 10.0), (60.0, 179.9), (89.9, 0.0)) for d in rng.uniform(0, 1e-3, 4)]
+    df = vessels(spark, [(str(200000000 + i), a, (o + 180.0) % 360.0 - 180.0, 1.0, 0.0) for i, (a, o) in enumerate(places)])
+    sides = [df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns]) for s in "ab"]
+    far = geo.haversine_nm(*[F.col(f"{s}_{c}") for s in "ab" for c in ("latitude", "longitude")])
+    every = sides[0].join(sides[1], F.col("a_mmsi") < F.col("b_mmsi")).select("a_mmsi", "b_mmsi", far.alias("d")).collect()
+    some = sorted(r.d for r in every if r.d > 0)
+    # Radii that are the distance of a pair, to the last bit, and the next smaller number.
+    for d in (some[0], some[2], some[len(some) // 3], some[-1]):
+        for radius in (d, float(np.nextafter(d, 0.0))):
+            got = encounters.encounter_candidates(df, radius, check=False).select("a_mmsi", "b_mmsi").collect()
+            assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(r.a_mmsi, r.b_mmsi) for r in every if r.d <= radius}
+
+
+def test_counters_measure_only_what_may_be_elevated(spark):
+    df = _snapshot(spark, 400)
+    whole = encounters.collision_scan(df, 20.0, include_low=True, check=False).select("a_id", "b_id", "risk_level").collect()
+    levels = encounters.collision_scan(df, 20.0, include_low=True, check=False, measures=False)
+    assert len(set(r.risk_level for r in whole)) > 2 and sorted(levels.select("a_id", "b_id", "risk_level").collect()) == sorted(whole)
+    # Pairs that are certainly low come without position and speed relative to each other, from which all measures follow.
+    flags = encounters.encounter_candidates(df, 20.0, check=False, wanted=lambda p: encounters.may_be_elevated(p, ApproachThresholds(), "_likely"))
+    measured = encounters.closest_approach(flags, "_likely")
+    assert measured.filter("not _likely").count() > len(whole) / 2 and measured.filter("not _likely and tcpa_minutes is not null").isEmpty()
+    got = encounters.store_counters(df, df, encounters.encounter_records(df)).first()
+    assert got.candidate_count == got.assessed_candidate_count == len(whole)
+    assert got.elevated_encounter_count == sum(r.risk_level != "low" for r in whole) and got.inserted_count == 0
