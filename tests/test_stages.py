@@ -141,3 +141,56 @@ def test_changed_vessels_find_what_a_full_scan_finds(spark, store, inbox):  # no
     assert stored == sorted(expected) and len(stored) > 10
     # A full scan adds nothing to it.
     assert stages.full_collision_stage(store, None).created == 0
+
+
+def test_copies_go_with_the_stage_that_made_them(spark, tmp_path):
+    import os
+
+    from fairlead.session import cut_lineage, temporary_stages
+    from fairlead.streaming.stages import BatchContext, StageResult, run_stages
+    from fairlead.streaming.store import Store
+
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    own, shared = [], []
+
+    def first(store, batch):
+        own.append(cut_lineage(spark.range(3)))
+        shared.append(cut_lineage(spark.range(4), outer=True))
+        assert there(own[0]) and there(shared[0])
+        return StageResult("first", own[0].count())
+
+    def second(store, batch):
+        assert not there(own[0]) and there(shared[0])
+        return StageResult("second", shared[0].count())
+
+    with temporary_stages(spark):
+        # Empty scopes are equal: the inner one must go, not the first that is like it.
+        with temporary_stages(spark):
+            pass
+        results = run_stages(Store(spark, str(tmp_path)), BatchContext(spark.range(1)), (first, second))
+        assert [r.processed for r in results] == [3, 4] and there(shared[0])
+    assert not there(shared[0])
+
+
+def test_copies_of_an_import_are_gone_before_its_analytics(spark, tmp_path, monkeypatch):
+    import os
+
+    from fairlead import session
+    from fairlead.streaming import ingest
+    from fairlead.streaming.stages import StageResult
+    from fairlead.streaming.store import Store
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("mmsi,timestamp,latitude,longitude,sog,cog,heading\n111111111,2024-01-01T00:00:00Z,1.0,2.0,3,4,5\n")
+    made, scratch = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda *a: made.append(scratch(*a)) or made[-1])
+    left = []
+
+    def stage(store, batch):
+        left.append([p for p in made if os.path.exists(p)])
+        return StageResult("count", batch.keys.count())
+
+    done = ingest.ingest_directory(Store(spark, str(tmp_path / "store")), str(tmp_path / "in"), (stage,))
+    assert [(j.error_message, j.status, j.analytics_status, j.rows_imported) for j in done] == [(None, "completed", "completed", 1)]
+    # The digests of the files and the keys.
+    assert len(made) > 5 and len(left[0]) == 2 and not any(os.path.exists(p) for p in made)
